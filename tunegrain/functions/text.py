@@ -68,35 +68,47 @@ def named_id(name: Column, suffix: Column | None = None) -> Column:
     return F.concat(F.substring(slugify(name), 1, 40), F.lit("-"), suffix)
 
 
-def py_round(c: Column, digits: int) -> Column:
-    """Python ``round(x, digits)`` for doubles of moderate size.
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two that have at most 26 significant bits each."""
+    spread = x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    return high, x - high
+
+
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """Exact difference between ``a * b`` and its rounded value ``product``."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+
+
+def py_round(c: Column, digits: int | Column) -> Column:
+    """Python ``round(x, digits)`` for doubles of moderate size and 0 to 22 digits.
 
     ``bround`` rounds the shortest decimal text of a double; Python rounds its exact binary
     value, so 0.0125 gives 0.013 (the stored value lies just above the tie). The only hard
     case is a value equal to the double nearest the tie; there the sign of that double's own
-    error decides, taken from an exact two-part product.
+    error decides, taken from an exact product.
     """
-    scale = float(10**digits)
+    scale = F.lit(float(10**digits)) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
     x = F.abs(c.cast("double"))
-    below = F.floor(x * F.lit(scale)).cast("double")
-    below = F.when(below / F.lit(scale) > x, below - 1).otherwise(below)
-    odd = below * 2 + 1
-    tie = odd / F.lit(2 * scale)
-    # tie * 2*scale, rounded, and the exact remainder of that product
-    product = tie * F.lit(2 * scale)
-    big = tie * F.lit(134217729.0)
-    high = big - (big - tie)
-    rest = (high * F.lit(2 * scale) - product) + (tie - high) * F.lit(2 * scale)
-    side = (product - odd) + rest
-    up = (
-        F.when(x != tie, x > tie)
-        .when(side != 0, side > 0)
-        .otherwise(below % 2 == 1)
-    )
-    magnitude = (below + up.cast("double")) / F.lit(scale)
+    below = F.floor(x * scale).cast("double")
+    below = F.when(below / scale > x, below - 1).otherwise(below)
+    odd, doubled = below * 2 + 1, scale * 2
+    tie = odd / doubled
+    product = tie * doubled
+    side = (product - odd) + _product_error(tie, doubled, product)
+    up = F.when(x != tie, x > tie).when(side != 0, side > 0).otherwise(below % 2 == 1)
+    magnitude = (below + up.cast("double")) / scale
     return F.when(c < 0, -magnitude).otherwise(magnitude)
 
 
+def significant(c: Column, digits: int) -> Column:
+    """Rounded like Python's ``%e`` format with ``digits`` significant digits."""
+    size = F.floor(F.log10(F.abs(F.nullif(c, F.lit(0.0)))))
+    places = F.least(F.greatest(F.lit(digits - 1) - size, F.lit(0)), F.lit(22))
+    return F.coalesce(py_round(c, places), c)
+
+
 # Fixed value: what Python's float() accepts as finite or special text.
 PY_FLOAT_PATTERN = (
     r"^[+-]?((\d+(_\d+)*)?\.\d+(_\d+)*|\d+(_\d+)*\.?)([eE][+-]?\d+(_\d+)*)?$|^[+-]?(?i:inf|infinity|nan)$"

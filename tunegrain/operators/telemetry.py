@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunegrain.functions.text import py_float, py_round
+from tunegrain.functions.text import py_float, py_round, significant
 from tunegrain.operators.toplist import first_per_key
 
 LOG, METRIC, STATUS, ERROR = "log", "metric", "status", "error"
@@ -116,9 +116,12 @@ def latest_metrics(frame: DataFrame, keys: Sequence[str] = ("loss", "learning_ra
 
 def tile_text(loss: Column, learning_rate: Column) -> list[Column]:
     """Display form of the latest values: four decimals, and two-digit scientific notation."""
+    def shown(pattern: str, c: Column) -> Column:
+        return F.when(c.isNotNull(), F.format_string(pattern, c)).otherwise(F.lit("—"))
+
     return [
-        F.coalesce(F.format_string("%.4f", loss), F.lit("—")).alias("loss_text"),
-        F.coalesce(F.format_string("%.2e", learning_rate), F.lit("—")).alias("learning_rate_text"),
+        shown("%.4f", py_round(loss, 4)).alias("loss_text"),
+        shown("%.2e", significant(learning_rate, 3)).alias("learning_rate_text"),
     ]
 
 

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class FileSet:
-    """Files of one format: a folder searched with a name pattern, or explicit paths."""
+    """Files of one format: a folder searched with a name pattern, or explicit paths.
+
+    ``fmt`` is the extension that names the format; ``any_name`` takes every file of the folder.
+    """
 
     paths: Sequence[str]
-    suffix: str
+    fmt: str
     recursive: bool
+    any_name: bool = False
 
     def options(self) -> dict[str, str]:
         if not self.recursive:
             return {}
-        either_case = "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in self.suffix)
-        return {"recursiveFileLookup": "true", "pathGlobFilter": f"*{either_case}"}
+        either_case = "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in self.fmt)
+        return {"recursiveFileLookup": "true", "pathGlobFilter": "*" if self.any_name else f"*{either_case}"}
 
     def listing(self, spark: SparkSession) -> DataFrame:
         """``file`` (its URI), ``path, name, length, modified``; contents are not read."""

@@ -257,7 +257,7 @@ def read_text(spark: SparkSession, files_: FileSet) -> Loaded:
 
 def _read_office(spark: SparkSession, files_: FileSet, named: bool) -> Loaded:
     documents = _scan(spark, files_, "binaryFile").select(F.col("_metadata.file_path").alias("path"), "content")
-    found = materialize(office.extract(documents, files_.suffix), "office")
+    found = materialize(office.extract(documents, files_.fmt), "office")
     defects = found.where(F.col("problem").isNotNull()).select(
         F.col("_file").alias("file"), F.col("problem").alias("reason")
     )
@@ -337,7 +337,7 @@ def number_rows(placed: DataFrame) -> DataFrame:
 
 
 def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]]) -> RawTable:
-    loaded = [READERS[s.suffix](spark, s) for s in sets]
+    loaded = [READERS[s.fmt](spark, s) for s in sets]
     frames = [frame for frame, _ in loaded if frame is not None and len(frame.columns) > len(POSITION)]
     all_notes = reduce(DataFrame.unionByName, [n for _, n in loaded], _notes(spark, notes))
     rows = number_rows(materialize(_unite(frames), "raw")) if frames else None
@@ -364,11 +364,19 @@ def _suffix(path: str) -> str:
     return "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else ""
 
 
-def load_paths(spark: SparkSession, paths: str | Iterable[str]) -> RawTable:
+def load_paths(spark: SparkSession, paths: str | Iterable[str], fmt: str | None = None) -> RawTable:
     """Load a folder (searched recursively), one file or a list of files as one table.
 
     Files that cannot be read become notes; it is an error only if nothing could be loaded.
+    ``fmt`` (such as ``".jsonl"``) reads every file as that format whatever its extension,
+    for instance the part files of a Spark job.
     """
+    if fmt is not None:
+        if fmt not in READERS:
+            raise LoadError(f"unsupported file type {fmt!r}; supported: {sorted(READERS)}")
+        folder = isinstance(paths, str) and files.is_directory(spark, paths)
+        found = [paths] if isinstance(paths, str) else list(paths)
+        return _load(spark, [FileSet(found, fmt, recursive=folder, any_name=True)], [])
     if isinstance(paths, str) and files.is_directory(spark, paths):
         listing = files.list_files(spark, [paths], recursiveFileLookup="true")
         present = listing.select(files.suffix_of(F.col("path")).alias("suffix")).distinct()
