@@ -21,6 +21,11 @@ _LAST_BYTES = sorted({ch.encode()[-1:] for ch in PY_WHITESPACE})
 CHARS_PER_TOKEN = 4
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(c: Column) -> Column:
     """Python ``str.strip``.
 
@@ -68,17 +73,23 @@ def named_id(name: Column, suffix: Column | None = None) -> Column:
     return F.concat(F.substring(slugify(name), 1, 40), F.lit("-"), suffix)
 
 
-def _halves(x: Column) -> tuple[Column, Column]:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and may be used many times."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _halves(x: Column, then: Callable[[Column, Column], Column]) -> Column:
     """A double as the sum of two that have at most 26 significant bits each."""
     spread = x * F.lit(134217729.0)
-    high = spread - (spread - x)
-    return high, x - high
+    return let(spread - (spread - x), lambda high: then(high, x - high))
 
 
 def _product_error(a: Column, b: Column, product: Column) -> Column:
     """Exact difference between ``a * b`` and its rounded value ``product``."""
-    (ah, al), (bh, bl) = _halves(a), _halves(b)
-    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    return _halves(
+        a,
+        lambda ah, al: _halves(b, lambda bh, bl: ((ah * bh - product) + ah * bl + al * bh) + al * bl),
+    )
 
 
 def py_round(c: Column, digits: int | Column) -> Column:
@@ -90,16 +101,25 @@ def py_round(c: Column, digits: int | Column) -> Column:
     error decides, taken from an exact product.
     """
     scale = F.lit(float(10**digits)) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
-    x = F.abs(c.cast("double"))
-    below = F.floor(x * scale).cast("double")
-    below = F.when(below / scale > x, below - 1).otherwise(below)
-    odd, doubled = below * 2 + 1, scale * 2
-    tie = odd / doubled
-    product = tie * doubled
-    side = (product - odd) + _product_error(tie, doubled, product)
-    up = F.when(x != tie, x > tie).when(side != 0, side > 0).otherwise(below % 2 == 1)
-    magnitude = (below + up.cast("double")) / scale
-    return F.when(c < 0, -magnitude).otherwise(magnitude)
+
+    def tie_goes_up(tie: Column, below: Column, doubled: Column) -> Column:
+        odd, product = below * 2 + 1, tie * doubled
+        side = let((product - odd) + _product_error(tie, doubled, product), lambda s: F.signum(s))
+        return F.coalesce(F.nullif(side, F.lit(0.0)) > 0, below % 2 == 1)
+
+    def rounded(x: Column, s: Column, below: Column) -> Column:
+        up = let(
+            (below * 2 + 1) / (s * 2),
+            lambda tie: F.when(x != tie, x > tie).otherwise(tie_goes_up(tie, below, s * 2)),
+        )
+        return (below + up.cast("double")) / s
+
+    def magnitude(v: Column) -> Column:
+        x, s = F.abs(v["x"]), v["s"]
+        floor = let(F.floor(x * s).cast("double"), lambda f: F.when(f / s > x, f - 1).otherwise(f))
+        return let(floor, lambda below: rounded(x, s, below) * F.when(v["x"] < 0, -1.0).otherwise(1.0))
+
+    return let(F.struct(c.cast("double").alias("x"), scale.alias("s")), magnitude)
 
 
 def significant(c: Column, digits: int) -> Column:

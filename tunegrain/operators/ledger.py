@@ -174,7 +174,7 @@ def expired_checkpoints(checkpoints: DataFrame, keep: int, key: str = "job_id",
     Input rows are distinct by (run, step). The few kept ones are found first; the rest is
     an anti join on (run, step), which spreads a run with very many checkpoints.
     """
-    kept = first_per_key(checkpoints.select(key, step), [key], [F.desc(step)], keep, spread_by=[step])
+    kept = first_per_key(checkpoints.select(key, step), [key], [F.desc(step)], keep)
     return checkpoints.join(kept, [key, step], "left_anti")
 
 

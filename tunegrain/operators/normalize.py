@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunegrain.functions import chat, jsontext
-from tunegrain.functions.text import as_text, blank_to_null, clean, strip_computed
+from tunegrain.functions.text import as_text, blank_to_null, clean, named, strip_computed
 from tunegrain.schema import MESSAGES, FieldMapping, TaskFormat
 
 # Drop reasons.
@@ -44,7 +44,7 @@ def _field(df: DataFrame, name: str | None) -> Column:
     """Cleaned text of an optional column; the empty string when it is not mapped or absent."""
     if not name or name not in df.columns:
         return F.lit("")
-    return clean(F.col(f"`{name}`"), df.schema[name].dataType)
+    return clean(named(name), df.schema[name].dataType)
 
 
 def _system(df: DataFrame, mapping: FieldMapping) -> Column:
@@ -139,7 +139,7 @@ def _chat(df: DataFrame, mapping: FieldMapping) -> tuple[Column, Column, Column]
     name = mapping.messages_field
     if not name:
         return _no_messages(), _no_text(), F.lit(NO_MESSAGES_FIELD)
-    messages, reason = read_messages(F.col(f"`{name}`"), df.schema[name].dataType)
+    messages, reason = read_messages(named(name), df.schema[name].dataType)
     return chat.with_system(messages, _system(df, mapping)), _no_text(), reason
 
 

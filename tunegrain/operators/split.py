@@ -71,7 +71,7 @@ def _nth_lowest(rows: DataFrame, row_id: str, eval_ratio: float) -> int | None:
     while want:
         width = (high - low) // RANGES + 1
         inside = ids.where(F.col("id").between(low, high))
-        sizes = inside.groupBy(F.expr(f"(id - {low}L) div {width}L").alias("range")).count()
+        sizes = inside.groupBy(F.expr(f"(CAST(id AS DECIMAL(20, 0)) - {low}BD) div {width}BD").alias("range")).count()
         for index, size in sorted(sizes.collect()):
             if want <= size:
                 break

@@ -78,7 +78,7 @@ def in_order(events: DataFrame) -> DataFrame:
 
 def last_events(events: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
     """The newest ``n`` events of every job."""
-    return first_per_key(events, ["job_id"], newest_first(), n, spread_by=["event_id"])
+    return first_per_key(events, ["job_id"], newest_first(), n)
 
 
 def bounded_history(events: DataFrame, kinds: Iterable[str] | None = None, n: int = HISTORY_SIZE) -> DataFrame:
@@ -130,10 +130,10 @@ def select_metrics(logs: DataFrame, values: Column, keep: Sequence[str]) -> Data
 
     Entries that Python's ``float`` would refuse are left out.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("metric"), py_float(F.try_element_at(values, F.lit(k))).alias("value")) for k in KEPT_METRICS]
-    )
-    return logs.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+    pairs = logs.select(*keep, F.explode(values).alias("metric", "text"))
+    wanted = pairs.where(F.col("metric").isin(*KEPT_METRICS))
+    numbers = wanted.select(*keep, "metric", py_float(F.col("text")).alias("value"))
+    return numbers.where(F.col("value").isNotNull())
 
 
 def rounded_epoch(epoch: Column) -> Column:

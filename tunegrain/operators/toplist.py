@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 64
+SLICES = 1024
+FEW = 20
 
 
 def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -17,14 +18,17 @@ def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread_by: Sequence[str], salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, slices: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of each key under a total ``order``.
 
-    A key may hold a third of all rows, so its rows are first ranked within ``salts`` slices
-    (chosen by a hash of ``spread_by``), then the at most ``n * salts`` survivors per key are
-    ranked together. Spark also keeps only ``n`` rows per group on the map side of both steps.
+    Spark ranks on the map side first, so a task sends at most ``n`` rows per key. For a few
+    rows that is enough even if one key fills every task. For a large ``n``, the tasks are
+    bundled into slices and ranked per slice before the survivors of all slices (at most
+    ``n * slices`` per key) meet. Any assignment of rows to slices gives the same result.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    survivors = _first(salted, [*keys, "_salt"], order, n).drop("_salt")
-    return _first(survivors, keys, order, n)
+    slices = slices or (1 if n <= FEW else SLICES)
+    if slices > 1:
+        sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+        df = _first(sliced, [*keys, "_slice"], order, n).drop("_slice")
+    return _first(df, keys, order, n)

@@ -204,7 +204,7 @@ def sample_rows(measured: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     flagged = measured.select("row_id", F.explode(codes).alias("code"))
     repeats = duplicate_rows(measured).select("row_id", F.lit("duplicates").alias("code"))
     lowest = first_per_key(
-        flagged.unionByName(repeats), ["code"], [F.col("row_id").asc()], n, spread_by=["row_id"]
+        flagged.unionByName(repeats), ["code"], [F.col("row_id").asc()], n
     )
     # At most n ids per code reach this point.
     return lowest.groupBy("code").agg(F.array_sort(F.collect_list("row_id")).alias("rows"))

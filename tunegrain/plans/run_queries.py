@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tunegrain.operators import ledger, telemetry
 from tunegrain.plans.fixtures import CHECKPOINTS_SQL, EVENTS_SQL, JOBS_SQL, checkpoint_files, events, jobs, py_round_sql, table
 
-RECENT = 20
+RECENT = 25
 TAIL = 10
 KEEP = 3
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tunegrain.functions import jsontext
-from tunegrain.functions.text import strip, strip_computed
+from tunegrain.functions.text import named, strip, strip_computed
 from tunegrain.session import materialize
 from tunegrain.sources import files, office
 from tunegrain.sources.files import FileSet
@@ -187,7 +187,7 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_ragged", nullValue="", emptyValue="")
             .csv(paths)
         )
-        cells = [F.when(~F.col(f"`{n}`").isin(*NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names]
+        cells = [F.when(~named(n).isin(*NA_TOKENS), named(n)).alias(n) for n in names]
         placed = rows.select(
             F.col("_metadata.file_path").alias("_file"),
             F.lit(0).cast("bigint").alias("_block"),
@@ -308,7 +308,7 @@ def _unite(frames: Sequence[DataFrame]) -> DataFrame:
 
     def aligned(frame: DataFrame) -> DataFrame:
         def column(f: T.StructField) -> Column:
-            c = F.col(f"`{f.name}`")
+            c = named(f.name)
             if f.name not in clashing:
                 return c
             nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
@@ -333,7 +333,7 @@ def number_rows(placed: DataFrame) -> DataFrame:
     numbered = placed.join(starts, ["_file", "_block"]).withColumn(
         ROW_ID, F.col("_start") + F.col("_pos") - F.col("_low")
     )
-    return numbered.select(ROW_ID, *[c for c in placed.columns if c not in POSITION])
+    return numbered.select(ROW_ID, *[named(c) for c in placed.columns if c not in POSITION])
 
 
 def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]]) -> RawTable:
