@@ -68,6 +68,11 @@ def system_text(messages: Column) -> Column:
     return F.try_element_at(F.filter(messages, lambda m: m["role"] == SYSTEM), F.lit(1))["content"]
 
 
+def speaks_as_system(messages: Column) -> Column:
+    """Is there a system turn with content?"""
+    return F.exists(messages, lambda m: (m["role"] == SYSTEM) & (m["content"] != ""))
+
+
 def last_assistant(messages: Column) -> Column:
     """Content of the last assistant turn, null without one."""
     return F.try_element_at(F.filter(messages, lambda m: m["role"] == ASSISTANT), F.lit(-1))["content"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tunegrain.functions.text import let
+
 # A private-use marker that closes the probe array in parse_strict.
 _END = "end"
 
@@ -16,9 +18,12 @@ def parse_strict(text: Column) -> Column:
     (``[1] x``). Parsed as the first element of an array with a closing marker, trailing
     text or a second value breaks the array or moves the marker.
     """
-    probe = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    whole = F.try_variant_get(probe, "$[1]", "string") == F.lit(_END)
-    return F.when(whole, F.try_variant_get(probe, "$[0]", "variant"))
+
+    def first_of(probe: Column) -> Column:
+        whole = F.try_variant_get(probe, "$[1]", "string") == F.lit(_END)
+        return F.when(whole, F.try_variant_get(probe, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))), first_of)
 
 
 def kind(v: Column) -> Column:

@@ -61,17 +61,28 @@ def time_label(epoch_seconds: Column) -> Column:
 def current_state(changes: DataFrame, key: str, columns: Sequence[str], version: str = "version") -> DataFrame:
     """Last written value of every column per id; ids whose last word is a delete are gone.
 
-    Values set before a delete do not come back. All aggregates combine on the map side, so
-    an id with very many changes is no hot spot.
+    A value set before the last delete does not come back: it counts only if its version is
+    later. That makes it one aggregation, combined on the map side, so an id with very many
+    changes is no hot spot.
     """
-    deletes = changes.where(F.col("op") == "delete").groupBy(key).agg(F.max(version).alias("gone_at"))
-    live = changes.join(deletes, key, "left").where(
-        (F.col("op") != "delete") & (F.col("gone_at").isNull() | (F.col(version) > F.col("gone_at")))
+    deletes = F.col("op") == "delete"
+    v = F.col(version)
+    last = {
+        c: F.max(F.when(~deletes & F.col(c).isNotNull(), F.struct(v.alias("at"), F.col(c).alias("value")))).alias(c)
+        for c in columns
+    }
+    folded = changes.groupBy(key).agg(
+        *last.values(),
+        F.max(F.when(deletes, v)).alias("gone_at"),
+        F.max(F.when(~deletes, v)).alias("updated_at"),
     )
-    latest = [
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(version))).alias(c) for c in columns
-    ]
-    return live.groupBy(key).agg(*latest, F.max(version).alias("updated_at"))
+
+    def after_delete(at: Column) -> Column:
+        return F.col("gone_at").isNull() | (at > F.col("gone_at"))
+
+    alive = folded.where(F.col("updated_at").isNotNull() & after_delete(F.col("updated_at")))
+    values = [F.when(after_delete(F.col(f"{c}.at")), F.col(f"{c}.value")).alias(c) for c in columns]
+    return alive.select(key, *values, "updated_at")
 
 
 def register_models(records: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -183,21 +194,26 @@ def existing(rows: DataFrame, listing: DataFrame, path: str = "path") -> DataFra
     return rows.where(F.col(path) != "").join(listing.select(path).distinct(), path, "left_semi")
 
 
-def reconcile(jobs: DataFrame, listing: DataFrame) -> DataFrame:
+def reconcile(jobs: DataFrame, listing: DataFrame, key: str = "id") -> DataFrame:
     """State after a restart: active runs become resumable or failed, others stay.
 
-    ``listing`` has the distinct ``path`` of every checkpoint that exists.
+    ``listing`` has the distinct ``path`` of every checkpoint that exists. Runs that need no
+    look-up (most, and often with the same blank path) get a key of their own that matches
+    nothing, so they spread over the join.
     """
-    seen = listing.select(F.col("path").alias("last_checkpoint"), F.lit(True).alias("found"))
-    joined = jobs.join(seen, "last_checkpoint", "left")
     active = is_active(F.col("status"))
-    found = F.coalesce(F.col("found"), F.lit(False)) & (F.col("last_checkpoint") != "")
+    looks_up = active & (F.coalesce("last_checkpoint", F.lit("")) != "")
+    seen = listing.select(F.col("path").alias("_path"), F.lit(True).alias("_found"))
+    no_path = F.concat(F.lit("\x00"), F.col(key).cast("string"))
+    keyed = jobs.withColumn("_path", F.when(looks_up, F.col("last_checkpoint")).otherwise(no_path))
+    joined = keyed.join(seen, "_path", "left")
+    found = F.coalesce(F.col("_found"), F.lit(False))
     return joined.withColumns(
         {
             "new_status": F.when(~active, F.col("status")).when(found, F.lit("resumable")).otherwise(F.lit("failed")),
             "new_error": F.when(active & ~found, F.lit(INTERRUPTED)).otherwise(F.lit("")),
         }
-    ).drop("found")
+    ).drop("_path", "_found")
 
 
 def lineage(models: DataFrame, jobs: DataFrame, datasets: DataFrame, on: Mapping[str, str] | None = None) -> DataFrame:

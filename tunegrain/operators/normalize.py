@@ -7,7 +7,7 @@ and streaming frames alike and never shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,60 +93,62 @@ def _turn_from_native(t: Column, dtype: T.DataType) -> Column:
     )
 
 
-def _outcome(items: Column, is_turn, build, early: Column | None = None) -> tuple[Column, Column]:
-    """(messages, reason) for a list column; the first failing check names the reason."""
-    reason = early if early is not None else F.when(F.lit(False), F.lit(""))
-    reason = (
-        reason.when(items.isNull(), F.lit(NOT_A_LIST))
+def _list_reason(items: Column, is_turn: Callable[[Column], Column]) -> Column:
+    """Why a conversation column is unusable; the first failing check names the reason."""
+    return (
+        F.when(items.isNull(), F.lit(NOT_A_LIST))
         .when(F.exists(items, lambda t: ~is_turn(t)), F.lit(TURN_NOT_OBJECT))
         .when(F.size(items) == 0, F.lit(NO_TURNS))
     )
-    return F.transform(items, build), reason
 
 
-def read_messages(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
-    """(messages, reason) of a conversation column: JSON text, VARIANT or a native array."""
-    variant_turn = (jsontext.is_object, _turn_from_variant)
-    if isinstance(dtype, T.StringType):
-        parsed = jsontext.parse_strict(c)
-        early = F.when(c.isNotNull() & parsed.isNull(), F.lit(NOT_JSON))
-        return _outcome(jsontext.elements(parsed), *variant_turn, early)
-    if isinstance(dtype, T.VariantType):
-        quoted = F.coalesce(F.schema_of_variant(c) == "STRING", F.lit(False))
-        parsed = F.when(quoted, jsontext.parse_strict(F.try_variant_get(c, "$", "string"))).otherwise(c)
-        early = F.when(quoted & parsed.isNull(), F.lit(NOT_JSON))
-        return _outcome(jsontext.elements(parsed), *variant_turn, early)
-    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.VariantType):
-        return _outcome(c, *variant_turn)
-    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.StructType, T.MapType)):
-        inner = dtype.elementType
-        return _outcome(c, lambda t: t.isNotNull(), lambda t: _turn_from_native(t, inner))
-    if isinstance(dtype, T.ArrayType):
-        return _no_messages(), (
-            F.when(c.isNull(), F.lit(NOT_A_LIST))
-            .when(F.size(c) == 0, F.lit(NO_TURNS))
-            .otherwise(F.lit(TURN_NOT_OBJECT))
-        )
-    return _no_messages(), F.lit(NOT_A_LIST)
+def read_messages(df: DataFrame, name: str) -> DataFrame:
+    """Add ``_turns`` and ``_reason`` for a conversation column: JSON text, VARIANT or a native array.
 
-
-def _completion(df: DataFrame, mapping: FieldMapping) -> tuple[Column, Column, Column]:
-    text = _field(df, mapping.text_field)
-    return _no_messages(), text, F.when(text == "", F.lit(EMPTY_TEXT))
+    Parsed values get columns of their own, so that a row is parsed once however often the
+    checks look at it.
+    """
+    c, dtype = named(name), df.schema[name].dataType
+    if isinstance(dtype, (T.StringType, T.VariantType)):
+        if isinstance(dtype, T.StringType):
+            quoted, parsed = c.isNotNull(), jsontext.parse_strict(c)
+        else:
+            quoted = F.coalesce(F.schema_of_variant(c) == "STRING", F.lit(False))
+            parsed = F.when(quoted, jsontext.parse_strict(F.try_variant_get(c, "$", "string"))).otherwise(c)
+        staged = df.withColumns({"_parsed": parsed, "_quoted": quoted})
+        staged = staged.withColumns(
+            {"_items": jsontext.elements(F.col("_parsed")), "_not_json": F.col("_quoted") & F.col("_parsed").isNull()}
+        )
+        reason = F.when(F.col("_not_json"), F.lit(NOT_JSON)).otherwise(_list_reason(F.col("_items"), jsontext.is_object))
+        return staged.withColumns({"_turns": F.transform("_items", _turn_from_variant), "_reason": reason})
+    element = dtype.elementType if isinstance(dtype, T.ArrayType) else None
+    if isinstance(element, T.VariantType):
+        return df.withColumns({"_turns": F.transform(c, _turn_from_variant), "_reason": _list_reason(c, jsontext.is_object)})
+    if isinstance(element, (T.StructType, T.MapType)):
+        turns = F.transform(c, lambda t: _turn_from_native(t, element))
+        return df.withColumns({"_turns": turns, "_reason": _list_reason(c, lambda t: t.isNotNull())})
+    reason = F.lit(NOT_A_LIST) if element is None else _list_reason(c, lambda t: F.lit(False))
+    return df.withColumns({"_turns": _no_messages(), "_reason": reason})
+
+
+def _completion(df: DataFrame, mapping: FieldMapping) -> DataFrame:
+    staged = df.withColumn("_text", _field(df, mapping.text_field))
+    return staged.withColumns(
+        {"_turns": _no_messages(), "_reason": F.when(F.col("_text") == "", F.lit(EMPTY_TEXT))}
+    )
 
 
-def _chat(df: DataFrame, mapping: FieldMapping) -> tuple[Column, Column, Column]:
-    name = mapping.messages_field
-    if not name:
-        return _no_messages(), _no_text(), F.lit(NO_MESSAGES_FIELD)
-    messages, reason = read_messages(named(name), df.schema[name].dataType)
-    return chat.with_system(messages, _system(df, mapping)), _no_text(), reason
+def _chat(df: DataFrame, mapping: FieldMapping) -> DataFrame:
+    if not mapping.messages_field:
+        return df.withColumns({"_turns": _no_messages(), "_text": _no_text(), "_reason": F.lit(NO_MESSAGES_FIELD)})
+    staged = read_messages(df, mapping.messages_field).withColumn("_system", _system(df, mapping))
+    return staged.withColumns({"_turns": chat.with_system(F.col("_turns"), F.col("_system")), "_text": _no_text()})
 
 
-def _instruction(df: DataFrame, mapping: FieldMapping) -> tuple[Column, Column, Column]:
-    asked, extra, answer = (
-        _field(df, name) for name in (mapping.instruction_field, mapping.input_field, mapping.output_field)
-    )
+def _instruction(df: DataFrame, mapping: FieldMapping) -> DataFrame:
+    fields = {"_asked": mapping.instruction_field, "_extra": mapping.input_field, "_answer": mapping.output_field}
+    staged = df.withColumns({name: _field(df, field) for name, field in fields.items()} | {"_system": _system(df, mapping)})
+    asked, extra, answer, system = (F.col(c) for c in ("_asked", "_extra", "_answer", "_system"))
     values = {"instruction": asked, "input": extra}
     pieces = [
         part
@@ -154,13 +156,12 @@ def _instruction(df: DataFrame, mapping: FieldMapping) -> tuple[Column, Column,
         for part in (F.lit(literal), values[name] if name else F.lit(""))
     ]
     prompt = F.when(extra != "", strip_computed(F.concat(*pieces))).otherwise(asked)
-    system = _system(df, mapping)
     opening = F.when(system != "", chat.message(chat.SYSTEM, system))
     turns = F.array_compact(
         F.array(opening, chat.message(chat.USER, prompt), chat.message(chat.ASSISTANT, answer))
     )
     reason = F.when(asked == "", F.lit(EMPTY_INSTRUCTION)).when(answer == "", F.lit(EMPTY_OUTPUT))
-    return turns, _no_text(), reason
+    return staged.withColumns({"_turns": turns, "_text": _no_text(), "_reason": reason})
 
 
 _BUILDERS = {
@@ -173,17 +174,13 @@ _BUILDERS = {
 def normalize(df: DataFrame, mapping: FieldMapping, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
     """``row_id, *keep, messages, text, drop_reason`` for every row of ``df``."""
     mapping.check_columns(df.columns)
-    messages, text, reason = _BUILDERS[mapping.task_format](df, mapping)
-    judged = df.select(
-        F.col(row_id).alias("row_id"),
+    usable = F.col("_reason").isNull()
+    return _BUILDERS[mapping.task_format](df, mapping).select(
+        named(row_id).alias("row_id"),
         *keep,
-        messages.cast(MESSAGES).alias("messages"),
-        text.alias("text"),
-        reason.cast("string").alias("drop_reason"),
-    )
-    usable = F.col("drop_reason").isNull()
-    return judged.withColumns(
-        {"messages": F.when(usable, F.col("messages")), "text": F.when(usable, F.col("text"))}
+        F.when(usable, F.col("_turns").cast(MESSAGES)).alias("messages"),
+        F.when(usable, F.col("_text")).alias("text"),
+        F.col("_reason").cast("string").alias("drop_reason"),
     )
 
 

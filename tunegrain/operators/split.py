@@ -83,6 +83,34 @@ def _nth_lowest(rows: DataFrame, row_id: str, eval_ratio: float) -> int | None:
     return None
 
 
+def _key(row_id: str, seed: int, shuffle: bool) -> Column:
+    return split_key(F.col(row_id), seed) if shuffle else F.col(row_id)
+
+
+def find_cut(
+    rows: DataFrame, eval_ratio: float, seed: int = DEFAULT_SEED, shuffle: bool = True, row_id: str = "row_id"
+) -> DataFrame:
+    """At most one row with ``cut``: the (key, row_id) of the last held-out row."""
+    if shuffle:
+        keyed = rows.select(_key(row_id, seed, True).alias("key"), F.col(row_id).alias("row_id"))
+        return _cut(keyed.withColumn("bucket", F.substring("key", 1, PREFIX_DIGITS)), eval_ratio)
+    last = _nth_lowest(rows, row_id, eval_ratio)
+    id_type = rows.schema[row_id].dataType.simpleString()
+    found = [] if last is None else [((last, last),)]
+    return rows.sparkSession.createDataFrame(found, f"cut struct<key: {id_type}, row_id: {id_type}>")
+
+
+def mark(
+    rows: DataFrame, cut: Column, seed: int = DEFAULT_SEED, shuffle: bool = True, row_id: str = "row_id"
+) -> DataFrame:
+    """``rows`` plus ``split_key`` and ``split``, given the cut (null when nothing is held out)."""
+    key = _key(row_id, seed, shuffle)
+    held_out = F.coalesce(F.struct(key.alias("key"), F.col(row_id).alias("row_id")) <= cut, F.lit(False))
+    return rows.withColumns(
+        {"split_key": key, "split": F.when(held_out, F.lit("eval")).otherwise(F.lit("train"))}
+    )
+
+
 def add_split(
     rows: DataFrame,
     eval_ratio: float = DEFAULT_EVAL_RATIO,
@@ -95,18 +123,7 @@ def add_split(
     Without ``shuffle`` the held-out rows are those with the lowest ids, which must be
     whole numbers.
     """
-    if shuffle:
-        key = split_key(F.col(row_id), seed)
-        keyed = rows.select(key.alias("key"), F.col(row_id).alias("row_id"))
-        cut = _cut(keyed.withColumn("bucket", F.substring("key", 1, PREFIX_DIGITS)), eval_ratio).scalar()
-        held_out = F.coalesce(F.struct(key.alias("key"), F.col(row_id).alias("row_id")) <= cut, F.lit(False))
-    else:
-        key = F.col(row_id)
-        last = _nth_lowest(rows, row_id, eval_ratio)
-        held_out = F.lit(False) if last is None else key <= last
-    return rows.withColumns(
-        {"split_key": key, "split": F.when(held_out, F.lit("eval")).otherwise(F.lit("train"))}
-    )
+    return mark(rows, find_cut(rows, eval_ratio, seed, shuffle, row_id).scalar(), seed, shuffle, row_id)
 
 
 def usable(measured: DataFrame) -> DataFrame:
@@ -114,16 +131,11 @@ def usable(measured: DataFrame) -> DataFrame:
     return measured.where(~F.col("empty_output"))
 
 
-def split_counts(split_rows: DataFrame) -> DataFrame:
-    """One row: example, train and eval counts."""
+def split_counts(split_rows: DataFrame, *others: Column) -> DataFrame:
+    """One row: example, train and eval counts, and any other aggregates asked for."""
     return split_rows.agg(
         F.count("*").alias("n_examples"),
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "eval").alias("n_eval"),
+        *others,
     )
-
-
-def has_system(messages: Column) -> Column:
-    """Aggregate: does any example carry a non-empty system turn?"""
-    speaks = F.exists(messages, lambda m: (m["role"] == "system") & (m["content"] != ""))
-    return F.coalesce(F.bool_or(F.coalesce(speaks, F.lit(False))), F.lit(False))

@@ -48,6 +48,7 @@ def measure(
             "tokens": F.when(usable, estimate_tokens(full, tokenizer)),
             "output_len": F.when(usable, chat.output_length(F.col("messages"), F.col("text"))),
             "dup_key": F.when(usable, F.unhex(F.sha2(compared, 256))),
+            "has_system": F.coalesce(chat.speaks_as_system(F.col("messages")), F.lit(False)),
         }
     )
     length = F.col("output_len")

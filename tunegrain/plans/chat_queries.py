@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.functions import chat
 from tunegrain.operators import normalize as norm
-from tunegrain.operators import split, validate
+from tunegrain.operators import validate
 from tunegrain.plans.fixtures import (
     CHAT_MAPPING,
     CHAT_SQL,
@@ -58,7 +58,7 @@ def has_system_prompt(spark: SparkSession, folder: str) -> DataFrame:
     """How many conversations bring a system turn of their own, and whether any does."""
     own = chat.system_text(F.col("messages")).isNotNull()
     return conversations(spark, folder).agg(
-        split.has_system(F.col("messages")).alias("has_system"), F.count_if(own).alias("n_with_system")
+        F.bool_or(chat.speaks_as_system(F.col("messages"))).alias("has_system"), F.count_if(own).alias("n_with_system")
     )
 
 

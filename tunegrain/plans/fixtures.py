@@ -12,13 +12,14 @@ from tunegrain.functions.text import PY_WHITESPACE
 from tunegrain.operators import normalize as norm
 from tunegrain.operators import telemetry, validate
 from tunegrain.schema import FieldMapping, TaskFormat
+from tunegrain.session import fit_shuffles
 
 TEXT_MAPPING = FieldMapping(TaskFormat.COMPLETION, text_field="text")
 CHAT_MAPPING = FieldMapping(TaskFormat.CHAT, messages_field="messages", system_prompt="You are a helpful assistant.")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return fit_shuffles(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def normalized_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,13 +14,13 @@ from tunegrain.operators import normalize as norm
 from tunegrain.operators import split as splitting
 from tunegrain.operators import validate
 from tunegrain.schema import DatasetInfo, FieldMapping
-from tunegrain.session import materialize
+from tunegrain.session import fit_shuffles, materialize
 from tunegrain.sources import prepared
 
 
 @dataclass(frozen=True)
-class Prepared:
-    """Stored per-row table and the lazy frames derived from it."""
+class Analysis:
+    """Stored per-row table (text and facts) and what follows from its facts."""
 
     rows: DataFrame
     report: DataFrame
@@ -38,16 +38,22 @@ def analyze(
     max_seq_length: int = validate.DEFAULT_MAX_SEQ_LENGTH,
     shuffle: bool = True,
     tokenizer: Callable[[Column], Column] | None = None,
-) -> Prepared:
-    """Normalize and measure once into a stored table; everything after reads its columns."""
-    normalized = norm.normalize(raw, mapping, row_id)
+) -> Analysis:
+    """Normalize and measure once into a stored table; everything after reads its columns.
+
+    The text is written once. Report and split read only ids and facts, and the cut between
+    train and eval is stored, so every later read sees the same split.
+    """
+    normalized = norm.normalize(fit_shuffles(raw), mapping, row_id)
     rows = materialize(validate.measure(normalized, max_seq_length, tokenizer), "measured")
     summary = materialize(validate.summarize(rows), "summary")
-    return Prepared(
+    kept = splitting.usable(rows)
+    cut = materialize(splitting.find_cut(kept, eval_ratio, seed, shuffle), "cut")
+    return Analysis(
         rows,
         validate.verdict(summary, max_seq_length),
         validate.issues(rows, max_seq_length, summary),
-        splitting.add_split(splitting.usable(rows), eval_ratio, seed, shuffle),
+        splitting.mark(kept, cut.scalar(), seed, shuffle),
     )
 
 
@@ -95,13 +101,11 @@ def prepare(
         shuffle=shuffle,
         tokenizer=tokenizer,
     )
-    # The split of every row is fixed here, so that the two writes below cannot disagree.
-    split = materialize(done.split.select("split_key", "split", "messages", "text"), "split")
     directory = f"{root}/{dataset_id}"
     for part in (prepared.TRAIN, prepared.EVAL):
-        chosen = split.where(F.col("split") == part)
+        chosen = done.split.where(F.col("split") == part)
         prepared.write_examples(chosen, f"{directory}/{part}", order="split_key")
-    counts = splitting.split_counts(split).first()
+    counts = splitting.split_counts(done.split, F.bool_or("has_system").alias("has_system")).first()
     report = done.report.first().asDict()
     findings = [
         {"level": r.level, "code": r.code, "message": r.message, "count": r.n_rows, "rows": r.rows or []}
@@ -114,7 +118,7 @@ def prepare(
         n_examples=counts.n_examples,
         n_train=counts.n_train,
         n_eval=counts.n_eval,
-        has_system=split.agg(splitting.has_system(F.col("messages"))).first()[0],
+        has_system=bool(counts.has_system),
         source_columns=[c for c in raw.columns if c != row_id],
         mapping=mapping.to_dict(),
         source_files=source_files or [],
@@ -123,7 +127,7 @@ def prepare(
     validation = {key: report[key] for key in ("n_examples", "n_valid", "ok", "has_errors")}
     validation |= {"issues": findings, "stats": info.stats}
     prepared.write_json_file(spark, f"{directory}/{prepared.VALIDATION_FILE}", validation)
-    preview = prepared.preview_text(split.where(F.col("split") == prepared.TRAIN), "split_key")
+    preview = prepared.preview_text(spark, f"{directory}/{prepared.TRAIN}")
     prepared.files.write_small_text(spark, f"{directory}/{prepared.PREVIEW_FILE}", preview)
     # Written last: a dataset is listed only once it is complete.
     prepared.write_json_file(spark, f"{directory}/{prepared.INFO_FILE}", info.to_dict())

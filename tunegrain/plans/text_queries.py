@@ -109,7 +109,8 @@ def steps_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return shape.pack(_usable_ids(spark, folder), MAX_TOKENS).select(
+    facts = split.usable(_stored(spark, folder)).select("row_id", "tokens")
+    return shape.pack(facts, MAX_TOKENS).select(
         "row_id", "tokens", "shard", F.col("pack").cast("bigint").alias("pack"), F.col("start").cast("bigint").alias("start")
     )
 

@@ -50,6 +50,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tunegrain/{label}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_BYTES = 512 * 1024**2
+MOST_PARTITIONS = 65_536
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a frame as the optimizer sees it (file sizes for a plain scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fit_shuffles(df: DataFrame) -> DataFrame:
+    """Let shuffles start with enough partitions for this input; only ever raises the number.
+
+    Adaptive execution merges small partitions but never adds any, so the starting number has
+    to follow the data. Small inputs keep the session's own setting.
+    """
+    spark = df.sparkSession
+    wanted = min(MOST_PARTITIONS, -(-planned_bytes(df) // SHUFFLE_BYTES))
+    current = int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > current:
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes skip its lineage."""
     spark = df.sparkSession

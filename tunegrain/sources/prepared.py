@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.functions import chat
 from tunegrain.schema import EXAMPLE, DatasetInfo
+from tunegrain.session import fit_shuffles
 from tunegrain.sources import files
 
 TRAIN, EVAL = "train", "eval"
@@ -47,8 +48,9 @@ def record_columns(df: DataFrame) -> list[Column]:
 
 def write_examples(df: DataFrame, path: str, order: str | None = None) -> None:
     """JSON lines, null fields left out; with ``order``, part files follow that column."""
-    ordered = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
-    ordered.select(*record_columns(df)).write.mode("overwrite").json(path)
+    if order:
+        df = fit_shuffles(df).repartitionByRange(order).sortWithinPartitions(order)
+    df.select(*record_columns(df)).write.mode("overwrite").json(path)
 
 
 def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -77,11 +79,18 @@ def training_frames(
     return train, (None if held_out.isEmpty() else training_text(held_out, template))
 
 
-def preview_text(train: DataFrame, order: str, n: int = PREVIEW_EXAMPLES) -> str:
-    """The first ``n`` examples in readable form."""
-    shown = train.orderBy(order).limit(n).select(chat.render_preview(F.col("messages"), F.col("text")).alias("block"))
-    blocks = [f"===== Example {i} =====\n{row.block}" for i, row in enumerate(shown.collect(), 1)]
-    return "\n\n".join(blocks)
+def preview_text(spark: SparkSession, path: str, n: int = PREVIEW_EXAMPLES) -> str:
+    """The first ``n`` stored examples in readable form.
+
+    Part files are in order, so only the first ones are opened and only their first lines read.
+    """
+    blocks: list[str] = []
+    for name in files.children(spark, path):
+        if name.startswith("part-") and len(blocks) < n:
+            head = read_examples(spark, f"{path}/{name}", n - len(blocks))
+            shown = head.select(chat.render_preview(F.col("messages"), F.col("text")).alias("block"))
+            blocks += [row.block for row in shown.collect()]
+    return "\n\n".join(f"===== Example {i} =====\n{block}" for i, block in enumerate(blocks, 1))
 
 
 def write_json_file(spark: SparkSession, path: str, value: dict) -> None:
