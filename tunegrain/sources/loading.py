@@ -23,7 +23,7 @@ from tunegrain.functions.text import named, strip, strip_computed
 from tunegrain.session import materialize
 from tunegrain.sources import files, office
 from tunegrain.sources.files import FileSet
-from tunegrain.sources.typed import POSITION, to_columns
+from tunegrain.sources.typed import HEAD_ROWS, POSITION, column_types, in_seen_order, schema_ddl, spread, to_columns
 
 NOTES = "file string, reason string"
 
@@ -36,8 +36,13 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+RAGGED = "differ in length from the header; extra fields dropped"
+
 HEAD_BYTES = 64 * 1024
+MOST_BROADCAST_SPLITS = 500_000
 ROW_ID = "row_id"
+# A remark about a row that was read all the same; becomes a note about its file.
+ROW_NOTE = "_note"
 
 
 class LoadError(RuntimeError):
@@ -84,22 +89,50 @@ def _whole_files_only(rows: DataFrame, defects: DataFrame) -> DataFrame:
     return rows.join(defects.select(F.col("file").alias("_file")), "_file", "left_anti")
 
 
-def read_jsonl(spark: SparkSession, files_: FileSet) -> Loaded:
-    lines = _scan(spark, files_, "text").select(
+def _lines(scan: DataFrame) -> DataFrame:
+    placed = scan.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         strip(F.col("value")).alias("line"),
     )
-    numbered = lines.where(F.col("line") != "").withColumn("_pos", F.monotonically_increasing_id())
-    parsed = materialize(numbered.withColumn("v", jsontext.parse_strict(F.col("line"))), "jsonl")
-    defects = (
-        parsed.groupBy(F.col("_file").alias("file"))
-        .agg(F.count_if(F.col("v").isNull()).alias("bad"))
-        .where("bad > 0")
-        .select("file", F.format_string("%d line(s) are not valid JSON", "bad").alias("reason"))
+    return placed.where(F.col("line") != "")
+
+
+def read_jsonl(spark: SparkSession, files_: FileSet) -> Loaded:
+    """Two passes over the lines: one row of findings per file, then the typed rows."""
+    lines = _lines(_scan(spark, files_, "text"))
+    parsed = lines.withColumn("v", jsontext.parse_strict(F.col("line")))
+    objects = jsontext.is_object(F.col("v"))
+    # The aggregate combines on the map side: one small row per file and task is shuffled.
+    findings = materialize(
+        parsed.groupBy(F.col("_file").alias("file")).agg(
+            F.count_if(F.col("v").isNull()).alias("bad"),
+            F.count_if(F.col("v").isNotNull() & ~objects).alias("plain"),
+            F.schema_of_variant_agg(F.when(objects, F.col("v"))).alias("shape"),
+        ),
+        "jsonl",
+    )
+    defects = findings.where("bad > 0").select(
+        "file", F.format_string("%d line(s) are not valid JSON", "bad").alias("reason")
     )
-    records = _whole_files_only(parsed, defects)
-    return to_columns(records.withColumn("keys", F.json_object_keys("line"))), defects
+    good = findings.where("bad = 0")
+    first_file, n_plain = good.agg(F.min("file"), F.coalesce(F.sum("plain"), F.lit(0))).first()
+    if first_file is None:
+        return None, defects
+    types = column_types(r.shape for r in good.select("shape").distinct().toLocalIterator())
+    names: list[str] = []
+    if types:
+        first = _lines(_scan(spark, files_, "text").where(F.col("_metadata.file_path") == first_file))
+        head = first.withColumn("_pos", F.monotonically_increasing_id()).orderBy("_block", "_pos").limit(HEAD_ROWS)
+        names = in_seen_order(head.withColumn("keys", F.json_object_keys("line")), list(types))
+    rows = _whole_files_only(lines, defects).withColumn("_pos", F.monotonically_increasing_id())
+    if names:
+        rows = rows.withColumn("_typed", F.from_json("line", schema_ddl(types, names)))
+    plain = None
+    if n_plain:
+        v = jsontext.parse_strict(F.col("line"))
+        plain = F.when(~F.startswith("line", F.lit("{")), F.try_variant_get(v, "$", "string"))
+    return spread(rows, names, plain), defects
 
 
 def explode_document(rows: DataFrame, text: str) -> DataFrame:
@@ -177,7 +210,7 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
             layouts.setdefault((header, sep or sniff_separator(header)), []).append(row.path)
         else:
             empty.append((row.file, "no columns to parse"))
-    frames, notes = [], [_notes(spark, empty)]
+    frames = []
     for (header, delimiter), paths in sorted(layouts.items()):
         names = _header_columns(header, delimiter)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_ragged"]])
@@ -188,22 +221,16 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
             .csv(paths)
         )
         cells = [F.when(~named(n).isin(*NA_TOKENS), named(n)).alias(n) for n in names]
-        placed = rows.select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.lit(0).cast("bigint").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"),
-            "_ragged",
-            *cells,
+        frames.append(
+            rows.select(
+                F.col("_metadata.file_path").alias("_file"),
+                F.lit(0).cast("bigint").alias("_block"),
+                F.monotonically_increasing_id().alias("_pos"),
+                F.when(F.col("_ragged").isNotNull(), F.lit(RAGGED)).alias(ROW_NOTE),
+                *cells,
+            )
         )
-        stored = materialize(placed, "csv")
-        notes.append(
-            stored.where(F.col("_ragged").isNotNull())
-            .groupBy(F.col("_file").alias("file"))
-            .agg(F.count("*").alias("n"))
-            .select("file", F.format_string("%d row(s) differ in length from the header; extra fields dropped", "n").alias("reason"))
-        )
-        frames.append(stored.drop("_ragged"))
-    return (_unite(frames) if frames else None), reduce(DataFrame.unionByName, notes)
+    return (_unite(frames) if frames else None), _notes(spark, empty)
 
 
 def read_csv(spark: SparkSession, files_: FileSet) -> Loaded:
@@ -330,23 +357,33 @@ def number_rows(placed: DataFrame) -> DataFrame:
     )
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = extents.withColumn("_start", F.coalesce(F.sum("_extent").over(earlier), F.lit(0))).drop("_extent")
+    starts = materialize(starts, "starts")
+    if starts.count() <= MOST_BROADCAST_SPLITS:
+        # At most this many short rows: small enough to send to every executor.
+        starts = F.broadcast(starts)
     numbered = placed.join(starts, ["_file", "_block"]).withColumn(
         ROW_ID, F.col("_start") + F.col("_pos") - F.col("_low")
     )
-    return numbered.select(ROW_ID, *[named(c) for c in placed.columns if c not in POSITION])
+    return numbered.select(ROW_ID, *[named(c) for c in placed.columns if c not in (*POSITION, ROW_NOTE)])
 
 
 def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]]) -> RawTable:
     loaded = [READERS[s.fmt](spark, s) for s in sets]
     frames = [frame for frame, _ in loaded if frame is not None and len(frame.columns) > len(POSITION)]
     all_notes = reduce(DataFrame.unionByName, [n for _, n in loaded], _notes(spark, notes))
-    rows = number_rows(materialize(_unite(frames), "raw")) if frames else None
-    if rows is None or rows.isEmpty():
+    stored = materialize(_unite(frames), "raw") if frames else None
+    listings = reduce(DataFrame.unionByName, [s.listing(spark) for s in sets]) if sets else None
+    if stored is None or stored.isEmpty():
         reasons = " ".join(f"{r.file}: {r.reason}." for r in all_notes.limit(20).collect())
         raise LoadError(f"no records could be loaded. {reasons}".strip())
-    listings = reduce(DataFrame.unionByName, [s.listing(spark) for s in sets])
-    skipped = all_notes.where(~F.contains("reason", F.lit("extra fields dropped"))).select("file")
-    return RawTable(rows, all_notes, listings.join(skipped, "file", "left_anti"))
+    read = listings.join(all_notes.select("file"), "file", "left_anti")
+    if ROW_NOTE in stored.columns:
+        remarks = stored.where(F.col(ROW_NOTE).isNotNull()).groupBy(F.col("_file").alias("file"), ROW_NOTE)
+        counted = remarks.agg(F.count("*").alias("n"))
+        all_notes = all_notes.unionByName(
+            counted.select("file", F.format_string("%d row(s) %s", "n", ROW_NOTE).alias("reason"))
+        )
+    return RawTable(number_rows(stored), all_notes, read)
 
 
 def load_file(spark: SparkSession, path: str) -> RawTable:

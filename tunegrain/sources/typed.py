@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,33 +19,75 @@ HEAD_ROWS = 200
 _TYPE_WORD = re.compile(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b(?!:)|\bDECIMAL\(\d+, ?\d+\)")
 
 
-def _column_types(shape: str | None) -> dict[str, T.DataType]:
-    """Top-level columns of a merged VARIANT shape; values that only ever were null are strings."""
-    if not shape or not shape.startswith("OBJECT<") or shape == "OBJECT<>":
-        return {}
+def _parsed(shape: str) -> T.StructType:
+    """A VARIANT shape (``OBJECT<...>``) as a Spark type; unknown types stay void."""
 
     def spark_name(match: re.Match) -> str:
         word = match.group()
-        if word.startswith("`"):
-            return word
-        return {"O": "STRUCT<", "V": "STRING", "D": "DOUBLE"}[word[0]]
+        return word if word.startswith("`") else {"O": "STRUCT<", "V": "VOID", "D": "DOUBLE"}[word[0]]
 
-    fields = T.DataType.fromDDL(_TYPE_WORD.sub(spark_name, shape)).fields
-    # Rows that disagree on a column's type leave it a VARIANT; such a column becomes text.
-    return {f.name: T.StringType() if isinstance(f.dataType, T.VariantType) else f.dataType for f in fields}
+    return T.DataType.fromDDL(_TYPE_WORD.sub(spark_name, shape))
 
 
-def _in_seen_order(records: DataFrame, names: list[str]) -> list[str]:
-    """Columns of the first rows in the order they are met there, then the others by name."""
-    head = records.orderBy(*POSITION).limit(HEAD_ROWS).select("keys", *POSITION)
+def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds both; text where they do not agree."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        mine, other = {f.name: f.dataType for f in a}, {f.name: f.dataType for f in b}
+        names = [*mine, *(n for n in other if n not in mine)]
+        return T.StructType(
+            [T.StructField(n, _merged(mine.get(n, T.NullType()), other.get(n, T.NullType()))) for n in names]
+        )
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_merged(a.elementType, b.elementType))
+    if {type(a), type(b)} == {T.LongType, T.DoubleType}:
+        return T.DoubleType()
+    return T.VariantType()
+
+
+def _settled(dtype: T.DataType, top: bool = False) -> T.DataType:
+    """Values that only ever were null are text; so is a column whose rows disagree on its type."""
+    if isinstance(dtype, T.NullType) or (top and isinstance(dtype, T.VariantType)):
+        return T.StringType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_settled(dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _settled(f.dataType, False)) for f in dtype])
+    return dtype
+
+
+def column_types(shapes: Iterable[str | None]) -> dict[str, T.DataType]:
+    """Top-level columns over several merged shapes."""
+    known = [_parsed(s) for s in shapes if s and s.startswith("OBJECT<") and s != "OBJECT<>"]
+    merged = reduce(_merged, known) if known else T.StructType([])
+    return {f.name: _settled(f.dataType, top=True) for f in merged}
+
+
+def in_seen_order(head: DataFrame, names: Sequence[str]) -> list[str]:
+    """``names`` in the order met in ``head`` (few rows of position and ``keys``), then the rest by name."""
     spots = head.select(F.posexplode("keys").alias("at", "name"), *POSITION)
     first = spots.groupBy("name").agg(F.min(F.struct(*POSITION, "at")).alias("first"))
     seen = [row["name"] for row in first.orderBy("first").collect()]
-    return [n for n in seen if n in names] + [n for n in names if n not in seen]
+    return [n for n in seen if n in names] + sorted(n for n in names if n not in seen)
+
+
+def schema_ddl(types: dict[str, T.DataType], names: Sequence[str]) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` {types[name].simpleString()}" for name in names)
+
+
+def spread(rows: DataFrame, names: Sequence[str], plain: F.Column | None) -> DataFrame:
+    """Position, the fields of ``_typed``, and ``plain`` (text of values that are no objects) as ``value``."""
+    columns = {name: F.col("_typed").getField(name) for name in names}
+    if plain is not None:
+        columns[WRAPPED] = F.coalesce(plain, columns[WRAPPED].cast("string")) if WRAPPED in columns else plain
+    return rows.select(*POSITION, *[c.alias(name) for name, c in columns.items()])
 
 
 def to_columns(records: DataFrame) -> DataFrame:
-    """``records`` has the position columns, ``v`` (VARIANT) and ``keys`` (names in written order).
+    """Stored ``records`` (position columns, ``v``: VARIANT, ``keys``: names as written) to columns.
 
     Values that are not objects go to a column named ``value``.
     """
@@ -51,16 +95,9 @@ def to_columns(records: DataFrame) -> DataFrame:
     shape, n_wrapped = records.agg(
         F.schema_of_variant_agg(F.when(~wrapped, F.col("v"))), F.count_if(wrapped)
     ).first()
-    types = _column_types(shape)
-    fields = ", ".join(f"`{name.replace('`', '``')}` {dtype.simpleString()}" for name, dtype in types.items())
-    names = _in_seen_order(records, list(types)) if types else []
-    out = records
-    if names:
-        out = out.withColumn("_typed", F.try_variant_get("v", "$", f"struct<{fields}>"))
-    columns = {name: F.col("_typed").getField(name) for name in names}
-    if n_wrapped:
-        plain = F.when(wrapped, F.try_variant_get("v", "$", "string"))
-        columns[WRAPPED] = (
-            F.coalesce(plain, columns[WRAPPED].cast("string")) if WRAPPED in columns else plain
-        )
-    return out.select(*POSITION, *[c.alias(name) for name, c in columns.items()])
+    types = column_types([shape])
+    names = in_seen_order(records.orderBy(*POSITION).limit(HEAD_ROWS), list(types)) if types else []
+    typed = records.withColumn("_typed", F.try_variant_get("v", "$", f"struct<{schema_ddl(types, names)}>")) if names else records
+    plain = F.when(wrapped, F.try_variant_get("v", "$", "string")) if n_wrapped else None
+    return spread(typed, names, plain)
+
