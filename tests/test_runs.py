@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunegrain.functions.text import estimate_tokens, token_counter
 from tunegrain.operators import ledger, synth, telemetry
 from tunegrain.schema import EVENT
 from tunegrain.streaming import runs
@@ -51,6 +52,41 @@ def test_event_constructors(spark, tmp_path):
     assert got == [{"message": "hi", "level": "info"}, {"step": 3, "loss": 0.5}, {"status": "running"}, {"message": "no"}]
 
 
+def test_clearing_one_job_in_the_store(spark, tmp_path):
+    path = str(tmp_path / "ev")
+    ev = event_rows(spark, [(i, f"j{i % 4}", "log", {}) for i in range(40)]).select(*EVENT.names)
+    telemetry.append_events(ev, path, buckets=3)
+    for job in ("j1", "j2", "j0"):
+        telemetry.clear_history(spark, path, job, buckets=3)
+    assert {r.job_id for r in telemetry.read_events(spark, path).collect()} == {"j3"}
+    assert telemetry.read_events(spark, path).count() == 10
+
+
+def test_python_hooks_fall_back_on_errors(spark):
+    def count(text):
+        if text == "bad":
+            raise ValueError(text)
+        return len(text.split())
+
+    def reply(system, prompt):
+        if "bad" in prompt:
+            raise RuntimeError("no model")
+        return '[{"instruction": "q", "output": "a"}]'
+
+    df = spark.createDataFrame([(1, "one two three"), (2, "bad"), (3, "x" * 12)], "id int, text string")
+    counted = df.select("id", estimate_tokens(F.col("text"), token_counter(count)).alias("n")).orderBy("id").collect()
+    assert [r.n for r in counted] == [3, 1, 1]
+    pairs = synth.reply_pairs(synth.extract_json(synth.with_replies(df, synth.completion(reply))), ["id"])
+    assert sorted(r.id for r in pairs.collect()) == [1, 3]
+
+
+def test_tombstones_delete(spark):
+    puts = spark.createDataFrame([("a", 1, "put", 5), ("b", 1, "put", 6)], "id string, version int, op string, x int")
+    gone = ledger.tombstones(puts.where("id = 'a'"), "id", F.lit(2))
+    state = ledger.current_state(puts.unionByName(gone, allowMissingColumns=True), "id", ["x"])
+    assert [(r.id, r.x) for r in state.collect()] == [("b", 6)]
+
+
 def test_bounded_history_evicts_before_choosing_kinds(spark):
     ev = event_rows(spark, [(i, "j", "log" if i < 5 else "metric", {}) for i in range(10)])
     assert telemetry.bounded_history(ev, ["log"], 5).count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,3 +147,25 @@ def estimate_tokens(text: Column, tokenizer: Callable[[Column], Column] | None =
     """About four characters per token, at least one; a tokenizer's non-null answer wins."""
     estimate = F.greatest(F.lit(1), F.bround(F.length(text) / F.lit(float(CHARS_PER_TOKEN))).cast("int"))
     return estimate if tokenizer is None else F.coalesce(tokenizer(text).cast("int"), estimate)
+
+
+def or_none(call: Callable[..., object], rows: Iterable[tuple]) -> pd.Series:
+    """``call`` on each row; a row for which it raises gets null."""
+
+    def attempt(row: tuple):
+        try:
+            return None if any(v is None for v in row) else call(*row)
+        except Exception:
+            return None
+
+    return pd.Series([attempt(row) for row in rows], dtype=object)
+
+
+def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:
+    """A tokenizer for ``estimate_tokens`` from a Python function; errors fall back to the estimate."""
+
+    @F.pandas_udf(T.IntegerType())
+    def counted(texts: pd.Series) -> pd.Series:
+        return or_none(count, zip(texts))
+
+    return counted

@@ -58,6 +58,11 @@ def time_label(epoch_seconds: Column) -> Column:
     return F.when(epoch_seconds != 0, text).otherwise("")
 
 
+def tombstones(ids: DataFrame, key: str, version: Column) -> DataFrame:
+    """Change rows that delete the given ids."""
+    return ids.select(F.col(key), version.alias("version"), F.lit("delete").alias("op"))
+
+
 def current_state(changes: DataFrame, key: str, columns: Sequence[str], version: str = "version") -> DataFrame:
     """Last written value of every column per id; ids whose last word is a delete are gone.
 

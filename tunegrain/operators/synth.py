@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunegrain.functions import jsontext
-from tunegrain.functions.text import blank_to_null, strip_computed
+from tunegrain.functions.text import blank_to_null, or_none, strip_computed
 
 # Prompt wording and the prompt's text window.
 SYSTEM_PROMPT = (
@@ -30,6 +30,16 @@ def synth_prompt(text: Column, n: int = 3) -> Column:
     return F.concat(F.lit(PROMPT_HEAD % n), F.substring(text, 1, PROMPT_CHARS), F.lit(PROMPT_TAIL))
 
 
+def completion(call: Callable[[str, str], str]) -> Callable[[Column, Column], Column]:
+    """``complete`` for ``with_replies`` from a Python function; a failed call gives no reply."""
+
+    @F.pandas_udf(T.StringType())
+    def replies(systems: pd.Series, prompts: pd.Series) -> pd.Series:
+        return or_none(call, zip(systems, prompts))
+
+    return replies
+
+
 def with_replies(chunks: DataFrame, complete: Callable[[Column, Column], Column], text: str = "text", n: int = 3) -> DataFrame:
     """Add ``reply``; ``complete(system, prompt)`` is usually a pandas UDF around a model."""
     return chunks.withColumn("reply", complete(F.lit(SYSTEM_PROMPT), synth_prompt(F.col(text), n)))

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.functions.text import py_float, py_round, significant
 from tunegrain.operators.toplist import first_per_key
+from tunegrain.session import materialize
+from tunegrain.sources import files
 
 LOG, METRIC, STATUS, ERROR = "log", "metric", "status", "error"
 
@@ -54,13 +56,16 @@ def event(event_id: Column, job_id: Column, kind: str | Column, data: Column, ts
     ]
 
 
+def _bucket(job_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
+
+
 def append_events(rows: DataFrame, path: str, buckets: int = 64) -> None:
     """Append to the event store, laid out by a bucket of the job id."""
-    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-    rows.withColumn("job_bucket", bucket).write.mode("append").partitionBy("job_bucket").parquet(path)
+    rows.withColumn("job_bucket", _bucket(F.col("job_id"), buckets)).write.mode("append").partitionBy("job_bucket").parquet(path)
 
 
-def read_events(spark, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
@@ -140,6 +145,18 @@ def rounded_epoch(epoch: Column) -> Column:
     return py_round(F.coalesce(epoch, F.lit(0.0)), 3)
 
 
+def clear_history(spark: SparkSession, path: str, job_id: str, buckets: int = 64) -> None:
+    """Remove one job's events from the store; only its bucket is rewritten."""
+    bucket = spark.range(1).select(_bucket(F.lit(job_id), buckets).alias("b")).first().b
+    stored = read_events(spark, path).where(F.col("job_bucket") == bucket)
+    rest = materialize(clear_job(stored, job_id), "events")
+    if rest.isEmpty():
+        files.remove_folder(spark, f"{path}/job_bucket={bucket}")
+    else:
+        overwrite = rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        overwrite.partitionBy("job_bucket").parquet(path)
+
+
 def clear_job(events: DataFrame, job_id: str) -> DataFrame:
     """The events that remain once a job's history is cleared."""
     return events.where(F.col("job_id") != job_id)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunegrain.functions import chat
 from tunegrain.operators import normalize as norm
@@ -13,7 +20,7 @@ from tunegrain.plans.fixtures import CHAT_MAPPING, CHAT_SQL, TEXT_MAPPING, conve
 from tunegrain.plans.text_queries import ORACLES as TEXT_ORACLES
 from tunegrain.schema import guess_mapping
 from tunegrain.session import fresh_path
-from tunegrain.sources import load_paths, prepared
+from tunegrain.sources import load_paths, office, prepared
 
 CHATML = chat.ChatTemplate.named("chatml", suffix="<|im_end|>\n")
 
@@ -82,9 +89,71 @@ def dataset_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _packed(parts: dict[str, str]) -> bytes:
+    """An office document from its XML parts."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, xml in parts.items():
+            package.writestr(name, xml)
+    return buffer.getvalue()
+
+
+def _docx(text: str) -> bytes:
+    """One paragraph per line of the text."""
+    body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    space = office.WORD.strip("{}")
+    return _packed({"word/document.xml": f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>'})
+
+
+def _xlsx(text: str) -> bytes:
+    """A header row, then one row per line of the text: its number and the line."""
+    main, relation = office.SHEET.strip("{}"), office.RELATION.strip("{}")
+    rows = '<row><c t="inlineStr"><is><t>no</t></is></c><c t="inlineStr"><is><t>line</t></is></c></row>' + "".join(
+        f'<row><c><v>{i}</v></c><c t="inlineStr"><is><t>{escape(line)}</t></is></c></row>'
+        for i, line in enumerate(text.split("\n"))
+    )
+    return _packed(
+        {
+            "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{relation}"><sheets><sheet r:id="a"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="sheet.xml"/></Relationships>',
+            "xl/sheet.xml": f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>',
+        }
+    )
+
+
+def _as_office_files(spark: SparkSession, folder: str, build: Callable[[str], bytes]) -> DataFrame:
+    """Every document as one office file: ``path`` (its number) and ``content``."""
+
+    @F.pandas_udf(T.BinaryType())
+    def content(texts: pd.Series) -> pd.Series:
+        return texts.map(build)
+
+    docs = table(spark, folder, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("path"), content("text").alias("content"))
+
+
+def docx_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    found = office.extract(_as_office_files(spark, folder, _docx), ".docx")
+    return found.select(
+        F.col("_file").cast("bigint").alias("doc_id"), "_pos", F.get_json_object("record", "$.text").alias("text"), "problem"
+    )
+
+
+def xlsx_rows(spark: SparkSession, folder: str) -> DataFrame:
+    found = office.extract(_as_office_files(spark, folder, _xlsx), ".xlsx")
+    return found.select(
+        F.col("_file").cast("bigint").alias("doc_id"),
+        F.get_json_object("record", "$.no").cast("bigint").alias("no"),
+        F.get_json_object("record", "$.line").alias("line"),
+        "problem",
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (jsonl_reader, csv_reader, mixed_folder, guessed_mapping, training_texts, dataset_catalog)
+    for f in (
+        jsonl_reader, csv_reader, mixed_folder, docx_paragraphs, xlsx_rows, guessed_mapping, training_texts, dataset_catalog,
+    )
 }
 
 _CHAT_ROWS = f"""
@@ -110,6 +179,13 @@ ORACLES = {
     "mixed_folder": """
         SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, NULL::INTEGER AS nation FROM part
         UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, s_nationkey FROM supplier""",
+    "docx_paragraphs": f"""
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS _pos, line AS text, NULL::VARCHAR AS problem
+        FROM (SELECT doc_id, generate_subscripts(parts, 1) AS i, {strip_sql('unnest(parts)')} AS line
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE line <> ''""",
+    "xlsx_rows": """
+        SELECT doc_id, generate_subscripts(parts, 1) - 1 AS no, unnest(parts) AS line, NULL::VARCHAR AS problem
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)""",
     "guessed_mapping": f"""
         SELECT conv_id, count(*) AS n_turns, {strip_sql("max_by(text, turn) FILTER (role = 'assistant')")} AS last_reply
         FROM conversations GROUP BY conv_id""",

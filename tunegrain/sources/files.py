@@ -75,6 +75,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def write_small_text(spark: SparkSession, path: str, text: str) -> None:
     """One small metadata file (a few kilobytes), replacing an older one."""
     fs, p = _hadoop(spark, path)

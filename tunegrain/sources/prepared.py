@@ -57,7 +57,10 @@ def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> D
     """Stored examples; ``messages`` wins over ``text`` when a record has both."""
     rows = spark.read.schema(EXAMPLE).json(path)
     if limit is not None:
-        rows = rows.limit(limit)
+        # Stored order is that of the part files and the lines in them.
+        place = {"_file": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start")}
+        placed = rows.withColumns(place).withColumn("_pos", F.monotonically_increasing_id())
+        rows = placed.orderBy("_file", "_block", "_pos").limit(limit).drop("_file", "_block", "_pos")
     return rows.withColumn("text", F.when(F.col("messages").isNull(), F.col("text")))
 
 
