@@ -189,7 +189,7 @@ def document_preview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_filter(spark: SparkSession, folder: str) -> DataFrame:
-    prompt = chat.history_prompt(F.col("messages"), F.lit("You help with this studio."), F.lit(REVIEW))
+    prompt = chat.history_prompt(F.col("messages"), F.lit("You help with fine-tuning."), F.lit(REVIEW))
     return conversations(spark, folder).select("conv_id", _lines(prompt).alias("turns"))
 
 
@@ -329,7 +329,7 @@ ORACLES = {
         SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS preview
         FROM documents""",
     "history_filter": f"""
-        SELECT conv_id, 'system=You help with this studio.' || chr(10)
+        SELECT conv_id, 'system=You help with fine-tuning.' || chr(10)
                || coalesce(string_agg(role || '=' || text, chr(10) ORDER BY turn)
                            FILTER (role IN ('user', 'assistant') AND text <> '') || chr(10), '')
                || 'user={REVIEW}' AS turns

@@ -332,7 +332,7 @@ ORACLES = {
         WHERE length(chunk) >= 1""",
     "synth_prompts": f"SELECT doc_id, {_PROMPT} AS prompt FROM documents",
     "synth_pairs": f"""
-        SELECT doc_id, 0 AS pair, 'How long? ' || length(prompt) AS instruction, translate(substr(prompt, 80, 60), '[]{}', '') AS output
+        SELECT doc_id, 0 AS pair, 'How long? ' || length(prompt) AS instruction, translate(substr(prompt, 80, 60), '[]{{}}', '') AS output
         FROM (SELECT doc_id, {_PROMPT} AS prompt FROM documents) WHERE length(prompt) % 6 <= 2""",
     "prepare_dataset": f"""
         SELECT split, md5(text) AS digest FROM ({_split_sql(0.05, SEED)}) JOIN ({DOCUMENTS_SQL}) USING (row_id)""",

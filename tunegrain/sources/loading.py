@@ -10,13 +10,14 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tunegrain.functions import jsontext
 from tunegrain.functions.text import named, strip, strip_computed
@@ -39,6 +40,7 @@ NA_TOKENS = (
 RAGGED = "differ in length from the header; extra fields dropped"
 
 HEAD_BYTES = 64 * 1024
+HEADER_READERS = 64
 MOST_BROADCAST_SPLITS = 500_000
 ROW_ID = "row_id"
 # A remark about a row that was read all the same; becomes a note about its file.
@@ -202,23 +204,27 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
 
     Only the header line of each file passes through the driver.
     """
+    found = [(r.file, r.path) for r in files_.listing(spark).select("file", "path").toLocalIterator()]
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda names: _first_line(spark, names[1]), found))
     layouts: dict[tuple[str, str], list[str]] = {}
     empty: list[tuple[str, str]] = []
-    for row in files_.listing(spark).select("file", "path").toLocalIterator():
-        header = _first_line(spark, row.path)
+    for (uri, path), header in zip(found, headers):
         if header:
-            layouts.setdefault((header, sep or sniff_separator(header)), []).append(row.path)
+            layouts.setdefault((header, sep or sniff_separator(header)), []).append(path)
         else:
-            empty.append((row.file, "no columns to parse"))
+            empty.append((uri, "no columns to parse"))
     frames = []
     for (header, delimiter), paths in sorted(layouts.items()):
         names = _header_columns(header, delimiter)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_ragged"]])
+        # One layout for all files is the usual case; the scan then lists the folder itself.
+        source = files_ if len(paths) == len(found) else FileSet(paths, files_.fmt, recursive=False)
         rows = (
             spark.read.schema(schema)
-            .options(header="true", sep=delimiter, multiLine="true", quote='"', escape='"')
+            .options(**source.options(), header="true", sep=delimiter, multiLine="true", quote='"', escape='"')
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_ragged", nullValue="", emptyValue="")
-            .csv(paths)
+            .csv(list(source.paths))
         )
         cells = [F.when(~named(n).isin(*NA_TOKENS), named(n)).alias(n) for n in names]
         frames.append(
@@ -346,18 +352,37 @@ def _unite(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(aligned, frames))
 
 
-def number_rows(placed: DataFrame) -> DataFrame:
-    """Replace the position columns by ``row_id``: ascending by file, then place in the file.
+def _starts(placed: DataFrame) -> DataFrame:
+    """``_file, _block, _low, _start``: the first row number of every scanned split.
 
-    ``placed`` must be stored, since ``_pos`` may only be read once. Offsets come from a
-    table with one row per scanned split, so rows are never sorted or gathered.
+    A running sum in two levels: the splits are cut into ranges, the ranges are summed up,
+    and each range runs on from its own start. Only range totals meet in one task.
     """
     extents = placed.groupBy("_file", "_block").agg(
         F.min("_pos").alias("_low"), (F.max("_pos") - F.min("_pos") + 1).alias("_extent")
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = extents.withColumn("_start", F.coalesce(F.sum("_extent").over(earlier), F.lit(0))).drop("_extent")
-    starts = materialize(starts, "starts")
+    ranged = extents.repartitionByRange("_file", "_block").withColumn("_range", F.spark_partition_id())
+    # Stored, so that the number of a split's range is fixed from here on.
+    splits = materialize(ranged, "splits")
+
+    def before(window: WindowSpec, amount: str) -> Column:
+        return F.coalesce(F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    totals = splits.groupBy("_range").agg(F.sum("_extent").alias("_total"))
+    offsets = totals.select("_range", before(Window.orderBy("_range"), "_total").alias("_offset"))
+    inside = before(Window.partitionBy("_range").orderBy("_file", "_block"), "_extent")
+    return splits.withColumn("_inside", inside).join(offsets, "_range").select(
+        "_file", "_block", "_low", (F.col("_offset") + F.col("_inside")).alias("_start")
+    )
+
+
+def number_rows(placed: DataFrame) -> DataFrame:
+    """Replace the position columns by ``row_id``: ascending by file, then place in the file.
+
+    ``placed`` must be stored, since ``_pos`` may only be read once. Rows are never sorted:
+    each adds its place in its split to the split's first number.
+    """
+    starts = materialize(_starts(placed), "starts")
     if starts.count() <= MOST_BROADCAST_SPLITS:
         # At most this many short rows: small enough to send to every executor.
         starts = F.broadcast(starts)
