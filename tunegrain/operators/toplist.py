@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 SLICES = 1024
 FEW = 20
+MAP_SIDE_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -27,6 +28,9 @@ def first_per_key(
     bundled into slices and ranked per slice before the survivors of all slices (at most
     ``n * slices`` per key) meet. Any assignment of rows to slices gives the same result.
     """
+    if n > int(df.sparkSession.conf.get(MAP_SIDE_LIMIT)):
+        # Beyond this number (1000 by default) Spark would send every row to the reducers.
+        df.sparkSession.conf.set(MAP_SIDE_LIMIT, str(n))
     slices = slices or (1 if n <= FEW else SLICES)
     if slices > 1:
         sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
