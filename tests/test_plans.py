@@ -62,7 +62,7 @@ def test_duplicates_combine_before_the_shuffle_and_leave_the_text(spark):
 
 
 def test_latest_rows_are_limited_on_the_map_side(spark):
-    ev = spark.range(10).selectExpr("id event_id", "string(id) job_id", "'log' kind", "'{}' data", "now() ts")
+    ev = spark.range(10**6).selectExpr("id event_id", "string(id) job_id", "'log' kind", "'{}' data", "now() ts")
     plan = plan_of(telemetry.last_events(ev, 5000))
     assert plan.count("WindowGroupLimit") == 4 and plan.count("Partial") >= 2
 

@@ -68,7 +68,7 @@ def first_occurrences(measured: DataFrame) -> DataFrame:
     reaches the reducer as one row per task.
     """
     return (
-        measured.where(F.col("dup_key").isNotNull())
+        measured.where(F.col("drop_reason").isNull())
         .groupBy("dup_key")
         .agg(F.min("row_id").alias("row_id"), F.count("*").alias("n_copies"))
         .drop("dup_key")
