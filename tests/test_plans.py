@@ -23,8 +23,9 @@ def scanned(df):
 @pytest.mark.parametrize(
     ("query", "columns"),
     [
-        (text_queries.split_membership, {"doc_id", "text"}),
-        (text_queries.duplicate_rows, {"doc_id", "text"}),
+        (text_queries.token_estimate, {"doc_id", "text"}),
+        (text_queries.split_membership, {"row_id", "empty_output"}),
+        (text_queries.duplicate_rows, {"row_id", "drop_reason", "dup_key"}),
         (run_queries.last_n_events, {"event_id", "ts", "user_id", "event_type"}),
         (run_queries.latest_checkpoint, {"l_orderkey", "l_linenumber"}),
         (run_queries.jobs_by_status, {"o_orderstatus"}),

@@ -66,7 +66,7 @@ def report_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return validate.duplicate_rows(measured_documents(spark, folder))
+    return validate.duplicate_rows(_stored(spark, folder))
 
 
 def dedupe_keep_first(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,17 +77,22 @@ def _usable_ids(spark: SparkSession, folder: str) -> DataFrame:
     return split.usable(measured_documents(spark, folder)).select("row_id", "tokens")
 
 
+def _stored_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored facts, for operators that look at the ids more than once."""
+    return split.usable(_stored(spark, folder)).select("row_id", "tokens")
+
+
 def split_membership(spark: SparkSession, folder: str) -> DataFrame:
-    return split.add_split(_usable_ids(spark, folder)).select("row_id", "split_key", "split")
+    return split.add_split(_stored_ids(spark, folder)).select("row_id", "split_key", "split")
 
 
 def split_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    ids = _usable_ids(spark, folder)
+    ids = _stored_ids(spark, folder)
     return split.add_split(ids, eval_ratio=0.29, shuffle=False).select("row_id", "split")
 
 
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
-    ids = _usable_ids(spark, folder)
+    ids = _stored_ids(spark, folder)
     return split.split_counts(split.add_split(ids, eval_ratio=0.1, seed=7))
 
 
@@ -109,8 +114,7 @@ def steps_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    facts = split.usable(_stored(spark, folder)).select("row_id", "tokens")
-    return shape.pack(facts, MAX_TOKENS).select(
+    return shape.pack(_stored_ids(spark, folder), MAX_TOKENS).select(
         "row_id", "tokens", "shard", F.col("pack").cast("bigint").alias("pack"), F.col("start").cast("bigint").alias("start")
     )
 

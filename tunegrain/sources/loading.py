@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tunegrain.functions import jsontext
-from tunegrain.functions.text import named, strip, strip_computed
+from tunegrain.functions.text import let, named, strip, strip_computed
 from tunegrain.session import materialize
 from tunegrain.sources import files, office
 from tunegrain.sources.files import FileSet
@@ -272,9 +272,14 @@ def read_parquet(spark: SparkSession, files_: FileSet) -> Loaded:
 def split_paragraphs(text: Column, min_chars: int = 1) -> Column:
     """Stripped chunks between blank lines; the whole text if no chunk is long enough."""
     lines = F.regexp_replace(F.make_valid_utf8(text), "\r\n?", "\n")
-    chunks = F.filter(F.transform(F.split(lines, "\n\n"), strip), lambda c: F.length(c) >= min_chars)
-    whole = strip_computed(lines)
-    return F.when((F.size(chunks) == 0) & (whole != ""), F.array(whole)).otherwise(chunks)
+
+    def chunks_of(all_lines: Column) -> Column:
+        whole = strip_computed(all_lines)
+        kept = F.filter(F.transform(F.split(all_lines, "\n\n"), strip), lambda c: F.length(c) >= min_chars)
+        fallback = F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+        return let(kept, lambda chunks: F.when(F.size(chunks) > 0, chunks).otherwise(fallback))
+
+    return let(lines, chunks_of)
 
 
 def read_text(spark: SparkSession, files_: FileSet) -> Loaded:
