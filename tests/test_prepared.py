@@ -31,7 +31,7 @@ def test_files_and_metadata(spark, done):
     assert ds.report["n_examples"] == 60 and ds.report["n_valid"] == 54 and not ds.report["ok"]
     assert [i["code"] for i in ds.report["issues"]] == ["unparsed_rows", "empty_output"]
     assert ds.report["issues"][1]["rows"] == [0, 10, 20, 30, 40] and ds.report["issues"][1]["count"] == 6
-    line = spark.read.text(f"{ds.directory}/train").first().value
+    line = spark.read.text(prepared.split_folder(ds.directory, "train")).first().value
     record = json.loads(line)
     assert list(record) == ["messages"] and [m["role"] for m in record["messages"]] == ["system", "user", "assistant"]
     assert "é" in line

@@ -102,9 +102,7 @@ def prepare(
         tokenizer=tokenizer,
     )
     directory = f"{root}/{dataset_id}"
-    for part in (prepared.TRAIN, prepared.EVAL):
-        chosen = done.split.where(F.col("split") == part)
-        prepared.write_examples(chosen, f"{directory}/{part}", order="split_key")
+    prepared.write_splits(done.split, directory)
     counts = splitting.split_counts(done.split, F.bool_or("has_system").alias("has_system")).first()
     report = done.report.first().asDict()
     findings = [
@@ -127,7 +125,7 @@ def prepare(
     validation = {key: report[key] for key in ("n_examples", "n_valid", "ok", "has_errors")}
     validation |= {"issues": findings, "stats": info.stats}
     prepared.write_json_file(spark, f"{directory}/{prepared.VALIDATION_FILE}", validation)
-    preview = prepared.preview_text(spark, f"{directory}/{prepared.TRAIN}")
+    preview = prepared.preview_text(spark, prepared.split_folder(directory, prepared.TRAIN))
     prepared.files.write_small_text(spark, f"{directory}/{prepared.PREVIEW_FILE}", preview)
     # Written last: a dataset is listed only once it is complete.
     prepared.write_json_file(spark, f"{directory}/{prepared.INFO_FILE}", info.to_dict())

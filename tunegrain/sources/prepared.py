@@ -1,7 +1,7 @@
 """Prepared datasets on storage.
 
-Layout of one dataset folder: ``train/`` and ``eval/`` (JSON-lines part files), and the
-small single files ``dataset_info.json``, ``validation.json`` and ``preview.txt``.
+Layout of one dataset folder: ``examples/split=train/`` and ``examples/split=eval/``
+(JSON-lines part files, in order), and the small single files ``dataset_info.json``, ``validation.json`` and ``preview.txt``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tunegrain.session import fit_shuffles
 from tunegrain.sources import files
 
 TRAIN, EVAL = "train", "eval"
+EXAMPLES = "examples"
 INFO_FILE, VALIDATION_FILE, PREVIEW_FILE = "dataset_info.json", "validation.json", "preview.txt"
 PREVIEW_EXAMPLES = 5
 
@@ -46,13 +47,33 @@ def record_columns(df: DataFrame) -> list[Column]:
     return columns
 
 
-def write_examples(df: DataFrame, path: str, order: str | None = None) -> None:
-    """JSON lines, null fields left out; with ``order``, part files follow that column."""
-    if order:
-        df = fit_shuffles(df).repartitionByRange(order).sortWithinPartitions(order)
+def split_folder(directory: str, split: str) -> str:
+    return f"{directory}/{EXAMPLES}/split={split}"
+
+
+def write_examples(df: DataFrame, path: str) -> None:
+    """JSON lines, null fields left out."""
     df.select(*record_columns(df)).write.mode("overwrite").json(path)
 
 
+def write_splits(df: DataFrame, directory: str) -> None:
+    """All rows by ``split``, in the order of ``split_key``, from one scan and one shuffle.
+
+    Held-out rows have the lowest keys, so only one task writes to both folders.
+    """
+    ranged = fit_shuffles(df).repartitionByRange("split_key").sortWithinPartitions("split", "split_key")
+    records = ranged.select(*record_columns(df), "split")
+    records.write.mode("overwrite").partitionBy("split").json(f"{directory}/{EXAMPLES}")
+
+
+def read_split(spark: SparkSession, directory: str, split: str, limit: int | None = None) -> DataFrame:
+    """Stored examples of one split; none when nothing was written for it."""
+    path = split_folder(directory, split)
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], EXAMPLE)
+    return read_examples(spark, path, limit)
+
+
 def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Stored examples; ``messages`` wins over ``text`` when a record has both."""
     rows = spark.read.schema(EXAMPLE).json(path)
@@ -75,10 +96,10 @@ def training_frames(
     spark: SparkSession, directory: str, template: chat.ChatTemplate, eval_strategy: str = "steps"
 ) -> tuple[DataFrame, DataFrame | None]:
     """Train and eval texts; no eval frame when it is empty or evaluation is off."""
-    train = training_text(read_examples(spark, f"{directory}/{TRAIN}"), template)
-    if eval_strategy == "no" or not files.exists(spark, f"{directory}/{EVAL}"):
+    train = training_text(read_split(spark, directory, TRAIN), template)
+    if eval_strategy == "no":
         return train, None
-    held_out = read_examples(spark, f"{directory}/{EVAL}")
+    held_out = read_split(spark, directory, EVAL)
     return train, (None if held_out.isEmpty() else training_text(held_out, template))
 
 
@@ -107,7 +128,7 @@ class PreparedDataset:
     report: dict | None
 
     def examples(self, spark: SparkSession, split: str = TRAIN, limit: int | None = None) -> DataFrame:
-        return read_examples(spark, f"{self.directory}/{split}", limit)
+        return read_split(spark, self.directory, split, limit)
 
 
 def _read_json_file(spark: SparkSession, path: str) -> dict:
