@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Defaults of the reference workflow.
+# Share held out and seed used when none is given.
 DEFAULT_EVAL_RATIO = 0.05
 DEFAULT_SEED = 3407
 

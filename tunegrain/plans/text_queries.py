@@ -16,9 +16,9 @@ from tunegrain.plans.fixtures import (
     py_round_sql,
     strip_sql,
     table,
-    tokens_sql,
 )
-from tunegrain.session import materialize
+from tunegrain.session import fresh_path, materialize
+from tunegrain.sources import prepared
 from tunegrain.sources.loading import split_paragraphs
 
 SEED = split.DEFAULT_SEED
@@ -166,9 +166,6 @@ def synth_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def prepare_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Write a dataset from the documents and read back what each split holds."""
-    from tunegrain.session import fresh_path
-    from tunegrain.sources import prepared
-
     raw = table(spark, folder, "documents").select("doc_id", "text")
     done = prepare.prepare(raw, TEXT_MAPPING, fresh_path(spark, "datasets"), name="Docs", row_id="doc_id")
     parts = [
