@@ -125,7 +125,8 @@ def _levels(counts: np.ndarray, sizes: np.ndarray, least: np.ndarray, first: np.
 
 
 def _post(sketch: np.ndarray, settings: Settings):
-    heavy = max(settings.heavy, 8 * float(sketch.mean()))
+    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
+    heavy = max(settings.heavy, 8 * float(sketch.mean(dtype=np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # keys this task has posted: equal sets of one task post once
@@ -139,7 +140,7 @@ def _post(sketch: np.ndarray, settings: Settings):
                         seen.add(k)
                         fresh[i] = True
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                counts = sketch[tokens >> W.U64(64 - SKETCH_BITS)]
+                counts = sketch[tokens >> W.U64(64 - SKETCH_BITS)].astype(np.int64)
                 order = np.lexsort((tokens, counts, owner))
                 tokens, counts = tokens[order], counts[order]
                 least = -(-settings.percent * sizes // 100)

@@ -156,12 +156,12 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(json_path: str, ranks_path: str) -> Encoder:
     """The worker's encoder; what it has learnt serves later tasks."""
-    return _ENCODERS.setdefault((json_path, ranks_path), Encoder(json_path, ranks_path))
+    name = ("encoder", json_path, ranks_path)
+    if name not in W.worker_store():
+        W.worker_store()[name] = Encoder(json_path, ranks_path)
+    return W.worker_store()[name]
 
 
 def encoded(batch: pa.RecordBatch, column: int, json_path: str, ranks_path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

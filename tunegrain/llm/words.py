@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,21 @@ def powers(base: int, count: int) -> np.ndarray:
     return out
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def worker_store() -> dict:
+    """A dictionary that lives as long as the Python worker, so later tasks find what earlier ones built.
+
+    The package is pickled by value; its own globals are new in every task.
+    """
+    return sys.modules.setdefault("_tunegrain_worker_store", {})  # type: ignore[arg-type]
 
 
 def _power_table(base: int, count: int) -> np.ndarray:
     """Powers for one slice; only the usual size is kept."""
-    if count > 4 * SLICE_BYTES:
+    if count > 4 * SLICE_BYTES or count < 1 << 14:
         return powers(base, count)
-    have = _POWERS.get(base)
+    have = worker_store().get(("powers", base))
     if have is None or len(have) < count:
-        have = _POWERS[base] = powers(base, max(count, SLICE_BYTES + 1))
+        have = worker_store()["powers", base] = powers(base, max(count, SLICE_BYTES + 1))
     return have[:count]
 
 
