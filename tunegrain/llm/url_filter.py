@@ -43,8 +43,10 @@ class Rule:
         return self.host + self.path
 
 
-#: Hosts that each word of the block list counts for besides the table's own.
+#: Hosts that each word of the block list stands for besides the table's own. Their other tokens are those of ordinary
+#: hosts, in proportion, so that these say nothing. UNSEEN is the count of a token that no allowed host has.
 SEED_HOSTS = 10
+UNSEEN = 0.01
 
 #: The rules of the registered query.
 RULES = (
@@ -78,7 +80,6 @@ class Model:
     total: float
     prior: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
-    unseen: float = 0.0
 
     def split(self, name: str) -> list[str]:
         """The likeliest words of a name; unknown runs cost more the longer they are."""
@@ -103,7 +104,7 @@ class Model:
         return [w for part in re.split(r"[.\-_:@]+", host) if part for w in self.split(part)]
 
     def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weights.get(t, self.unseen) for t in tokens)
+        return self.prior + sum(self.weights.get(t, 0.0) for t in tokens)
 
 
 def path_tokens(path: str) -> list[str]:
@@ -143,21 +144,25 @@ def learn(urls: DataFrame, most_words: int = 20_000, most_tokens: int = 50_000)
         counts[word] = counts.get(word, 0.0) + base
     total = sum(counts.values())
     model = Model({w: math.log(n / total) for w, n in counts.items()}, total)
-    seen = hosts.mapInArrow(_examples(model), "host string, token string, blocked boolean")
-    seen = materialize(seen.groupBy("host", "token").agg(F.max("blocked").alias("blocked")).groupBy("token").agg(
-        F.sum(F.col("blocked").cast("bigint")).alias("b"), F.count("*").alias("n")), "url-tokens")
-    sums = seen.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    if not sums.n:
+    pairs = hosts.mapInArrow(_examples(model), "host string, token string, blocked boolean")
+    pairs = materialize(pairs.groupBy("host", "token").agg(F.max("blocked").alias("blocked")), "url-pairs")
+    sizes = pairs.groupBy("host").agg(F.max("blocked").alias("blocked")).groupBy("blocked").agg(F.count("*").alias("n"))
+    sizes = {r.blocked: r.n for r in sizes.collect()}
+    allowed = sizes.get(False, 0)
+    if not allowed:
         return model
-    block, allow, v = sums.b + SEED_HOSTS * len(BLOCK_WORDS), sums.n - sums.b, sums.v + len(BLOCK_WORDS)
-    # The classes' sizes follow their tokens.
-    model.prior = math.log((sums.b + 1) / (allow + 1))
-    model.unseen = math.log((allow + v) / (block + v))
-    rows = seen.orderBy(F.desc("n"), "token").limit(most_tokens).collect()
-    seen_in = {w: (SEED_HOSTS, 0) for w in BLOCK_WORDS}
-    for r in rows:
-        seen_in[r.token] = (seen_in.get(r.token, (0, 0))[0] + r.b, r.n - r.b)
-    model.weights = {t: math.log((b + 1) / (block + v)) - math.log((a + 1) / (allow + v)) for t, (b, a) in seen_in.items()}
+    seen = pairs.groupBy("token").agg(F.sum(F.col("blocked").cast("bigint")).alias("b"), F.count("*").alias("n"))
+    seen = materialize(seen, "url-tokens")
+    sums = seen.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
+    top = seen.orderBy(F.desc("n"), "token").limit(most_tokens).collect()
+    counts = {w: (SEED_HOSTS, 0) for w in BLOCK_WORDS}
+    for r in top:
+        counts[r.token] = (counts.get(r.token, (0, 0))[0] + r.b, r.n - r.b)
+    seeds = SEED_HOSTS * len(BLOCK_WORDS)
+    of_allowed = sums.n - sums.b
+    of_blocked = sums.b + seeds + seeds * of_allowed / allowed
+    model.prior = math.log((sizes.get(True, 0) + 1) / (allowed + 1))
+    model.weights = {t: math.log((b + seeds * a / allowed) / of_blocked) - math.log(max(a, UNSEEN) / of_allowed) for t, (b, a) in counts.items()}
     return model
 
 
@@ -181,7 +186,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "p
                     if len(kept) > 50_000:
                         kept.clear()
                     kept[host] = model.score(model.host_tokens(host))
-                odds.append(kept[host] + sum(model.weights.get(t, model.unseen) for t in path_tokens(path)))
+                odds.append(kept[host] + sum(model.weights.get(t, 0.0) for t in path_tokens(path)))
             yield pa.record_batch([*batch.columns, pa.array(odds, pa.float64())], names=["page_id", "host", "path", "odds"])
 
     kind = urls.schema["page_id"].dataType.simpleString()
