@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrain.llm.shared import connected_components
-from tunegrain.session import materialize
+from tunegrain.llm.shared import connected_components, materialize
 
 #: Rows multiplied at once within a tile.
 STRIPE = 512

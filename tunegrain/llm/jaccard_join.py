@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import columns_of, connected_components, split_by_membership
-from tunegrain.session import materialize
+from tunegrain.llm.shared import columns_of, connected_components, materialize, split_by_membership
 
 #: The sketch has 2 ** SKETCH_BITS counters at every input size.
 SKETCH_BITS = 20
@@ -73,15 +72,21 @@ _SCAN = "kind int, id bigint, size bigint, key bigint, part int, counts binary"
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and key (kind 0); at the end this task's sketch in slices (kind 1)."""
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    held: list[np.ndarray] = []
     for batch in batches:
         ids = batch.column(0)
         for low, high, tokens, first in _sets(batch):
-            sketch += np.bincount(tokens >> W.U64(64 - SKETCH_BITS), minlength=len(sketch))
+            held.append((tokens >> W.U64(64 - SKETCH_BITS)).astype(np.int32))
+            if sum(map(len, held)) > len(sketch):
+                sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
+                held = []
             n = high - low
             yield pa.record_batch(
                 [pa.array(np.zeros(n, np.int32)), ids.slice(low, n).cast(pa.int64()), pa.array(np.diff(first)), pa.array(_keys(tokens, first)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=["kind", "id", "size", "key", "part", "counts"],
             )
+    if held:
+        sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
     if sketch.any():
         parts = [x.tobytes() for x in np.split(sketch, SKETCH_SLICES)]
         n = len(parts)

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import split_by_membership
-from tunegrain.session import materialize
+from tunegrain.llm.shared import materialize, split_by_membership
 
 UNKNOWN = "und"
 _PLAIN = 0x250

@@ -17,8 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunegrain.llm.shared import columns_of, unused
-from tunegrain.session import materialize
+from tunegrain.llm.shared import columns_of, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunegrain.llm.shared import numbered
+from tunegrain.llm.shared import materialize, numbered
 from tunegrain.llm.tokens import encoded
-from tunegrain.session import materialize
 
 SIZE = 1024
 END_ID = 0

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunegrain.session import materialize
+from tunegrain import session
 
 #: A membership filter never has more words than this (16 bytes each when broadcast), whatever the input.
 MOST_FILTER_WORDS = 1 << 20
 
 
+#: Rows of an Arrow batch while tables are written: with texts of some kB, a few MB go to Python at once.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; Arrow batches are small meanwhile."""
+    conf = df.sparkSession.conf
+    before = conf.get(_ARROW)
+    conf.set(_ARROW, str(ARROW_ROWS))
+    try:
+        return session.materialize(df, label)
+    finally:
+        conf.set(_ARROW, before)
+
+
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
     """Columns ``node``, ``component`` (smallest node reachable) from undirected ``a``, ``b`` links.
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunegrain.session import materialize
+from tunegrain.llm.shared import materialize
+
 
 #: Norms of one bucket differ by less than this factor.
 RATIO = 1.1

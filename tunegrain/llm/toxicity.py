@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import columns_of, split_by_membership
-from tunegrain.session import materialize
+from tunegrain.llm.shared import columns_of, materialize, split_by_membership
 
 # Insults and abuse in four languages, and second-person pronouns.
 INSULTS = (

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunegrain.session import materialize
+from tunegrain.llm.shared import materialize
+
 
 # Words that mark hosts to block, and common words of host names.
 BLOCK_WORDS = (
