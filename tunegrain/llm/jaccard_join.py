@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import columns_of, connected_components, materialize, split_by_membership
+from tunegrain.llm.shared import columns_of, connected_components, drop_tables, materialize, split_by_membership
 
 #: The sketch has 2 ** SKETCH_BITS counters at every input size.
 SKETCH_BITS = 20
@@ -240,9 +240,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Sett
     maybe, _ = split_by_membership(docs, wanted, "id")
     sets = maybe.mapInArrow(_emit_sets, "key bigint, tokens binary")
     sets = materialize(sets.groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
+    drop_tables(wanted)
     member = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
     both = member.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify(settings.percent), "a bigint, b bigint")
+    links = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify(settings.percent), "a bigint, b bigint"), "links")
+    drop_tables(sets)
+    return links
 
 
 def join(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -270,7 +273,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     enough = F.count("*") >= F.max("need")
     pairs = stars.unionByName(across).groupBy("key", "leader").agg(enough.alias("enough")).where("enough")
     pairs = materialize(pairs.select(F.col("key").alias("a"), F.col("leader").alias("b")), "stars")
-    links = materialize(_verified(pairs, docs, reps, settings), "links")
+    links = _verified(pairs, docs, reps, settings)
     parents = materialize(connected_components(links), "merged")
 
     # What lies in one component by now needs no more comparison; lists that reach several do.
@@ -295,7 +298,8 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     labels = reps.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "id", parents_of)
     labels = labels.join(upper, "label", "left").select("key", "id", F.coalesce("top", "label").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("component"))
-    components = labels.join(smallest, "label").select("key", "component")
+    components = materialize(labels.join(smallest, "label").select("key", "component"), "components")
+    drop_tables(listed, pairs, links, parents, labelled, rest, cross, more)
     return rows.join(components, "key", "left").select(
         "id", "size", F.when(F.col("size") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrain import session
+from tunegrain.sources import files
 
 #: A membership filter never has more words than this (16 bytes each when broadcast), whatever the input.
 MOST_FILTER_WORDS = 1 << 20
@@ -18,13 +19,23 @@ _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; Arrow batches are small meanwhile."""
-    conf = df.sparkSession.conf
-    before = conf.get(_ARROW)
-    conf.set(_ARROW, str(ARROW_ROWS))
+    spark = df.sparkSession
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(ARROW_ROWS))
     try:
-        return session.materialize(df, label)
+        path = session.fresh_path(spark, label)
+        df.write.parquet(path)
     finally:
-        conf.set(_ARROW, before)
+        spark.conf.set(_ARROW, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def drop_tables(*stored: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for df in stored:
+        files.remove_folder(df.sparkSession, df.stored_at)
 
 
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -43,7 +54,8 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), label)
+        last, edges = edges, materialize(small.distinct(), label)
+        drop_tables(last)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import columns_of, materialize, split_by_membership
+from tunegrain.llm.shared import columns_of, drop_tables, materialize, split_by_membership
 
 LENGTH = 100
 GRAM = 24
 #: Windows of an anchor with more occurrences than this are dealt one by one.
 FREQUENT = 4096
 #: Segments that one construction takes at once (whole groups of an anchor are never parted).
-COLLECTION = 1 << 15
+COLLECTION = 1 << 14
 #: Bytes of a text whose anchors are found at once; pieces overlap by one window.
 PIECE = 1 << 19
 #: Bits of a hash that hold its place within a piece; the bits above rank the hashes.
@@ -137,7 +137,7 @@ def _anchor_rows(length: int):
                 h, place, _lo, _hi = anchors(data, length)
                 parts.append((h, place, np.full(len(h), key, dtype=np.int64)))
                 held += len(h)
-                if held >= 1 << 19:
+                if held >= 1 << 17:
                     yield rows(parts)
                     parts, held = [], 0
         if parts:
@@ -262,7 +262,7 @@ def _segments(length: int):
                             put(text_key(window), doc, s, s, window)
                     else:
                         put(int(W.signed(h[j : j + 1])[0]), doc, p, low, raw[low : high + length])
-                if len(out) > 1 << 15:
+                if len(out) > 1 << 13:
                     yield _rows(out, _SEGMENTS)
                     out, held = [], {}
             if out:
@@ -459,6 +459,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT,
     schema = "id bigint, n_removed bigint, n_spans bigint, sha string, kept string"
     partly = maybe.dropDuplicates(["id"]).join(gaps, "id").select("id", "text", "gaps").mapInArrow(_apply(length), schema)
     partly = materialize(partly, "kept")
+    drop_tables(repeated, packed, cut, gaps)
 
     joined = facts.join(firsts, "key", "left").join(partly.select("id", "n_removed", "n_spans", F.col("sha").alias("left_sha")), "id", "left")
     copy = F.col("first").isNotNull() & (F.col("id") > F.col("first"))

@@ -20,8 +20,8 @@ from tunegrain.llm import words as W
 #: Characters below this are cut here; it ends Latin Extended-B.
 PLAIN = 0x250
 #: Pieces remembered between batches, and ids kept for them.
-SLOTS = 1 << 22
-MOST_IDS = 1 << 23
+SLOTS = 1 << 20
+MOST_IDS = 1 << 22
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 _CLASS = np.zeros(PLAIN, dtype=np.uint8)
