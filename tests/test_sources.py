@@ -163,7 +163,7 @@ def test_office_documents(spark, tmp_path):
     raw = load_paths(spark, str(tmp_path))
     got = records(raw)
     assert [(r["text"], r["source"]) for r in got[:2]] == [("first\t.", "d.docx"), ("second\t.", "d.docx")]
-    assert [(r["q"], r["n"], r["q.1"]) for r in got[2:]] == [("hello", 7.0, True), (None, 1.5, None)]
+    assert [(r["q"], r["n"], r["q.1"]) for r in got[2:]] == [("hello", 7.0, True), (None, None, None), (None, 1.5, None)]
     assert set(notes(raw)) == {"broken.docx", "old.xls", "p.pdf"}
 
 
@@ -218,3 +218,36 @@ def test_listing_reads_no_contents(spark, tmp_path):
     plan = files.list_files(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
     assert files.list_files(spark, [str(tmp_path)]).select(F.sum("length")).first()[0] == 3
+
+
+def test_files_keep_the_order_of_the_list(spark, tmp_path):
+    put(tmp_path, "a.jsonl", '{"n": 1}\n{"n": 2}')
+    put(tmp_path, "b.csv", "n\n3\n")
+    put(tmp_path, "c.jsonl", '{"n": 4}')
+    raw = load_paths(spark, [str(tmp_path / name) for name in ("c.jsonl", "b.csv", "a.jsonl")])
+    assert [r["n"] for r in records(raw)] == ["4", "3", "1", "2"]
+
+
+def test_headers_of_any_length_and_over_several_lines(spark, tmp_path):
+    wide = [f"{'column':_<400}{i}" for i in range(200)]  # 80 kB
+    put(tmp_path, "wide.csv", ",".join(wide) + "\n" + ",".join(str(i) for i in range(200)) + "\n")
+    raw = load_paths(spark, str(tmp_path / "wide.csv"))
+    assert raw.columns == wide and raw.df.select(wide[199]).first()[0] == "199"
+    put(tmp_path, "lines.tsv", '"a\nb"\tc\n1\t2\n')
+    raw = load_paths(spark, str(tmp_path / "lines.tsv"))
+    assert records(raw) == [{"a\nb": "1", "c": "2"}]
+
+
+def test_json_as_json_libraries_read_it(spark, tmp_path):
+    put(tmp_path, "a.jsonl", '{"a": 1, "a": 2, "s": "NaN, \\"Infinity\\""}\n{"a": NaN, "s": "x"}')
+    raw = load_paths(spark, str(tmp_path))
+    assert notes(raw) == {}
+    got = raw.df.orderBy("row_id").select("a", "s").collect()
+    assert [r.a for r in got] == ["2", "NaN"]
+    assert [r.s for r in got] == ['NaN, "Infinity"', "x"]
+
+
+def test_dates_in_workbooks_are_iso_text(tmp_path):
+    from tunegrain.sources.office import _iso_date
+
+    assert [_iso_date(45292), _iso_date(45292.5)] == ["2024-01-01 00:00:00", "2024-01-01 12:00:00"]

@@ -150,8 +150,19 @@ def test_packs_match_a_plain_loop(spark):
             assert sum(min(r.tokens, 64) for r in members) + min(following[0].tokens, 64) > 64
 
 
-def test_shards_grow_with_the_data():
-    assert [shape.shard_digits(n) for n in (0, 16_000_000, 16_000_001, 10**11)] == [1, 1, 2, 5]
+def test_packs_do_not_depend_on_other_shards(spark):
+    rows = spark.range(500).selectExpr("id AS row_id", "CAST(id % 90 + 1 AS INT) AS tokens")
+    all_rows = {r.row_id: (r.shard, r.pack, r.start) for r in shape.pack(rows, 100, 1).collect()}
+    some = {i for i, (shard, _, _) in all_rows.items() if shard in "0123"}
+    part = shape.pack(rows.where(F.col("row_id").isin(sorted(some))), 100, 1).collect()
+    assert {r.row_id: (r.shard, r.pack, r.start) for r in part} == {i: all_rows[i] for i in some}
+
+
+def test_split_in_order_of_text_ids(spark):
+    rows = spark.range(40).selectExpr("format_string('r%03d', id) AS row_id")
+    marked = {r.row_id: r.split for r in split.add_split(rows, 0.25, shuffle=False).collect()}
+    assert sorted(i for i, s in marked.items() if s == "eval") == [f"r{i:03d}" for i in range(10)]
+
 
 
 def test_steps(spark):

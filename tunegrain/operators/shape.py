@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tunegrain.functions.text import CHARS_PER_TOKEN
 from tunegrain.operators.split import split_key
 
-ROWS_PER_SHARD = 1_000_000
+#: Hex digits of the split key that name a shard; 2 make 256 shards, so as many tasks can pack.
+SHARD_DIGITS = 2
 
 
 def truncate(text: Column, max_seq_length: int) -> Column:
@@ -36,14 +37,6 @@ def group_by_length(df: DataFrame, tokens: str = "tokens", row_id: str = "row_id
     return ranged.sortWithinPartitions(*keys)
 
 
-def shard_digits(n_rows: int, rows_per_shard: int = ROWS_PER_SHARD) -> int:
-    """Hex digits of the split key that cut ``n_rows`` into shards of about ``rows_per_shard`` or fewer."""
-    digits = 1
-    while n_rows > rows_per_shard * 16**digits:
-        digits += 1
-    return digits
-
-
 def _pack_sorted(max_seq_length: int):
     """Greedy packing over batches that arrive in (shard, key) order; keeps one open pack."""
 
@@ -65,16 +58,16 @@ def _pack_sorted(max_seq_length: int):
     return run
 
 
-def pack(rows: DataFrame, max_seq_length: int, digits: int | None = None, seed: int = 3407) -> DataFrame:
+def pack(rows: DataFrame, max_seq_length: int, digits: int = SHARD_DIGITS, seed: int = 3407) -> DataFrame:
     """Assign examples to sequences of at most ``max_seq_length`` tokens.
 
     ``rows`` has ``row_id, tokens``. Packs fill up in split-key order and never cross a
     shard (a prefix of the key). An example longer than the limit counts as truncated and
     has a pack to itself. Python sees only ids and token counts, streamed in sorted batches;
     a shard is never held in memory. Shards are uniform because the key is a hash of the
-    unique row id.
+    unique row id. ``digits`` sets the number of shards, whatever the number of rows: a row's pack
+    doesn't change when rows of other shards come or go. Take 3 or 4 on a large cluster.
     """
-    digits = shard_digits(rows.count()) if digits is None else digits
     key = split_key(F.col("row_id"), seed)
     keyed = rows.select("row_id", F.col("tokens").cast("int").alias("tokens"), key.alias("key"))
     sharded = keyed.withColumn("shard", F.substring("key", 1, digits))

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tunegrain.session import materialize
+
 # Share held out and seed used when none is given.
 DEFAULT_EVAL_RATIO = 0.05
 DEFAULT_SEED = 3407
@@ -83,6 +86,19 @@ def _nth_lowest(rows: DataFrame, row_id: str, eval_ratio: float) -> int | None:
     return None
 
 
+def _nth_lowest_of_any(rows: DataFrame, row_id: str, eval_ratio: float) -> object:
+    """The same for ids of any orderable type: count per range partition, then look into one range."""
+    ids = rows.select(F.col(row_id).alias("id")).where("id is not null").repartitionByRange("id")
+    ids = materialize(ids.withColumn("range", F.spark_partition_id()), "ids")
+    sizes = sorted(ids.groupBy("range").count().collect())
+    want = holdout_count(sum(n for _, n in sizes), eval_ratio)
+    for index, size in sizes if want else []:
+        if want <= size:
+            return ids.where(F.col("range") == index).orderBy("id").offset(want - 1).first().id
+        want -= size
+    return None
+
+
 def _key(row_id: str, seed: int, shuffle: bool) -> Column:
     return split_key(F.col(row_id), seed) if shuffle else F.col(row_id)
 
@@ -94,7 +110,8 @@ def find_cut(
     if shuffle:
         keyed = rows.select(_key(row_id, seed, True).alias("key"), F.col(row_id).alias("row_id"))
         return _cut(keyed.withColumn("bucket", F.substring("key", 1, PREFIX_DIGITS)), eval_ratio)
-    last = _nth_lowest(rows, row_id, eval_ratio)
+    whole = isinstance(rows.schema[row_id].dataType, T.IntegralType)
+    last = _nth_lowest(rows, row_id, eval_ratio) if whole else _nth_lowest_of_any(rows, row_id, eval_ratio)
     id_type = rows.schema[row_id].dataType.simpleString()
     found = [] if last is None else [((last, last),)]
     return rows.sparkSession.createDataFrame(found, f"cut struct<key: {id_type}, row_id: {id_type}>")
@@ -120,8 +137,7 @@ def add_split(
 ) -> DataFrame:
     """``rows`` plus ``split_key`` and ``split`` ('train' or 'eval').
 
-    Without ``shuffle`` the held-out rows are those with the lowest ids, which must be
-    whole numbers.
+    Without ``shuffle`` the held-out rows are those with the lowest ids, of any orderable type.
     """
     return mark(rows, find_cut(rows, eval_ratio, seed, shuffle, row_id).scalar(), seed, shuffle, row_id)
 

@@ -47,6 +47,10 @@ def error_data(message: Column) -> Column:
     return _payload(message=message)
 
 
+#: Folders of an event store. Give another number to all calls for a store whose buckets should be smaller.
+BUCKETS = 64
+
+
 def event(event_id: Column, job_id: Column, kind: str | Column, data: Column, ts: Column) -> list[Column]:
     """The columns of an event row, for ``df.select(*event(...))``."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -60,7 +64,7 @@ def _bucket(job_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
 
 
-def append_events(rows: DataFrame, path: str, buckets: int = 64) -> None:
+def append_events(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Append to the event store, laid out by a bucket of the job id."""
     rows.withColumn("job_bucket", _bucket(F.col("job_id"), buckets)).write.mode("append").partitionBy("job_bucket").parquet(path)
 
@@ -69,9 +73,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def history(events: DataFrame, job_id: str | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
-    """Events of one job (or of all), optionally only some kinds. Order with ``in_order``."""
+def history(events: DataFrame, job_id: str | None = None, kinds: Iterable[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Events of one job (or of all), optionally only some kinds. Order with ``in_order``.
+
+    In a store laid out by ``append_events`` one job is read from its bucket only.
+    """
     if job_id is not None:
+        if "job_bucket" in events.columns:
+            events = events.where(F.col("job_bucket") == _bucket(F.lit(job_id), buckets))
         events = events.where(F.col("job_id") == job_id)
     kinds = sorted(kinds or ())
     return events.where(F.col("kind").isin(kinds)) if kinds else events
@@ -145,7 +154,7 @@ def rounded_epoch(epoch: Column) -> Column:
     return py_round(F.coalesce(epoch, F.lit(0.0)), 3)
 
 
-def clear_history(spark: SparkSession, path: str, job_id: str, buckets: int = 64) -> None:
+def clear_history(spark: SparkSession, path: str, job_id: str, buckets: int = BUCKETS) -> None:
     """Remove one job's events from the store; only its bucket is rewritten."""
     bucket = spark.range(1).select(_bucket(F.lit(job_id), buckets).alias("b")).first().b
     stored = read_events(spark, path).where(F.col("job_bucket") == bucket)

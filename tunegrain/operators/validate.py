@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tunegrain.functions import chat
 from tunegrain.functions.text import estimate_tokens, py_round, strip_computed
 from tunegrain.operators.toplist import first_per_key
+from tunegrain.session import materialize
 
 # Thresholds of the checks.
 MIN_EXAMPLES_ERROR = 10
@@ -86,8 +87,13 @@ def duplicate_rows(measured: DataFrame) -> DataFrame:
 
 
 def keep_first(measured: DataFrame) -> DataFrame:
-    """Usable rows without later copies of the same text."""
-    return measured.join(first_occurrences(measured).select("row_id"), "row_id", "left_semi")
+    """Usable rows without later copies of the same text.
+
+    The ids of the copies, which are few, are stored first; their size is known then, so the planner
+    sends them to the text if they are small and moves the text only if they are not.
+    """
+    copies = materialize(duplicate_rows(measured), "copies")
+    return measured.where(F.col("drop_reason").isNull()).join(copies, "row_id", "left_anti")
 
 
 def _p95_index(n: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tunegrain.functions import chat
 from tunegrain.operators import normalize as norm
@@ -143,14 +144,18 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def instruction_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """First question, system text as extra input, last answer of each conversation."""
+    """Every user turn with the answer right after it (none if another turn follows), system text as extra input."""
     turns = table(spark, folder, "conversations")
     role, text, turn = F.col("role"), F.col("text"), F.col("turn")
-    flat = turns.groupBy("conv_id").agg(
-        F.min_by(text, F.when(role == "user", turn)).alias("question"),
-        F.min_by(text, F.when(role == "system", turn)).alias("context"),
-        F.max_by(text, F.when(role == "assistant", turn)).alias("answer"),
-    )
+    following = Window.partitionBy("conv_id").orderBy("turn")
+    before = following.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flat = turns.select(
+        F.concat_ws("/", "conv_id", "turn").alias("pair_id"),
+        role.alias("role"),
+        text.alias("question"),
+        F.last(F.when(role == "system", text), ignorenulls=True).over(before).alias("context"),
+        F.when(F.lead(role).over(following) == "assistant", F.lead(text).over(following)).alias("answer"),
+    ).where("role = 'user'")
     mapping = FieldMapping(
         TaskFormat.INSTRUCTION,
         instruction_field="question",
@@ -159,7 +164,7 @@ def instruction_pairs(spark: SparkSession, folder: str) -> DataFrame:
         system_prompt="Answer briefly.",
         input_template="{input}\n---\n{instruction}",
     )
-    pairs = norm.normalize(flat, mapping, "conv_id")
+    pairs = norm.normalize(flat, mapping, "pair_id")
     return pairs.select("row_id", _lines(F.col("messages")).alias("turns"), "drop_reason")
 
 
@@ -299,12 +304,15 @@ ORACLES = {
         WHERE conv_id % 5 <> 3 OR i = 1""",
     "instruction_pairs": f"""
         WITH flat AS (
-            SELECT conv_id,
-                   coalesce({strip_sql("min_by(text, turn) FILTER (role = 'user')")}, '') AS question,
-                   coalesce({strip_sql("min_by(text, turn) FILTER (role = 'system')")}, '') AS context,
-                   coalesce({strip_sql("max_by(text, turn) FILTER (role = 'assistant')")}, '') AS answer
-            FROM conversations GROUP BY conv_id)
-        SELECT conv_id AS row_id,
+            SELECT pair_id, coalesce({strip_sql("text")}, '') AS question, coalesce({strip_sql("system")}, '') AS context,
+                   coalesce({strip_sql("reply")}, '') AS answer
+            FROM (SELECT conv_id || '/' || turn AS pair_id, role, text,
+                         last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (
+                             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS system,
+                         CASE WHEN lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant'
+                              THEN lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS reply
+                  FROM conversations) WHERE role = 'user')
+        SELECT pair_id AS row_id,
                CASE WHEN question <> '' AND answer <> '' THEN 'system=Answer briefly.' || chr(10) || 'user='
                     || CASE WHEN context <> '' THEN {strip_sql("context || chr(10) || '---' || chr(10) || question")}
                             ELSE question END || chr(10) || 'assistant=' || answer END AS turns,

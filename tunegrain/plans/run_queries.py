@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.operators import ledger, telemetry
 from tunegrain.plans.fixtures import CHECKPOINTS_SQL, EVENTS_SQL, JOBS_SQL, checkpoint_files, events, jobs, py_round_sql, table
+from tunegrain.session import fresh_path
 
 RECENT = 25
 TAIL = 10
@@ -17,6 +18,15 @@ def kind_history(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.history(events(spark, folder), kinds=["log", "error"]).select("job_id", "event_id", "kind", "ts")
 
 
+def job_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of the run with the smallest id, read from its bucket of a written store."""
+    path = fresh_path(spark, "event-store")
+    telemetry.append_events(events(spark, folder), path)
+    stored = telemetry.read_events(spark, path)
+    job = stored.agg(F.min("job_id")).first()[0]
+    return telemetry.history(stored, job).select("job_id", "event_id", "kind")
+
+
 def last_n_events(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.last_events(events(spark, folder), RECENT).select("job_id", "event_id", "kind")
 
@@ -216,7 +226,7 @@ def lineage_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kind_history, last_n_events, bounded_history, log_tail, metrics_frame, metric_series, latest_metric, metric_tiles,
+        kind_history, job_history, last_n_events, bounded_history, log_tail, metrics_frame, metric_series, latest_metric, metric_tiles,
         event_metric_cast, epoch_rounding, cleared_history, jobs_by_status, job_progress, job_table, overview_counts,
         ledger_current_state, model_registry_state, status_times, job_details, latest_checkpoint, checkpoint_retention,
         recover_reconcile, existing_artifacts, resumable_runs, runs_with_checkpoint, model_table, lineage_join,
@@ -249,6 +259,8 @@ _MONEY = "CAST(CAST(value AS DECIMAL(20,2)) AS VARCHAR)"
 
 ORACLES = {
     "kind_history": f"SELECT job_id, event_id, kind, ts FROM ({EVENTS_SQL}) WHERE kind IN ('log', 'error')",
+    "job_history": f"""
+        SELECT job_id, event_id, kind FROM ({EVENTS_SQL}) WHERE job_id = (SELECT min(job_id) FROM ({EVENTS_SQL}))""",
     "last_n_events": f"""
         SELECT job_id, event_id, kind FROM (SELECT *, {_NEWEST} AS i FROM ({EVENTS_SQL})) WHERE i <= {RECENT}""",
     "bounded_history": f"""

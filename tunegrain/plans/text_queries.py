@@ -91,6 +91,12 @@ def split_in_order(spark: SparkSession, folder: str) -> DataFrame:
     return split.add_split(ids, eval_ratio=0.29, shuffle=False).select("row_id", "split")
 
 
+def split_in_order_text_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for ids that are text, in the order of text."""
+    ids = _stored_ids(spark, folder).select(F.concat(F.lit("doc-"), F.col("row_id").cast("string")).alias("row_id"))
+    return split.add_split(ids, eval_ratio=0.29, shuffle=False).select("row_id", "split")
+
+
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     ids = _stored_ids(spark, folder)
     return split.split_counts(split.add_split(ids, eval_ratio=0.1, seed=7))
@@ -179,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_completion, token_estimate, validation_flags, token_stats, validation_issues, report_summary,
-        report_markdown, duplicate_rows, dedupe_keep_first, split_membership, split_in_order, split_counts,
+        report_markdown, duplicate_rows, dedupe_keep_first, split_membership, split_in_order, split_in_order_text_ids, split_counts,
         truncate_text, length_buckets, steps_plan, pack_sequences, slug_ids, paragraph_split, synth_prompts,
         synth_pairs, prepare_dataset,
     )
@@ -254,9 +260,9 @@ def _split_sql(ratio: float, seed: int) -> str:
 
 _SLUG = "coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'dataset')"
 _PROMPT = (
-    "'From the following text, write 3 diverse instruction/answer pairs.' || chr(10) || chr(10) || 'TEXT:' || chr(10) "
-    "|| '\"\"\"' || chr(10) || substr(text, 1, 4000) || chr(10) || '\"\"\"' || chr(10) || chr(10) "
-    "|| 'Return JSON: [{\"instruction\": \"...\", \"output\": \"...\"}, ...]'"
+    "'Write 3 different exercises about this passage.' || chr(10) || chr(10) || '<passage>' || chr(10) "
+    "|| substr(text, 1, 4000) || chr(10) || '</passage>' || chr(10) || chr(10) "
+    "|| 'JSON list items: {\"instruction\": \"the question\", \"output\": \"the answer\"}'"
 )
 
 ORACLES = {
@@ -296,6 +302,9 @@ ORACLES = {
     "split_in_order": f"""
         SELECT row_id, CASE WHEN row_number() OVER (ORDER BY row_id) <= floor(count(*) OVER () * 0.29::DOUBLE)
                             THEN 'eval' ELSE 'train' END AS split FROM ({_USABLE})""",
+    "split_in_order_text_ids": f"""
+        SELECT row_id, CASE WHEN row_number() OVER (ORDER BY row_id) <= floor(count(*) OVER () * 0.29::DOUBLE)
+                            THEN 'eval' ELSE 'train' END AS split FROM (SELECT 'doc-' || row_id AS row_id FROM ({_USABLE}))""",
     "split_counts": f"""
         SELECT count(*) AS n_examples, count(*) FILTER (split = 'train') AS n_train,
                count(*) FILTER (split = 'eval') AS n_eval FROM ({_split_sql(0.1, 7)})""",
@@ -310,7 +319,7 @@ ORACLES = {
         WITH rows AS (
             SELECT row_id, tokens, md5('{SEED}:' || row_id) AS key FROM ({_USABLE})),
         shards AS (
-            SELECT substr(key, 1, 1) AS shard,
+            SELECT substr(key, 1, 2) AS shard,
                    list({{'row_id': row_id, 'tokens': tokens, 'pack': 0::BIGINT, 'start': 0::BIGINT,
                           'fill': least(tokens, {MAX_TOKENS})::BIGINT}} ORDER BY key, row_id) AS items
             FROM rows GROUP BY 1),

@@ -21,6 +21,8 @@ def build_session(app_name: str = "tunegrain", master: str | None = None, **conf
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Of repeated keys in a JSON object the last one counts.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         # Recording a call site for every Column operation slows down building large plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

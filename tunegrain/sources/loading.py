@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ NA_TOKENS = (
 
 RAGGED = "differ in length from the header; extra fields dropped"
 
+#: Bytes of a header read at first; doubled until the header record is complete.
 HEAD_BYTES = 64 * 1024
 HEADER_READERS = 64
 MOST_BROADCAST_SPLITS = 500_000
@@ -66,12 +68,14 @@ class RawTable:
     def sample(self, n: int = 5) -> DataFrame:
         return self.df.orderBy(ROW_ID).limit(n)
 
-    def preview(self, n: int = 5) -> dict:
+    def preview(self, n: int = 5, notes: int = 100) -> dict:
+        """Columns, count, first ``n`` rows, the first ``notes`` notes by file, and how many notes there are."""
         return {
             "columns": self.columns,
             "n_records": self.df.count(),
             "sample": [r.asDict(recursive=True) for r in self.sample(n).drop(ROW_ID).collect()],
-            "notes": [f"{r.file}: {r.reason}" for r in self.notes.orderBy("file").limit(100).collect()],
+            "notes": [f"{r.file}: {r.reason}" for r in self.notes.orderBy("file").limit(notes).collect()],
+            "n_notes": self.notes.count(),
         }
 
 
@@ -129,7 +133,7 @@ def read_jsonl(spark: SparkSession, files_: FileSet) -> Loaded:
         names = in_seen_order(head.withColumn("keys", F.json_object_keys("line")), list(types))
     rows = _whole_files_only(lines, defects).withColumn("_pos", F.monotonically_increasing_id())
     if names:
-        rows = rows.withColumn("_typed", F.from_json("line", schema_ddl(types, names)))
+        rows = rows.withColumn("_typed", F.from_json(jsontext.with_quoted_numbers(F.col("line")), schema_ddl(types, names)))
     plain = None
     if n_plain:
         v = jsontext.parse_strict(F.col("line"))
@@ -174,15 +178,34 @@ def read_json(spark: SparkSession, files_: FileSet) -> Loaded:
     return to_columns(exploded.where(F.col("v").isNotNull())), defects
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    """Header line of a file, from its first bytes only."""
+def _first_record(text: str) -> str | None:
+    """The first record that isn't blank, quoted line breaks and all; None if more of the file is needed."""
+    lines: list[str] = []
+    for line in io.StringIO(text, newline=""):
+        if not lines and not line.strip():
+            continue
+        lines.append(line)
+        whole = "".join(lines)
+        # Doubled quotes count twice, so a record is complete when its quotes are even.
+        if whole.count('"') % 2 == 0 and whole.endswith("\n"):
+            return whole
+    return None
+
+
+def _header(spark: SparkSession, path: str) -> str:
+    """Header record of a file, of any length and over any number of lines; read no further than needed."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
+    head = b""
     try:
-        head = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8-sig", errors="replace")
+        while chunk := bytes(stream.readNBytes(max(HEAD_BYTES, len(head)))):
+            head += chunk
+            if (found := _first_record(head.decode("utf-8-sig", errors="ignore"))) is not None:
+                return found
     finally:
         stream.close()
-    return next((line for line in io.StringIO(head) if line.strip()), "")
+    text = head.decode("utf-8-sig", errors="replace").lstrip("\r\n")
+    return text if text.strip() else ""
 
 
 def sniff_separator(header: str) -> str:
@@ -195,7 +218,8 @@ def sniff_separator(header: str) -> str:
 
 
 def _header_columns(header: str, sep: str) -> list[str]:
-    cells = next(csv.reader([header.rstrip("\r\n")], delimiter=sep), [])
+    csv.field_size_limit(max(csv.field_size_limit(), len(header) + 1))
+    cells = next(csv.reader(io.StringIO(header.rstrip("\r\n"), newline=""), delimiter=sep), [])
     return list(office._header_names(dict(enumerate(c if c != "" else None for c in cells))).values())
 
 
@@ -206,7 +230,7 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
     """
     found = [(r.file, r.path) for r in files_.listing(spark).select("file", "path").toLocalIterator()]
     with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda names: _first_line(spark, names[1]), found))
+        headers = list(pool.map(lambda names: _header(spark, names[1]), found))
     layouts: dict[tuple[str, str], list[str]] = {}
     empty: list[tuple[str, str]] = []
     for (uri, path), header in zip(found, headers):
@@ -223,6 +247,7 @@ def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Lo
         rows = (
             spark.read.schema(schema)
             .options(**source.options(), header="true", sep=delimiter, multiLine="true", quote='"', escape='"')
+            .options(maxColumns=str(len(names) + 1), maxCharsPerColumn="-1")
             .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_ragged", nullValue="", emptyValue="")
             .csv(list(source.paths))
         )
@@ -357,16 +382,25 @@ def _unite(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(aligned, frames))
 
 
-def _starts(placed: DataFrame) -> DataFrame:
+def _starts(placed: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """``_file, _block, _low, _start``: the first row number of every scanned split.
 
     A running sum in two levels: the splits are cut into ranges, the ranges are summed up,
-    and each range runs on from its own start. Only range totals meet in one task.
+    and each range runs on from its own start. Only range totals meet in one task. Files
+    named in ``order`` come first, in that order; it is as long as the caller's own list.
     """
     extents = placed.groupBy("_file", "_block").agg(
         F.min("_pos").alias("_low"), (F.max("_pos") - F.min("_pos") + 1).alias("_extent")
     )
-    ranged = extents.repartitionByRange("_file", "_block").withColumn("_range", F.spark_partition_id())
+    if order:
+        ranks = placed.sparkSession.createDataFrame(list({f: i for i, f in reversed(list(enumerate(order)))}.items()), "_uri string, _rank int")
+        # Local files are reported with one slash or three.
+        extents = extents.withColumn("_uri", F.regexp_replace("_file", "^file:/+", "file:///"))
+        extents = extents.join(ranks, "_uri", "left").withColumn("_rank", F.coalesce("_rank", F.lit(len(order)))).drop("_uri")
+    else:
+        extents = extents.withColumn("_rank", F.lit(0))
+    place = ["_rank", "_file", "_block"]
+    ranged = extents.repartitionByRange(*place).withColumn("_range", F.spark_partition_id())
     # Stored, so that the number of a split's range is fixed from here on.
     splits = materialize(ranged, "splits")
 
@@ -375,19 +409,19 @@ def _starts(placed: DataFrame) -> DataFrame:
 
     totals = splits.groupBy("_range").agg(F.sum("_extent").alias("_total"))
     offsets = totals.select("_range", before(Window.orderBy("_range"), "_total").alias("_offset"))
-    inside = before(Window.partitionBy("_range").orderBy("_file", "_block"), "_extent")
+    inside = before(Window.partitionBy("_range").orderBy(*place), "_extent")
     return splits.withColumn("_inside", inside).join(offsets, "_range").select(
         "_file", "_block", "_low", (F.col("_offset") + F.col("_inside")).alias("_start")
     )
 
 
-def number_rows(placed: DataFrame) -> DataFrame:
-    """Replace the position columns by ``row_id``: ascending by file, then place in the file.
+def number_rows(placed: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Replace the position columns by ``row_id``: ascending by file (in ``order``, then by name), then place in the file.
 
     ``placed`` must be stored, since ``_pos`` may only be read once. Rows are never sorted:
     each adds its place in its split to the split's first number.
     """
-    starts = materialize(_starts(placed), "starts")
+    starts = materialize(_starts(placed, order), "starts")
     if starts.count() <= MOST_BROADCAST_SPLITS:
         # At most this many short rows: small enough to send to every executor.
         starts = F.broadcast(starts)
@@ -397,15 +431,17 @@ def number_rows(placed: DataFrame) -> DataFrame:
     return numbered.select(ROW_ID, *[named(c) for c in placed.columns if c not in (*POSITION, ROW_NOTE)])
 
 
-def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]]) -> RawTable:
+def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]], order: Sequence[str] = ()) -> RawTable:
     loaded = [READERS[s.fmt](spark, s) for s in sets]
     frames = [frame for frame, _ in loaded if frame is not None and len(frame.columns) > len(POSITION)]
     all_notes = reduce(DataFrame.unionByName, [n for _, n in loaded], _notes(spark, notes))
     stored = materialize(_unite(frames), "raw") if frames else None
     listings = reduce(DataFrame.unionByName, [s.listing(spark) for s in sets]) if sets else None
     if stored is None or stored.isEmpty():
-        reasons = " ".join(f"{r.file}: {r.reason}." for r in all_notes.limit(20).collect())
-        raise LoadError(f"no records could be loaded. {reasons}".strip())
+        shown = all_notes.orderBy("file").limit(20).collect()
+        reasons = " ".join(f"{r.file}: {r.reason}." for r in shown)
+        more = all_notes.count() - len(shown)
+        raise LoadError(f"no records could be loaded. {reasons}{f' And {more} more.' if more else ''}".strip())
     read = listings.join(all_notes.select("file"), "file", "left_anti")
     if ROW_NOTE in stored.columns:
         remarks = stored.where(F.col(ROW_NOTE).isNotNull()).groupBy(F.col("_file").alias("file"), ROW_NOTE)
@@ -413,7 +449,7 @@ def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, s
         all_notes = all_notes.unionByName(
             counted.select("file", F.format_string("%d row(s) %s", "n", ROW_NOTE).alias("reason"))
         )
-    return RawTable(number_rows(stored), all_notes, read)
+    return RawTable(number_rows(stored, order), all_notes, read)
 
 
 def load_file(spark: SparkSession, path: str) -> RawTable:
@@ -426,6 +462,11 @@ def load_file(spark: SparkSession, path: str) -> RawTable:
     return _load(spark, [FileSet([path], suffix, recursive=False)], [])
 
 
+def _uri(path: str) -> str:
+    """A qualified path, local ones with three slashes."""
+    return re.sub("^file:/+", "file:///", path)
+
+
 def _suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else ""
@@ -453,7 +494,8 @@ def load_paths(spark: SparkSession, paths: str | Iterable[str], fmt: str | None
         return _load(spark, [FileSet([paths], s, recursive=True) for s in suffixes], [])
     groups: dict[str, list[str]] = {}
     notes: list[tuple[str, str]] = []
-    for path in [paths] if isinstance(paths, str) else paths:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    for path in paths:
         suffix = _suffix(path)
         if not files.exists(spark, path):
             notes.append((path, "file not found"))
@@ -461,4 +503,6 @@ def load_paths(spark: SparkSession, paths: str | Iterable[str], fmt: str | None
             notes.append((path, f"unsupported file type {suffix!r}"))
         else:
             groups.setdefault(suffix, []).append(path)
-    return _load(spark, [FileSet(found, s, recursive=False) for s, found in groups.items()], notes)
+    given = [p for found in groups.values() for p in found]
+    order = [_uri(files.qualified(spark, p)) for p in paths if p in given]
+    return _load(spark, [FileSet(found, s, recursive=False) for s, found in groups.items()], notes, order)

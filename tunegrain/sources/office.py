@@ -11,6 +11,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -52,7 +53,32 @@ def _number(text: str) -> int | float:
     return int(value) if value.is_integer() else value
 
 
-def _cell_value(cell, shared: list[str]):
+# Built-in number formats that show a date or a time.
+DATE_FORMATS = frozenset((*range(14, 23), *range(45, 48)))
+
+
+def _date_styles(package: zipfile.ZipFile) -> frozenset[int]:
+    """Cell styles whose number format shows a date or a time."""
+    if "xl/styles.xml" not in package.namelist():
+        return frozenset()
+    sheet = ElementTree.fromstring(package.read("xl/styles.xml"))
+    dates = set(DATE_FORMATS)
+    for fmt in sheet.iter(f"{SHEET}numFmt"):
+        # Without quoted text, escaped signs, colours and conditions, these letters only mean parts of a date.
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", fmt.get("formatCode", ""))
+        if re.search("[dmyhs]", bare, re.IGNORECASE):
+            dates.add(int(fmt.get("numFmtId")))
+    styles = sheet.find(f"{SHEET}cellXfs")
+    return frozenset(i for i, xf in enumerate(styles if styles is not None else ()) if int(xf.get("numFmtId", 0)) in dates)
+
+
+def _iso_date(serial: float) -> str:
+    """A day number of the 1900 calendar as ISO text."""
+    moment = datetime(1899, 12, 30) + timedelta(milliseconds=round(serial * 86_400_000))
+    return moment.isoformat(sep=" ")
+
+
+def _cell_value(cell, shared: list[str], dates: frozenset[int] = frozenset()):
     kind, raw = cell.get("t", "n"), cell.findtext(f"{SHEET}v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
@@ -62,7 +88,9 @@ def _cell_value(cell, shared: list[str]):
         return shared[int(raw)]
     if kind == "b":
         return raw == "1"
-    return _number(raw) if kind == "n" else raw
+    if kind == "n":
+        return _iso_date(float(raw)) if int(cell.get("s", -1)) in dates else _number(raw)
+    return raw
 
 
 def _first_sheet(package: zipfile.ZipFile) -> str:
@@ -95,19 +123,20 @@ def xlsx_records(content: bytes) -> Iterator[dict]:
         if "xl/sharedStrings.xml" in package.namelist():
             table = ElementTree.fromstring(package.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in table.iter(f"{SHEET}si")]
+        dates = _date_styles(package)
         names: dict[int, str] | None = None
         with package.open(_first_sheet(package)) as part:
             for _, row in ElementTree.iterparse(part):
                 if row.tag != f"{SHEET}row":
                     continue
                 cells = {
-                    _column_index(c.get("r")) if c.get("r") else i: _cell_value(c, shared)
+                    _column_index(c.get("r")) if c.get("r") else i: _cell_value(c, shared, dates)
                     for i, c in enumerate(row.iter(f"{SHEET}c"))
                 }
                 row.clear()
                 if names is None:
                     names = _header_names(cells)
-                elif any(v is not None for v in cells.values()):
+                else:  # a blank row is a record too
                     yield {name: cells.get(i) for i, name in names.items()}
 
 

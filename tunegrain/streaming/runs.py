@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tunegrain.operators import telemetry
 from tunegrain.streaming.state import MergedState, latest_per_key
 
 REFRESH = "2 seconds"
+log = logging.getLogger(__name__)
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, once: bool, refresh: str = REFRESH) -> StreamingQuery:
@@ -27,24 +30,34 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 def subscribe(
     events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-    job_id: str | None = None, kinds: Iterable[str] | None = None, once: bool = False,
+    job_id: str | None = None, kinds: Iterable[str] | None = None, once: bool = False, since: datetime | None = None,
 ) -> StreamingQuery:
-    """Hand each micro-batch of one job's events to ``handle``; stop the query to unsubscribe."""
-    chosen = telemetry.history(events, job_id, kinds)
+    """Hand each micro-batch of one job's events to ``handle``; stop the query to unsubscribe.
+
+    Only events with a time from ``since`` on are handed over; without it, from this call on.
+    """
+    start = F.lit(since) if since is not None else F.lit(datetime.now(timezone.utc))
+    chosen = telemetry.history(events, job_id, kinds).where(F.col("ts") >= start.cast(events.schema["ts"].dataType))
     return _start(chosen.writeStream.foreachBatch(handle), checkpoint, once)
 
 
 def fan_out(
     events: DataFrame, handlers: Iterable[Callable[[DataFrame, int], None]], checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Deliver every event to all handlers; the source is read once per micro-batch."""
+    """Deliver every event to all handlers; the source is read once per micro-batch.
+
+    A handler that fails is logged and doesn't keep the batch from the others.
+    """
     handlers = list(handlers)
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         stored = batch.persist()
         try:
             for handle in handlers:
-                handle(stored, batch_id)
+                try:
+                    handle(stored, batch_id)
+                except Exception:
+                    log.exception("a handler failed on batch %d", batch_id)
         finally:
             stored.unpersist()
 

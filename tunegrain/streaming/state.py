@@ -48,6 +48,13 @@ class MergedState:
             older = [b for b in self._complete(spark, "full") if b < batch_id]
             merged = self._merge(spark, max(older, default=-1), batch_id)
             merged.write.mode("overwrite").parquet(f"{self.path}/full/upto={batch_id}")
+            self._clear(spark, max(older, default=-1))
+
+    def _clear(self, spark: SparkSession, covered: int) -> None:
+        """Remove what the full table before the newest covers; that one stays, for replays of the newest."""
+        for kind, gone in (("batch", lambda b: b <= covered), ("full", lambda b: b < covered)):
+            for b in filter(gone, self._complete(spark, kind)):
+                files.remove_folder(spark, f"{self.path}/{kind}/upto={b}")
 
 
 def latest_per_key(keys: list[str], order: list[str], values: list[str]) -> Reduce:
