@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.llm import embedding_dups, jaccard_join, language_id, license_scan, mixing, packing, suffix_dedup, topk, toxicity, url_filter
+from tunegrain.llm.oracles import ORACLES as ORACLES
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,5 +73,3 @@ QUERIES = {
         op8_license_scan, op9_topk_products, op10_packing,
     )
 }
-
-ORACLES: dict[str, str] = {}
