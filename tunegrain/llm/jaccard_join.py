@@ -234,6 +234,16 @@ def _verify(percent: int):
     return run
 
 
+def _least_shared(percent: int) -> F.Column:
+    """Prefix shingles that sets ``one`` and ``two`` share at least if they are similar enough.
+
+    Of the set whose prefix ends first in the order, only what follows its prefix can be shared besides.
+    """
+    beyond = [F.ceil(percent * F.col(f"{x}.size") / 100) - F.col(f"{x}.level") for x in ("one", "two")]
+    overlap = F.ceil(percent * (F.col("one.size") + F.col("two.size")) / (100 + percent))
+    return F.greatest(F.least("one.level", "two.level").cast("bigint"), (overlap - F.greatest(*beyond)).cast("bigint"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) of set keys whose sets are similar enough, by exact set intersection."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key").select("id"), "wanted")
@@ -259,7 +269,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     docs = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "sets-scan")
     rows = scanned.where("kind = 0").select("id", "size", "key")
-    reps = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("id")).where("id is not null")
+    reps = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")).where("id is not null")
     posted = docs.where("id is not null").mapInArrow(_post(_sketch(scanned), settings), "token bigint, key bigint, meta smallint")
     part = F.xxhash64("token", F.floor(F.col("meta") / 8))
     lists = posted.repartition(part).sortWithinPartitions("token", F.floor(F.col("meta") / 8), "key")
@@ -278,12 +288,15 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
 
     # What lies in one component by now needs no more comparison; lists that reach several do.
     labelled = postings.select("token", "key", "level").join(parents.withColumnRenamed("node", "key"), "key", "left")
+    labelled = labelled.join(reps.select("key", "size"), "key")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = materialize(labelled.join(mixed, "token"), "mixed")
     one, two = rest.alias("one"), rest.alias("two")
-    cross = one.join(two, F.col("one.token") == F.col("two.token")).where("one.key < two.key and one.component <> two.component")
-    cross = cross.groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b")).agg((F.count("*") >= F.max(F.least("one.level", "two.level"))).alias("enough")).where("enough").select("a", "b")
+    sizes_fit = f"100 * least(one.size, two.size) >= {settings.percent} * greatest(one.size, two.size)"
+    cross = one.join(two, F.col("one.token") == F.col("two.token")).where(f"one.key < two.key and one.component <> two.component and {sizes_fit}")
+    cross = cross.groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b")).agg(F.count("*").alias("n"), F.max(_least_shared(settings.percent)).alias("need"))
+    cross = cross.where("n >= need").select("a", "b")
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, docs, reps, settings)
     # Only links between components are new, so the old components are contracted to their labels.
