@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,31 @@ def test_suffix_dedup_edges(spark, nothing):
     assert left == {None: (a, 100), 5: ("tail", 4), 8: (None, None), 9: ("é" * 40, 40)}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+@pytest.mark.parametrize("flip", [1, -1])
+def test_suffix_anchors_count_what_any_copy_stands_for(size, flip):
+    # (hash, key, place, times): of equal rows of several tasks, one stands for a loose row as well.
+    groups = [[(1, 5, 0, 1), (1, 5, 0, 1)], [(2, 5, 7, 2), (2, 5, 7, 1)], [(3, 5, 9, 1), (3, 6, 2, 1), (3, 6, 2, 4)], [(4, 5, 11, 1)], [(5, 5, 13, 3), (5, 5, 13, 1)]]
+    rows = [(h, *r) for g in groups for h, *r in sorted(g, key=lambda r: (r[:3], flip * r[3]))]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*[(h, h, k, p, t) for h, k, p, t in rows[i : i + size]], strict=True)], names=["deal", "hash", "key", "place", "times"]) for i in range(0, len(rows), size)]
+    got = {tuple(r.values()) for b in suffix_dedup._groups(iter(batches), 4) for r in b.to_pylist()}
+    assert got == {(2, 5, 7, False), (3, 5, 9, True), (3, 6, 2, True), (5, 5, 13, False)}
+
+
+def test_suffix_dedup_of_a_text_copied_in_another_task(spark):
+    rng = random.Random(21)
+    here, there = [], []
+    for n in range(0, 120, 3):
+        a, shared = prose(rng, 60), prose(rng, 60)
+        one, other = (here, there) if n % 2 else (there, here)
+        one += [(n, a + shared), (n + 1, prose(rng, 30) + shared)]
+        other.append((n + 2, a + shared))
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([here, there], 2).flatMap(lambda x: x), "doc_id bigint, text string")
+    facts, _ = suffix_dedup.dedup(rows)
+    want = repeats(dict(here + there))
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in facts.collect()} == want
+
+
 def test_column_wise_blocks_hold_every_column():
     import io
 

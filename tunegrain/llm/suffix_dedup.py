@@ -179,25 +179,28 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             hash_, key, place, times = hash_[~loose], key[~loose], place[~loose], times[~loose]
         if not len(hash_):
             continue
-        # Equal texts of several tasks stand together: each (hash, key, place) counts once.
+        # Equal texts of several tasks stand together: each (hash, key, place) is one row, but what the others of
+        # their batch have dealt out counts for each.
         again = np.zeros(len(hash_), dtype=bool)
         again[1:] = (hash_[1:] == hash_[:-1]) & (key[1:] == key[:-1]) & (place[1:] == place[:-1])
         if kept and kept[-1][0][-1] == hash_[0] and kept[-1][1][-1] == key[0] and kept[-1][2][-1] == place[0]:
             again[0] = True
-        hash_, key, place, times = hash_[~again], key[~again], place[~again], times[~again]
-        if not len(hash_):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
-        ends = np.append(starts[1:], len(hash_))
-        if kept and kept[-1][0][-1] != hash_[0]:
-            if (out := give(kept, total)) is not None:
+        heads = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
+        sums = np.add.reduceat(times.astype(np.int64) - again, heads)
+        sizes = np.add.reduceat((~again).astype(np.int64), heads)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        same = bool(kept) and kept[-1][0][-1] == hash_[0]
+        hash_, key, place = hash_[~again], key[~again], place[~again]
+        if kept and not same:
+            if not flowing and (out := give(kept, total)) is not None:
                 yield out
             kept, total, flowing = [], 0, False
-        sums = np.add.reduceat(times.astype(np.int64), starts)
         first_end = ends[0]
-        kept.append((hash_[:first_end], key[:first_end], place[:first_end]))
+        if first_end:
+            kept.append((hash_[:first_end], key[:first_end], place[:first_end]))
         total += int(sums[0])
-        if total > limit:
+        if total > limit and (first_end or not flowing):
             flowing = True
             yield give(kept, total)
             kept = [tuple(x[-1:] for x in kept[-1])]
@@ -206,10 +209,9 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         if not flowing and (out := give(kept, total)) is not None:
             yield out
         inner = slice(first_end, starts[-1])
-        sizes = np.diff(np.append(starts[1:-1], starts[-1]))
-        if len(sizes):
-            count = np.repeat(sums[1:-1], sizes)
-            rows = np.repeat(sizes, sizes)
+        if len(sizes) > 2:
+            count = np.repeat(sums[1:-1], sizes[1:-1])
+            rows = np.repeat(sizes[1:-1], sizes[1:-1])
             pick = (count > 1) | (rows > 1)
             yield pa.record_batch([pa.array(hash_[inner][pick]), pa.array(key[inner][pick]), pa.array(place[inner][pick]), pa.array(count[pick] > limit)], names=["hash", "key", "place", "frequent"])
         tail = slice(starts[-1], None)
