@@ -163,6 +163,22 @@ def test_suffix_dedup_of_a_text_copied_in_another_task(spark):
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in facts.collect()} == want
 
 
+def test_suffix_dedup_of_different_texts_under_one_id(spark):
+    rng = random.Random(22)
+    shared, x, y, z = (prose(rng, 60) for _ in range(4))
+    # Under 7 and under null: an exact copy or a text with a repeat, and one that nothing repeats.
+    rows = [(1, x), (7, x), (7, y), (8, y), (None, shared + "A"), (None, z), (9, "b" + shared), (None, "c" + shared), (7, "d" + shared)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    left = [(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert [t for i, t in left if i == 1] == [x]
+    assert sorted(t for i, t in left if i == 7) == sorted([y, "d"]) and not [t for i, t in left if i == 8]
+    of_null = sorted(t for i, t in left if i is None)
+    assert z in of_null and sorted(t for t in of_null if t != z) in (sorted([shared + "A", "c"]), sorted(["A", "c" + shared]))
+    assert [t for i, t in left if i == 9] == ["b"]
+    facts = suffix_dedup.dedup(df)[0].collect()
+    assert sorted(r.n_removed for r in facts if r.id == 7) == sorted([0, len(x.encode()), len(shared.encode())])
+
+
 def test_column_wise_blocks_hold_every_column():
     import io
 

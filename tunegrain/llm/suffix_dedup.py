@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
@@ -43,6 +43,8 @@ COLLECTION = 1 << 14
 PIECE = 1 << 19
 #: Bits of a hash that hold its place within a piece; the bits above rank the hashes.
 PLACE = 20
+#: Stands for a null id.
+LOWEST = -(2**63)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -95,6 +97,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray
         yield i, data[offsets[i] : offsets[i + 1]]
 
 
+def key_of(text: Column) -> Column:
+    """The text's key: 64 bits of its MD5."""
+    half = [F.conv(F.substring(F.md5(text.cast("binary")), at, 8), 16, 10).cast("bigint") for at in (1, 9)]
+    return F.shiftleft(half[0], 32).bitwiseOR(half[1])
+
+
 _FACTS = "id bigint, n_bytes bigint, key bigint, sha string"
 
 
@@ -102,7 +110,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [x.tobytes() for _, x in _texts(batch, 1)]
         yield pa.record_batch(
-            [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([text_key(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
+            [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), batch.column(2), pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
             names=["id", "n_bytes", "key", "sha"],
         )
 
@@ -130,8 +138,9 @@ def _anchor_rows(length: int):
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for _, data in _texts(batch, 0):
-                if len(data) < length or (key := text_key(data.tobytes())) in seen:
+            keys = np.asarray(batch.column(1))
+            for i, data in _texts(batch, 0):
+                if len(data) < length or (key := int(keys[i])) in seen:
                     continue
                 seen.add(key)
                 h, place, _lo, _hi = anchors(data, length)
@@ -220,32 +229,32 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield out
 
 
-_SEGMENTS = "deal bigint, id bigint, place bigint, low bigint, bytes binary, gone_first bigint, gone_last bigint"
+_SEGMENTS = "deal bigint, id bigint, key bigint, place bigint, low bigint, bytes binary, gone_first bigint, gone_last bigint"
 
 
 def _segments(length: int):
-    """Of (id, text, places): the bytes around each repeated anchor; with ``gone_first`` set, windows already
+    """Of (id, text, places, key): the bytes around each repeated anchor; with ``gone_first`` set, windows already
     known to repeat an earlier one of the same batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(3))
             listed = batch.column(2)
             out: list[tuple] = []
             held: dict[tuple[int, int, bytes], int] = {}
 
-            def put(deal: int, doc: int, place: int, low: int, cut: bytes) -> None:
+            def put(deal: int, doc: int, key: int, place: int, low: int, cut: bytes) -> None:
                 """Equal segments of a batch go on once, with their earliest place."""
                 name = (deal, place - low, cut)
                 at = held.setdefault(name, len(out))
                 if at == len(out):
-                    out.append((deal, doc, place, low, cut, None, None))
+                    out.append((deal, doc, key, place, low, cut, None, None))
                     return
-                other = out[at]
-                first, later = ((doc, place, low), other[1:4]) if (doc, place) < (other[1], other[2]) else (other[1:4], (doc, place, low))
+                one, other = (doc, key, place, low), out[at][1:5]
+                first, later = (one, other) if one[:3] < other[:3] else (other, one)
                 out[at] = (deal, *first, cut, None, None)
-                if first[:2] != later[:2]:
-                    out.append((None, later[0], None, None, None, later[2], later[2] + len(cut) - length))
+                if first[:3] != later[:3]:
+                    out.append((None, *later[:2], None, None, None, later[3], later[3] + len(cut) - length))
 
             for i, data in _texts(batch, 1):
                 marks = np.frombuffer(listed[i].as_buffer(), dtype=">i8").astype(np.int64)
@@ -255,15 +264,15 @@ def _segments(length: int):
                 at[at == len(places)] = 0
                 hit = np.flatnonzero(places[at] == place)
                 raw = data.tobytes()
-                doc = int(ids[i])
+                doc, key = int(ids[i]), int(keys[i])
                 for j in hit.tolist():
                     low, high, p = int(lo[j]), int(hi[j]), int(place[j])
                     if frequent[at[j]]:
                         for s in range(low, high + 1):
                             window = raw[s : s + length]
-                            put(text_key(window), doc, s, s, window)
+                            put(text_key(window), doc, key, s, s, window)
                     else:
-                        put(int(W.signed(h[j : j + 1])[0]), doc, p, low, raw[low : high + length])
+                        put(int(W.signed(h[j : j + 1])[0]), doc, key, p, low, raw[low : high + length])
                 if len(out) > 1 << 13:
                     yield _rows(out, _SEGMENTS)
                     out, held = [], {}
@@ -356,32 +365,33 @@ def _next_prefixes(symbols: np.ndarray, prefix: np.ndarray, to: np.ndarray, most
     return new
 
 
-_GONE = "id bigint, gone_first bigint, gone_last bigint"
+_GONE = "id bigint, key bigint, gone_first bigint, gone_last bigint"
 
 
 def _construct(length: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         doc = np.array([r[1] for r in rows])
-        place = np.array([r[2] for r in rows])
-        low = np.array([r[3] for r in rows])
-        pair = np.lexsort((place, doc))
+        key = np.array([r[2] for r in rows])
+        place = np.array([r[3] for r in rows])
+        low = np.array([r[4] for r in rows])
+        pair = np.lexsort((place, key, doc))
         rank = np.empty(len(rows), dtype=np.int64)
         changed = np.ones(len(rows), dtype=np.int64)
-        changed[1:] = (doc[pair][1:] != doc[pair][:-1]) | (place[pair][1:] != place[pair][:-1])
+        changed[1:] = (doc[pair][1:] != doc[pair][:-1]) | (key[pair][1:] != key[pair][:-1]) | (place[pair][1:] != place[pair][:-1])
         rank[pair] = np.cumsum(changed)
-        segment, column = column_wise([r[4] for r in rows], place - low, rank, length)
+        segment, column = column_wise([r[5] for r in rows], place - low, rank, length)
         start = place[segment] - column
-        order = np.lexsort((start, doc[segment]))
-        start, ids = start[order], doc[segment][order]
-        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + 1)]) if len(ids) else np.zeros(0, dtype=bool)
+        order = np.lexsort((start, key[segment], doc[segment]))
+        start, ids, keys = start[order], doc[segment][order], key[segment][order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + 1)]) if len(ids) else np.zeros(0, dtype=bool)
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(ids)) - 1 if len(heads) else heads
-        return pa.record_batch([pa.array(ids[heads]), pa.array(start[heads]), pa.array(start[tails])], names=["id", "gone_first", "gone_last"])
+        return pa.record_batch([pa.array(ids[heads]), pa.array(keys[heads]), pa.array(start[heads]), pa.array(start[tails])], names=["id", "key", "gone_first", "gone_last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
+            cols = [batch.column(i).to_pylist() for i in range(6)]
             for row in zip(*cols, strict=True):
                 if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
                     yield solve(rows)
@@ -394,7 +404,7 @@ def _construct(length: int):
 
 
 def _apply(length: int):
-    """Of (id, text, gaps): what is left, and the counts."""
+    """Of (id, text, gaps, key): what is left, and the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,9 +421,9 @@ def _apply(length: int):
                 # A character that is only partly covered stays in the readable text.
                 lead = np.flatnonzero((data & 0xC0) != 0x80)
                 whole = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(data)))) if len(lead) else gone
-                rows.append((batch.column(0)[i].as_py(), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), data[~whole].tobytes().decode("utf-8", "replace")))
-            names = ["id", "n_removed", "n_spans", "sha", "kept"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((batch.column(0)[i].as_py(), batch.column(3)[i].as_py(), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), data[~whole].tobytes().decode("utf-8", "replace")))
+            names = ["id", "key", "n_removed", "n_spans", "sha", "kept"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.nulls(0, k) for k in kinds], names=names)
 
     return run
@@ -423,19 +433,20 @@ def dedup(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT,
     """(facts, changed).
 
     ``facts``: per row ``id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``sha`` (SHA-256 of the
-    remaining bytes). ``changed``: ``id`` and ``kept`` text of the texts that lose some but not all bytes, and of exact
+    remaining bytes). ``changed``: ``id`` (the least bigint for null), ``key`` (of the text before) and ``kept`` text of the texts that lose some but not all bytes, and of exact
     later copies (empty). In ``kept`` a character that is only partly covered stays whole; ``sha`` is over bytes.
 
-    A null text is empty. Texts shorter than ``length`` keep all. Rows with a null id come before all others. Rows that
-    repeat an id should not occur; the same text under the same id counts as one. An empty table gives empty results.
+    A null text is empty. Texts shorter than ``length`` keep all. Rows with a null id come before all others. Different
+    texts under one id, or without one, are judged each by itself, in the order of their keys; the same text under the
+    same id counts as one. An empty table gives empty results.
     Other columns are ignored.
     """
-    lowest = -(2**63)
-    docs = documents.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(lowest)).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    docs = documents.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("key", key_of(F.col("text")))
     facts = materialize(docs.mapInArrow(_facts, _FACTS), "text-facts")
     firsts = facts.where(F.col("n_bytes") >= length).groupBy("key").agg(F.min("id").alias("first"))
 
-    anchored = docs.select("text").mapInArrow(_anchor_rows(length), _ANCHORED).repartition("deal")
+    anchored = docs.select("text", "key").mapInArrow(_anchor_rows(length), _ANCHORED).repartition("deal")
     repeated = anchored.sortWithinPartitions("deal", "hash", "key", "place").mapInArrow(_repeated(frequent), "hash bigint, key bigint, place bigint, frequent boolean")
     repeated = materialize(repeated, "anchors")
     often = repeated.where("frequent").select("hash").distinct().withColumn("often", F.lit(True))
@@ -445,35 +456,35 @@ def dedup(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT,
     mark = F.col("place") * 2 + F.col("frequent").cast("int")
     # Big-endian 8-byte cells: a sorted array of longs as one binary.
     packed = told.groupBy("key").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
-    packed = packed.join(firsts, "key").select(F.col("first").alias("id"), _packed("marks").alias("places"))
+    packed = packed.join(firsts, "key").select(F.col("first").alias("id"), "key", _packed("marks").alias("places"))
     packed = materialize(packed, "places")
 
-    maybe, _ = split_by_membership(docs, packed.select("id"), "id")
-    cut = maybe.dropDuplicates(["id"]).join(packed, "id").select("id", "text", "places").mapInArrow(_segments(length), _SEGMENTS)
+    maybe, _ = split_by_membership(docs, packed.select("key"), "key")
+    cut = maybe.dropDuplicates(["id", "key"]).join(packed, ["id", "key"]).select("id", "text", "places", "key").mapInArrow(_segments(length), _SEGMENTS)
     cut = materialize(cut, "segments")
-    met = cut.where("deal is not null").select("deal", "id", "place", "low", "bytes").repartition("deal").sortWithinPartitions("deal")
-    gone = met.mapInArrow(_construct(length), _GONE).unionByName(cut.where("gone_first is not null").select("id", "gone_first", "gone_last"))
-    gaps = gone.groupBy("id").agg(F.collect_list(F.struct("gone_first", "gone_last")).alias("gaps"))
-    gaps = gaps.select("id", _packed(F.flatten(F.transform("gaps", lambda g: F.array(g.gone_first, g.gone_last)))).alias("gaps"))
+    met = cut.where("deal is not null").select("deal", "id", "key", "place", "low", "bytes").repartition("deal").sortWithinPartitions("deal")
+    gone = met.mapInArrow(_construct(length), _GONE).unionByName(cut.where("gone_first is not null").select("id", "key", "gone_first", "gone_last"))
+    gaps = gone.groupBy("id", "key").agg(F.collect_list(F.struct("gone_first", "gone_last")).alias("gaps"))
+    gaps = gaps.select("id", "key", _packed(F.flatten(F.transform("gaps", lambda g: F.array(g.gone_first, g.gone_last)))).alias("gaps"))
     gaps = materialize(gaps, "gaps")
 
-    maybe, _ = split_by_membership(docs, gaps.select("id"), "id")
-    schema = "id bigint, n_removed bigint, n_spans bigint, sha string, kept string"
-    partly = maybe.dropDuplicates(["id"]).join(gaps, "id").select("id", "text", "gaps").mapInArrow(_apply(length), schema)
+    maybe, _ = split_by_membership(docs, gaps.select("key"), "key")
+    schema = "id bigint, key bigint, n_removed bigint, n_spans bigint, sha string, kept string"
+    partly = maybe.dropDuplicates(["id", "key"]).join(gaps, ["id", "key"]).select("id", "text", "gaps", "key").mapInArrow(_apply(length), schema)
     partly = materialize(partly, "kept")
     drop_tables(repeated, packed, cut, gaps)
 
-    joined = facts.join(firsts, "key", "left").join(partly.select("id", "n_removed", "n_spans", F.col("sha").alias("left_sha")), "id", "left")
+    joined = facts.join(firsts, "key", "left").join(partly.select("id", "key", "n_removed", "n_spans", F.col("sha").alias("left_sha")), ["id", "key"], "left")
     copy = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
-    whole = F.when(F.col("id") == lowest, F.lit(None)).otherwise(F.col("id"))
+    whole = F.when(F.col("id") == LOWEST, F.lit(None)).otherwise(F.col("id"))
     told = joined.select(
         whole.alias("id"), "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("sha"),
     )
-    copies = facts.join(firsts, "key").where("id > first").select("id", F.lit("").alias("kept")).distinct()
-    return told, partly.select("id", "kept").unionByName(copies)
+    copies = facts.join(firsts, "key").where("id > first").select("id", "key", F.lit("").alias("kept")).distinct()
+    return told, partly.select("id", "key", "kept").unionByName(copies)
 
 
 def _packed(column) -> F.Column:
@@ -489,11 +500,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts of which nothing is left go; texts that were empty before stay. Needs ``doc_id`` and ``text``.
     """
     _, changed = dedup(documents, length)
-    changed = materialize(changed.select(F.col("id").alias("doc_id"), F.col("kept").alias("__kept")), "changed")
-    maybe, rest = split_by_membership(documents, changed.select("doc_id"), "doc_id")
-    joined = maybe.join(changed, "doc_id", "left").where("__kept is null or __kept <> ''")
+    changed = materialize(changed.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept")), "changed")
+    told = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))).withColumn("__key", key_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    maybe, rest = split_by_membership(told, changed.select("__key"), "__key")
+    joined = maybe.join(changed, ["__id", "__key"], "left").where("__kept is null or __kept <> ''")
     joined = joined.withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return joined.select(*columns_of(documents)).unionByName(rest)
+    return joined.select(*columns_of(documents)).unionByName(rest.select(*columns_of(documents)))
