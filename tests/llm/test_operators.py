@@ -448,6 +448,18 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).collect() == []
 
 
+def test_url_filter_holds_every_word_and_token(spark):
+    rng = random.Random(5)
+    names = [prose(rng, 1).replace("é", "e") + f"q{chr(97 + i)}" for i in range(12)]
+    urls = [f"http://{rng.choice(names)}.{rng.choice(names)}{rng.choice(names)}-{rng.choice(['casino', 'farm', 'zz'])}.net/{rng.choice(names)}/{i % 7}" for i in range(150)]
+    # A token of few hosts, all of them blocked, among more frequent ones.
+    urls += [f"http://casino{i}.net/rare" for i in range(4)] + ["http://plain.net/rare", "file:///rare", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    want = {r.page_id: r for r in url_filter.judge(df, ()).collect()}
+    got = {r.page_id: r for r in url_filter.judge(df, (), most_words=2, most_tokens=3).collect()}
+    assert want == got and len(got) == len(urls)
+
+
 def test_names_are_split_into_words():
     model = url_filter.Model({w: math.log(1 / 100) for w in ("casino", "win", "free", "farm")}, 100.0)
     assert model.split("casinowinfarm") == ["casino", "win", "farm"] and model.split("") == []
