@@ -13,7 +13,9 @@ earlier in the same document) is removed. Overlaps count, and strings are judged
    symbol of every segment per round, from the last column to the first. The symbols standing before the
    sorted suffixes are the round's block of the Burrows-Wheeler transform; a stable distribution by them gives
    the next order, and the next common prefixes are range minima of the old ones plus one. Columns are
-   read from, and blocks written to, sequential external files; memory holds one column. As suffixes
+   read from, and blocks written to, sequential temporary files. The segments of a construction, its order and
+   its prefixes are held in memory (COLLECTION segments and the last anchor's group bound them, not the files);
+   no later step reads the blocks, and they are deleted with the construction. As suffixes
    of different columns can't hold equal windows, each column is a block of its own, and a round needn't pass
    over earlier blocks: the work is linear in the segments' bytes instead of quadratic in their length.
 4. Runs of suffixes whose common prefix is at least ``length`` are equal windows; all but the earliest go.
