@@ -420,6 +420,12 @@ def test_top_k(spark):
     assert topk.search(df.limit(0)).collect() == []
 
 
+def test_top_k_of_more_than_a_thousand_lengths(spark):
+    rows = [(2 * w + i, [1.0 + i] * w) for w in range(1, 1012) for i in (0, 1)]
+    found = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), every=674).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in found} == {(q, q + 1, 2 * 256 * 256 * (q // 2)) for q in range(674, 2023, 674)}
+
+
 def test_pruning_by_a_coordinate_is_safe():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(500, 6))

@@ -21,6 +21,8 @@ from tunegrain.llm.shared import materialize
 RATIO = 1.1
 #: Longest vectors that give the first thresholds; a fixed number.
 SEEDS = 2048
+#: Slices of a length whose longest vectors are found apart.
+SLICES = 64
 #: Local cosine threshold from which a coordinate prunes better than the length.
 COORDINATE_FROM = 0.6
 
@@ -99,20 +101,21 @@ def _scan(k: int):
     return run
 
 
-def _floors(seeds: np.ndarray, seed_ids: np.ndarray, k: int):
-    def run(batches):
-        for batch in batches:
-            floors = []
-            if len(batch) and len(seeds):
-                queries, ids = _matrix(batch.column(1)), np.asarray(batch.column(0))
-                for low in range(0, len(ids), 256):
-                    scores = _products(queries[low : low + 256], seeds)
-                    for i, row in enumerate(scores):
-                        own = row[seed_ids != ids[low + i]]
-                        floors.append(int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else None)
-            else:
-                floors = [None] * len(batch)
-            yield pa.record_batch([*batch.columns, pa.array(floors, pa.int64())], names=["id", "vector", "width", "floor"])
+def _floors(k: int):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Queries (left) of one length with the longest vectors of that length (right): the first thresholds."""
+        floors: list[int | None] = []
+        if left.num_rows and right.num_rows:
+            queries, seeds = _matrix(left.column("vector")), _matrix(right.column("vector"))
+            ids, seed_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
+            for low in range(0, len(ids), 256):
+                scores = _products(queries[low : low + 256], seeds)
+                for i, row in enumerate(scores):
+                    own = row[seed_ids != ids[low + i]]
+                    floors.append(int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else None)
+        else:
+            floors = [None] * left.num_rows
+        return pa.table({"id": left.column("id"), "vector": left.column("vector"), "width": left.column("width"), "floor": pa.array(floors, pa.int64())})
 
     return run
 
@@ -132,21 +135,19 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     bucket = F.when(norm > 0, F.floor(F.log(norm) / float(np.log(RATIO)))).otherwise(-(2**31)).cast("int")
     rows = materialize(rows.select("id", "vector", F.size("vector").alias("width"), norm.alias("norm"), bucket.alias("bucket")), "top-vectors")
     queries = rows.where(F.col("id") % every == 0).select("id", "vector", "width")
-    spark = rows.sparkSession
-    parts = []
-    # One round per vector length; a table has one, or a few.
-    for width in [r.width for r in rows.select("width").distinct().orderBy("width").limit(1000).collect()]:
-        own = rows.where(F.col("width") == width)
-        longest = own.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "vector").collect()
-        seeds = np.array([r.vector for r in longest], dtype=np.int64).reshape(len(longest), width)
-        seed_ids = np.array([r.id for r in longest], dtype=np.int64)
-        ask = queries.where(F.col("width") == width).mapInArrow(_floors(seeds, seed_ids, k), "id bigint, vector array<bigint>, width int, floor bigint")
-        parts.append(ask)
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    asked = parts[0]
-    for more in parts[1:]:
-        asked = asked.unionByName(more)
+    # The longest of each length: of each of its slices first, then overall.
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    for groups in (["width", "slice"], ["width"]):
+        longest = Window.partitionBy(*groups).orderBy(F.desc("norm"), "id")
+        sliced = sliced.withColumn("at", F.row_number().over(longest)).where(F.col("at") <= SEEDS)
+    seeds = materialize(sliced.select("id", "vector", "width"), "top-seeds")
+    # Queries of a length in chunks, each with the length's seeds.
+    sizes = queries.groupBy("width").agg(F.ceil(F.count("*") / queries_at_once).cast("int").alias("chunks"))
+    dealt = queries.join(sizes, "width").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    stood = seeds.join(sizes, "width").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keys = ["width", "chunk"]
+    asked = dealt.select(*keys, "id", "vector").groupBy(*keys).cogroup(stood.select(*keys, "id", "vector").groupBy(*keys))
+    asked = asked.applyInArrow(_floors(k), "id bigint, vector array<bigint>, width int, floor bigint")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     asked = materialize(asked.withColumn("length", length), "top-queries")
     chunks = max(1, -(-asked.count() // queries_at_once))
