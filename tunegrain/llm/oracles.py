@@ -121,6 +121,62 @@ def mixing_sql(plan: mixing.Plan) -> str:
                CAST(least({plan.epochs}, whole + CASE WHEN upto <= share - whole * all_tokens THEN 1 ELSE 0 END) AS BIGINT) AS times
         FROM taken WHERE whole + CASE WHEN upto <= share - whole * all_tokens THEN 1 ELSE 0 END > 0"""
 
+AUDIT = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    u AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+    w AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN u ON g.lang = u.lang AND g.source = u.source GROUP BY g.lang, g.source),
+    p AS (SELECT w.lang, w.source, k.term, coalesce(c, 0) AS c,
+                 CAST(1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (w.n + v) AS HUGEINT) AS p,
+                 CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + v) AS HUGEINT) AS q
+          FROM w JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN u ON u.lang = w.lang AND u.source = w.source AND u.term = k.term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT one.lang, one.source, two.source AS item, sum((one.p - two.p) * (one.p - two.p) // two.p) AS value
+                         FROM p one JOIN p two ON one.lang = two.lang AND one.term = two.term AND one.source <> two.source
+                         GROUP BY one.lang, one.source, two.source) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+    terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value,
+           CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM pairs
+    UNION ALL
+    SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value,
+           CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM terms) WHERE rank <= 200"""
+
+
+def _assigned(turn: int) -> str:
+    """Each vector's nearest centroid of ``c<turn>``; ties go to the smaller number."""
+    return f"""
+    a{turn} AS (
+        SELECT v.r, v.id, v.x, arg_min(c.k, (s.d, c.k)) AS k, min(s.d) AS d
+        FROM v CROSS JOIN c{turn} c, LATERAL (
+            SELECT CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d) s
+        GROUP BY v.r, v.id, v.x)"""
+
+
+def _moved(turn: int) -> str:
+    """The centroids after a round: floors of the means; empty ones stay."""
+    return f"""
+    m{turn} AS (
+        SELECT k, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+            SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{turn}) GROUP BY k, i)),
+    c{turn + 1} AS (
+        SELECT c.k, coalesce(y.x, c.x) AS x FROM c{turn} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS x FROM m{turn} GROUP BY k) y ON y.k = c.k)"""
+
+
+CLUSTERS = f"""
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE {_FINITE} AND len(embedding) = 64 AND vec_id IS NOT NULL),
+    c0 AS (
+        SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || id) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+    {",".join(f"{_assigned(turn)},{_moved(turn)}" for turn in range(3))},{_assigned(3)}
+    SELECT id AS vec_id, CAST(a3.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a3.k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 ON c3.k = a3.k"""
+
 
 ORACLES = {
     "op3_embedding_near_dups": NEAR_DUPS,
@@ -128,4 +184,6 @@ ORACLES = {
     "op7_mixing": mixing_sql(mixing.Plan()),
     "op8_license_scan": LICENSES,
     "op9_topk_products": TOP_K,
+    "op12_source_audit": AUDIT,
+    "op13_va_clusters": CLUSTERS,
 }

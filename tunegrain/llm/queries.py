@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegrain.llm import embedding_dups, jaccard_join, language_id, license_scan, mixing, packing, suffix_dedup, topk, toxicity, url_filter
+from tunegrain.llm import (
+    curve_search, embedding_dups, jaccard_join, language_id, license_scan, mixing, packing, source_audit, suffix_dedup, topk, toxicity,
+    url_filter, va_clusters,
+)
 from tunegrain.llm.oracles import ORACLES as ORACLES
 
 
@@ -66,10 +69,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"))
 
 
+def op11_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return curve_search.search(_read(spark, folder, "embeddings"))
+
+
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_read(spark, folder, "documents"))
+
+
+def op13_va_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return va_clusters.cluster(_read(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_language_id, op3_embedding_near_dups, op4_toxicity, op5_ngram_jaccard, op6_suffix_dedup, op7_mixing,
-        op8_license_scan, op9_topk_products, op10_packing,
+        op8_license_scan, op9_topk_products, op10_packing, op11_curve_neighbours, op12_source_audit, op13_va_clusters,
     )
 }
