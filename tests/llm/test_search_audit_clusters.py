@@ -149,9 +149,10 @@ def audit_frame(spark, rows):
     return spark.createDataFrame([(i, t, l, s, *["x"] * 8) for i, (l, s, t) in enumerate(rows)], AUDIT)
 
 
-@pytest.mark.parametrize("size", [1 << 16, 7])
-def test_source_audit(spark, size, monkeypatch):
+@pytest.mark.parametrize("size, block", [(1 << 15, 32), (7, 2)])
+def test_source_audit(spark, size, block, monkeypatch):
     monkeypatch.setattr(source_audit, "SLICE", size)
+    monkeypatch.setattr(source_audit, "BLOCK", block)
     rows = audit_rows()
     got = sorted(tuple(r) for r in source_audit.audit(audit_frame(spark, rows), top=9).select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == audited(rows, top=9)

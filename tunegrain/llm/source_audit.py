@@ -1,12 +1,13 @@
 """How far the sources of a language stand apart: term shares of each against each, and against the whole language.
 
 Term counts of a (language, source) group are arrays of term numbers and counts, sorted by number. For every unordered
-pair of a language's sources the two groups' arrays are co-grouped and merged once: a galloping intersection prices
-the terms that both have, then those of one side only, in both directions. Terms that neither has all cost the same,
-so they are priced together from their number.
+pair of a language's sources the two groups' arrays are brought together and merged once: a galloping intersection
+prices the terms that both have, then those of one side only, in both directions. Terms that neither has all
+cost the same, so they are priced together from their number.
 
-A vocabulary is cut by hash into slices of bounded size, and a pair's task holds one slice of both
-groups; values of slices are added up. All arithmetic is on whole numbers.
+A vocabulary is cut by hash into slices of bounded size, and sources into blocks: a task co-groups one slice of two
+blocks of sources and merges their pairs one by one. An array so travels once for each block, not once for each
+pair. Values of slices are added up. All arithmetic is on whole numbers.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tunegrain.llm.shared import materialize
+from tunegrain.llm.shared import drop_tables, materialize
 from tunegrain.operators.toplist import first_per_key
 
 #: Shares are whole parts of this number.
 PARTS = 10**9
-#: Terms of a slice, about.
-SLICE = 1 << 16
+#: Terms of a slice, about, and sources of a block: a task holds two blocks' arrays of one slice.
+SLICE = 1 << 15
+BLOCK = 32
 #: Entries that a task counts before it hands them on.
 HELD = 200_000
 #: Bytes of a text that are split into terms at once.
@@ -127,36 +129,45 @@ def _meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
-def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    terms, counts = (np.asarray(table.column(n)[0].values) for n in ("terms", "counts"))
-    return terms, counts
+def _sides(table: pa.Table) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Source, total, term numbers and counts of each row; a source without terms in the slice has empty arrays."""
+    out = []
+    for i in range(table.num_rows):
+        source, whole, terms, counts = (table.column(n)[i] for n in ("source", "whole", "terms", "counts"))
+        arrays = (np.asarray(x.values, dtype=np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (terms, counts))
+        out.append((source.as_py(), whole.as_py(), *arrays))
+    return out
 
 
 _PRICED = "lang string, one string, two string, one_two decimal(38,0), two_one decimal(38,0), met bigint"
 
 
-def _merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One slice of a pair: what the terms of either group cost, in both directions, and how many they are."""
-    facts = left if left.num_rows else right
-    whole_a, whole_b = facts.column("whole_one")[0].as_py(), facts.column("whole_two")[0].as_py()
-    (ids_a, n_a), (ids_b, n_b) = _side(left), _side(right)
+def _merged(one: tuple, two: tuple) -> tuple[int, int, int]:
+    """What the terms of either group cost, in both directions, and how many they are."""
+    (_, whole_a, ids_a, n_a), (_, whole_b, ids_b, n_b) = one, two
     none_a, none_b = (_shares(np.zeros(1, np.int64), w) for w in (whole_a, whole_b))
     p_a, p_b = _shares(n_a, whole_a), _shares(n_b, whole_b)
     i, j = _meeting(ids_a, ids_b)
     only_a, only_b = np.delete(p_a, i), np.delete(p_b, j)
     forth = _gaps(p_a[i], p_b[j]) + _gaps(only_a, none_b) + _gaps(none_a, only_b)
     back = _gaps(p_b[j], p_a[i]) + _gaps(only_b, none_a) + _gaps(none_b, only_a)
-    met = len(ids_a) + len(ids_b) - len(i)
+    return forth, back, len(ids_a) + len(ids_b) - len(i)
+
+
+def _merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """One slice of the pairs of two blocks of sources (right), or of one block with itself (left alone)."""
+    mine, other = _sides(left), _sides(right)
+    pairs = [(a, b) for a in mine for b in other] if key[2] != key[3] else [(a, b) for a in mine for b in mine if a[0] < b[0]]
+    pairs = [(a, b) for a, b in pairs if len(a[2]) or len(b[2])]
+    sums = [_merged(a, b) for a, b in pairs]
     return pa.table(
         {
-            "lang": pa.array([key[0].as_py()], pa.string()),
-            "one": pa.array([key[1].as_py()], pa.string()),
-            "two": pa.array([key[2].as_py()], pa.string()),
-            "one_two": pa.array([forth]).cast(pa.decimal128(38, 0)),
-            "two_one": pa.array([back]).cast(pa.decimal128(38, 0)),
-            "met": pa.array([met], pa.int64()),
+            "lang": pa.array([key[0].as_py()] * len(pairs), pa.string()),
+            "one": pa.array([a[0] for a, _ in pairs], pa.string()),
+            "two": pa.array([b[0] for _, b in pairs], pa.string()),
+            "one_two": pa.array([s[0] for s in sums], pa.decimal128(38, 0)),
+            "two_one": pa.array([s[1] for s in sums], pa.decimal128(38, 0)),
+            "met": pa.array([s[2] for s in sums], pa.int64()),
         }
     )
 
@@ -184,25 +195,25 @@ def audit(documents: DataFrame, least: int = 3, top: int = 200, lang_column: str
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    counted = plain.mapInArrow(_count, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counted = materialize(counted.withColumn("term", F.col("term").cast("string")), "term-counts")
-    known = counted.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    known = materialize(known.where(F.col("docs") >= least).select("lang", "term", "lang_n"), "kept-terms")
-    languages = known.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_n"))
-    languages = materialize(languages.select("lang", "v", (F.col("lang_n") + F.col("v")).alias("lang_whole")), "term-languages")
-    slices = -(-(languages.agg(F.max("v")).first()[0] or 1) // SLICE)
-    sliced = known.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
-    order = Window.partitionBy("lang", "slice").orderBy("term")
-    kept = sliced.withColumn("number", F.row_number().over(order).cast("bigint"))
-    uses = materialize(counted.where("n > 0").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "term-uses")
-    totals = uses.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = counted.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(languages, "lang", "left")
-    v = F.coalesce("v", F.lit(0).cast("bigint")).alias("v")
-    groups = groups.select("lang", "source", v, (F.coalesce("n", F.lit(0)) + v).alias("whole"), "lang_whole")
+    # Dealt out by term once: counts of a group, of the language, and the term's number all come from there.
+    counted = plain.mapInArrow(_count, _COUNTS).repartition("lang", "term")
+    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = counted.withColumn("place", F.monotonically_increasing_id())
+    term = Window.partitionBy("lang", "term")
+    counted = counted.withColumns({"lang_n": F.sum("n").over(term), "lang_docs": F.sum("docs").over(term), "number": F.min("place").over(term)})
+    uses = counted.where(F.col("term").isNull() | (F.col("lang_docs") >= least))
+    uses = uses.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "lang_n", "number", (F.col("place") == F.col("number")).alias("leads"))
+    uses = materialize(uses, "term-uses")
+    kept = uses.where("term is not null")
+    # One row of a term leads, so that terms are counted once.
+    languages = kept.where("leads").groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_n"))
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    groups = uses.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(languages, "lang", "left")
+    v = F.coalesce("v", F.lit(0).cast("bigint"))
+    position = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("position")
+    groups = groups.select("lang", "source", v.alias("v"), (F.coalesce("n", F.lit(0)) + v).alias("whole"), (F.coalesce("lang_n", F.lit(0)) + v).alias("lang_whole"), position)
     groups = materialize(groups, "term-groups")
-    terms = _leading_terms(uses, groups, top)
-    pairs = _pair_values(uses, groups)
-    return terms.unionByName(pairs)
+    return _leading_terms(kept, groups, top).unionByName(_pair_values(kept, groups))
 
 
 #: Parts of a group's terms where they meet the group's total: one source may hold a third of all.
@@ -225,20 +236,28 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def _pair_values(uses: DataFrame, groups: DataFrame) -> DataFrame:
-    arrays = uses.groupBy("lang", "source", "slice").agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("all"))
+    slices = -(-(groups.agg(F.max("v")).first()[0] or 1) // SLICE)
+    cut = F.pmod(F.xxhash64("number"), F.lit(slices)).cast("int").alias("slice")
+    arrays = uses.groupBy("lang", "source", cut).agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("all"))
     arrays = materialize(arrays.select("lang", "source", "slice", F.col("all.number").alias("terms"), F.col("all.n").alias("counts")), "term-arrays")
-    one = groups.select("lang", F.col("source").alias("one"), F.col("whole").alias("whole_one"), "v")
-    two = groups.select("lang", F.col("source").alias("two"), F.col("whole").alias("whole_two"))
-    pairs = materialize(one.join(two, "lang").where("one < two"), "source-pairs")
-    keys = ["lang", "one", "two", "slice"]
-    held = [*keys, "whole_one", "whole_two", "terms", "counts"]
-    left = arrays.withColumnRenamed("source", "one").join(pairs, ["lang", "one"]).select(*held)
-    right = arrays.withColumnRenamed("source", "two").join(pairs, ["lang", "two"]).select(*[F.col(c).alias(c) for c in held])
-    merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_merge, _PRICED)
-    # Sums of all slices; they are as many as the pairs.
+    blocked = groups.where("v > 0").withColumn("block", F.floor(F.col("position") / BLOCK).cast("int"))
+    blocks = blocked.groupBy("lang").agg((F.max("block") + 1).alias("blocks"))
+    blocked = blocked.select("lang", "source", "whole", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).join(blocks, "lang")
+    stood = materialize(blocked.join(arrays, ["lang", "source", "slice"], "left"), "term-blocks")
+    drop_tables(arrays)
+    keys = ["lang", "slice", "first", "second"]
+    held = [*keys, "source", "whole", "terms", "counts"]
+    left = stood.withColumn("first", F.col("block")).withColumn("second", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = stood.where("block > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("second", F.col("block"))
+    right = right.select(*[F.col(c).alias(c) for c in held])
+    merged = left.select(*held).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_merge, _PRICED)
     merged = merged.groupBy("lang", "one", "two").agg(F.sum("one_two").alias("one_two"), F.sum("two_one").alias("two_one"), F.sum("met").alias("met"))
     merged = materialize(merged, "pair-values")
-    valued = pairs.join(merged, ["lang", "one", "two"], "left")
+    drop_tables(stood)
+    one = groups.select("lang", F.col("source").alias("one"), F.col("whole").alias("whole_one"), "v")
+    two = groups.select("lang", F.col("source").alias("two"), F.col("whole").alias("whole_two"))
+    # The result has a row for each direction of every pair of a language's sources.
+    valued = one.join(two, "lang").where("one < two").join(merged, ["lang", "one", "two"], "left")
     absent, p, q = "(v - coalesce(met, 0))", _share("0L", "whole_one"), _share("0L", "whole_two")
     forth = F.expr(f"cast(coalesce(one_two, 0) + cast({absent} as decimal(20, 0)) * ({_gap(p, q)}) as bigint)")
     back = F.expr(f"cast(coalesce(two_one, 0) + cast({absent} as decimal(20, 0)) * ({_gap(q, p)}) as bigint)")
