@@ -72,7 +72,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(percent=50, heavy=1), jaccard_join.Settings(levels=1)])
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(percent=50, heavy=1), jaccard_join.Settings(verify_cost=200.0), jaccard_join.Settings(post_cost=1000.0)])
 def test_jaccard_join(documents, texts, settings):
     sets = {i: shingles(t) for i, t in texts.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= settings.percent * len(sets[a] | sets[b])]
@@ -98,6 +98,64 @@ def test_jaccard_join_splits_long_lists(spark):
     assert got == root
 
 
+def regular_words():
+    """Two words of 2,048 letters, each the other's with letters exchanged, in which sums of powers of many bases agree."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_stay_apart(spark):
+    one, two = regular_words()
+    rows = [(1, one), (2, two), (3, f"{one} x y"), (4, f"{two} x y"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.id: r.component for r in jaccard_join.join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    data, offsets = words.utf8(pa.array([one, two, one[:64], two[:64], one[:7], two[:7], one[:8], one[:9]]))
+    assert len(set(words.word_hashes(data, offsets)[0].tolist())) == 8
+
+
+def test_jaccard_join_of_many_that_share_much_and_link_with_none(spark, monkeypatch):
+    """Texts that each share nine tenths with one text that isn't there: their lists are long, and none links."""
+    monkeypatch.setattr(jaccard_join, "PART", 100)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(0, 395, 5), 12)):
+            w[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000, rows[7][1] + " end"), (5001, rows[9][1])]
+    found = {r.id: r.component for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: shingles(rows[i][1]) for i in range(30)}
+    assert not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    assert found == {i: i for i in range(2000)} | {5000: 7, 5001: 9}
+
+
+def test_parity_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, size=400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, size=n)) for n in (0, 1, 5, 90, 200, 380, 380)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    maps = [np.array(x, dtype=np.int64).view(np.uint8) for x in jaccard_join._bitmaps(np.concatenate(sets), first).to_pylist()]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            bits = int(np.unpackbits(maps[i] ^ maps[j]).sum())
+            assert bits <= apart and (i != j or bits == 0)
+
+
+def test_levels_end_where_posting_costs_more():
+    sizes = np.array([0, 1, 100, 3000])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    least = -(-80 * sizes // 100)
+    rare, common = np.ones(3101, dtype=np.int64), np.full(3101, 10**6)
+    assert jaccard_join._levels(rare, sizes, least, first, jaccard_join.Settings()).tolist() == [1, 1, 1, 1]
+    high = jaccard_join._levels(common, sizes, least, first, jaccard_join.Settings())
+    assert high[1] == 1 and high[2] > 4 and high[3] > 1000 and (high <= np.maximum(least, 1)).all()
+
+
 def test_jaccard_join_edges(spark, nothing):
     assert jaccard_join.join(nothing).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id bigint, text string")
@@ -210,6 +268,18 @@ def test_tokens_are_the_library_s(spark):
     assert got == [library.encode(c or "", add_special_tokens=False).ids for c in cases]
 
 
+def test_tokens_of_regular_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    one, two = regular_words()
+    for text in (one, two, f"{two} {one}", one):
+        ids, _ = by.encode(*words.utf8(pa.array([text])))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(documents, texts):
     import public_tokenizers
     from tokenizers import Tokenizer

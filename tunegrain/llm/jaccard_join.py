@@ -10,8 +10,10 @@ The order comes from a counting sketch of fixed size over the shingles of all do
 gives the same result; a good one keeps common lines and passages out of the prefixes.
 
 Only connectivity is asked for, so groups are not expanded into pairs. First every posting list is
-compared with its smallest member only. What then still lies in different components, and shares
-enough prefix shingles, is compared pair by pair: no link between different components is lost.
+compared with its smallest member only. What then still lies in different components is compared pair by pair, if
+a bound on what two sets can share admits it: every set has a bitmap of the parities of its shingles' hashes,
+and two sets differ in at least as many shingles as their bitmaps differ in bits. The bound stands in the join
+itself, so pairs beyond it are never made. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -32,18 +34,21 @@ SKETCH_BITS = 20
 SKETCH_SLICES = 64
 #: Parts of a posting list that is known to be long.
 SALTS = 64
+#: Bits of a set's parity bitmap.
+BITS = 1024
+#: Sets that meet a list, or a hub, in one task.
+PART = 2048
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent``: least similarity in hundredths. ``levels``: highest prefix level tried.
+    """``percent``: least similarity in hundredths.
 
     ``post_cost`` and ``verify_cost``: relative cost of one posted shingle and of one candidate.
     ``heavy``: a posting list is split if its counter is above this and above 8 times the mean.
     """
 
     percent: int = 80
-    levels: int = 4
     post_cost: float = 1.0
     verify_cost: float = 4.0
     heavy: int = 5000
@@ -58,21 +63,40 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def _keys(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, from its sum and its size (0 for an empty one)."""
+    """Two 64-bit keys of each set, as columns: from sums of its shingles, mixed in two ways, and its size."""
     size = np.diff(first)
+    out = np.empty((len(size), 2), dtype=W.U64)
     with np.errstate(over="ignore"):
-        key = W.mix(W.sums_by_row(W.mix(tokens ^ W.U64(0x5DEECE66D)), first) + W.mix(size.astype(W.U64)))
-    key[size == 0] = 0
-    return W.signed(key)
+        for i, salt in enumerate((0x5DEECE66D, 0xD1342543DE82EF95)):
+            out[:, i] = W.mix(W.sums_by_row(W.mix(tokens ^ W.U64(salt)), first) + W.mix(size.astype(W.U64)))
+    return out
 
 
-_SCAN = "kind int, id bigint, size bigint, key bigint, part int, counts binary"
+def _binary(keys: np.ndarray) -> pa.Array:
+    """Both keys of each row as 16 bytes."""
+    return W.binaries(np.ascontiguousarray(keys).ravel(), 2 * np.arange(len(keys) + 1))
+
+
+def _bitmaps(tokens: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per set, the parities of how many of its shingles fall on each of BITS places, as longs."""
+    parts = []
+    for low in range(0, len(first) - 1, 256):
+        row = first[low : low + 257]
+        place = np.repeat(np.arange(len(row) - 1), np.diff(row)) * BITS + (tokens[row[0] : row[-1]] & W.U64(BITS - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(len(row) - 1) * BITS) & 1).astype(np.uint8)
+        parts.append(np.packbits(odd, bitorder="little").view(np.int64))
+    words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(first)) * (BITS // 64), pa.int32()), pa.array(words))
+
+
+_SCAN = "kind int, id bigint, size bigint, key binary, bits array<bigint>, part int, counts binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size and key (kind 0); at the end this task's sketch in slices (kind 1)."""
+    """Per document its set's size, key and bitmap (kind 0); at the end this task's sketch in slices (kind 1)."""
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     held: list[np.ndarray] = []
+    names = ["kind", "id", "size", "key", "bits", "part", "counts"]
     for batch in batches:
         ids = batch.column(0)
         for low, high, tokens, first in _sets(batch):
@@ -81,19 +105,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
                 held = []
             n = high - low
-            yield pa.record_batch(
-                [pa.array(np.zeros(n, np.int32)), ids.slice(low, n).cast(pa.int64()), pa.array(np.diff(first)), pa.array(_keys(tokens, first)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["kind", "id", "size", "key", "part", "counts"],
-            )
+            columns = [pa.array(np.zeros(n, np.int32)), ids.slice(low, n).cast(pa.int64()), pa.array(np.diff(first)), _binary(_keys(tokens, first)), _bitmaps(tokens, first)]
+            yield pa.record_batch([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if held:
         sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
     if sketch.any():
         parts = [x.tobytes() for x in np.split(sketch, SKETCH_SLICES)]
         n = len(parts)
-        yield pa.record_batch(
-            [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(parts, pa.binary())],
-            names=["kind", "id", "size", "key", "part", "counts"],
-        )
+        columns = [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))]
+        yield pa.record_batch([*columns, pa.array(np.arange(n, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
 
 
 def _add(key: tuple, table: pa.Table) -> pa.Table:
@@ -114,18 +134,25 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 
 
 def _levels(counts: np.ndarray, sizes: np.ndarray, least: np.ndarray, first: np.ndarray, settings: Settings) -> np.ndarray:
-    """The cheapest level of each row. ``counts``: estimated list lengths in token order, rarest first."""
+    """The cheapest level of each row. ``counts``: estimated list lengths in token order, rarest first.
+
+    Levels rise by about a third each time, until posting alone costs more than the best level found.
+    """
     sums = np.concatenate([[0], np.cumsum(counts - 1)])
     best = np.full(len(sizes), np.inf)
     level = np.ones(len(sizes), dtype=np.int64)
-    for l in range(1, settings.levels + 1):
-        length = sizes - least + l
-        fits = (sizes > 0) & (length <= sizes) & (least >= l)
+    tried = 1
+    rows = np.flatnonzero(sizes > 0)
+    while len(rows):
+        length = sizes[rows] - least[rows] + tried
+        rows, length = rows[(least[rows] >= tried)], length[least[rows] >= tried]
         # A candidate must match one list besides the l - 1 longest; the lists rise, so those are the last.
-        reached = sums[first[:-1] + np.where(fits, length - l + 1, 0)] - sums[first[:-1]]
-        cost = np.where(fits, settings.post_cost * length + settings.verify_cost * reached / l, np.inf)
-        better = cost < best
-        best[better], level[better] = cost[better], l
+        reached = sums[first[rows] + length - tried + 1] - sums[first[rows]]
+        cost = settings.post_cost * length + settings.verify_cost * reached / tried
+        better = cost < best[rows]
+        best[rows[better]], level[rows[better]] = cost[better], tried
+        tried += max(1, tried // 3)
+        rows = rows[settings.post_cost * (sizes[rows] - least[rows] + tried) < best[rows]]
     return level
 
 
@@ -134,14 +161,14 @@ def _post(sketch: np.ndarray, settings: Settings):
     heavy = max(settings.heavy, 8 * float(sketch.mean(dtype=np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # keys this task has posted: equal sets of one task post once
+        seen: set[tuple[int, int]] = set()  # keys this task has posted: equal sets of one task post once
         for batch in batches:
             for _low, _high, tokens, first in _sets(batch):
-                keys = _keys(tokens, first)
+                keys = W.signed(_keys(tokens, first))
                 sizes = np.diff(first)
                 fresh = np.zeros(len(keys), dtype=bool)
                 for i in np.flatnonzero(sizes).tolist():
-                    if (k := int(keys[i])) not in seen:
+                    if (k := (int(keys[i, 0]), int(keys[i, 1]))) not in seen:
                         seen.add(k)
                         fresh[i] = True
                 owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -156,80 +183,85 @@ def _post(sketch: np.ndarray, settings: Settings):
                 if not len(tokens):
                     continue
                 key = keys[owner]
-                # A split list's part goes into the low bits, so that it is dealt out by the same column.
-                salt = np.where(counts > heavy, (key & (SALTS - 1)) + 1, 0)
+                salt = np.where(counts > heavy, (key[:, 0] & (SALTS - 1)) + 1, 0)
                 yield pa.record_batch(
-                    [pa.array(W.signed(tokens)), pa.array(key), pa.array((salt * 8 + level[owner]).astype(np.int16))],
-                    names=["token", "key", "meta"],
+                    [pa.array(W.signed(tokens)), pa.array(salt.astype(np.int16)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(level[owner].astype(np.int32))],
+                    names=["token", "salt", "key", "check", "level"],
                 )
 
     return run
 
 
-_LISTED = "kind int, token bigint, key bigint, level int, leader bigint, leader_level int"
+_LISTED = "kind int, token bigint, key binary, level int, leader binary, leader_level int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by (token, part, key): those of lists with two or more sets (kind 0), with the list's leader.
 
-    Split lists give all their postings, and each part's leader (kind 1). Only the row before is kept.
+    Split lists give all their postings, and each part's leader (kind 1). Only the last row is kept between batches.
     """
-    last = None  # token, salt, leader, leader's level, last key, whether the leader has been given out
+    last = None  # token and salt, leader's keys, leader's level, last keys, whether the leader has been given out
     for batch in batches:
-        token, key, meta = (np.asarray(batch.column(i)) for i in range(3))
-        if not len(token):
+        if not len(batch):
             continue
-        salt, level = meta // 8, (meta % 8).astype(np.int32)
+        token, salt, key, check, level = (np.asarray(batch.column(i)) for i in range(5))
+        both = np.stack([key, check], axis=1)
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        same_key = np.zeros(len(token), dtype=bool)
-        same_key[1:] = ~new[1:] & (key[1:] == key[:-1])
-        carried = last is not None and last[0] == token[0] and last[1] == salt[0]
+        same = np.zeros(len(token), dtype=bool)
+        same[1:] = ~new[1:] & (both[1:] == both[:-1]).all(axis=1)
+        carried = last is not None and last[0] == (token[0], salt[0])
         if carried:
             new[0] = False
-            same_key[0] = last[4] == key[0]
+            same[0] = (last[3] == both[0]).all()
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1  # -1: the group carried over
-        lead_key = np.where(group >= 0, key[starts[np.maximum(group, 0)]] if len(starts) else 0, last[2] if carried else 0)
-        lead_level = np.where(group >= 0, level[starts[np.maximum(group, 0)]] if len(starts) else 0, last[3] if carried else 0).astype(np.int32)
-        member = ~new & ~same_key
+        lead_key, lead_level = (both[starts], level[starts]) if len(starts) else (both[:1], level[:1])
+        lead_key, lead_level = lead_key[np.maximum(group, 0)], lead_level[np.maximum(group, 0)]
+        if carried:
+            lead_key[group < 0], lead_level[group < 0] = last[1], last[2]
+        member = ~new & ~same
         has = np.zeros(len(starts), dtype=bool)
         has[group[member & (group >= 0)]] = True
         leads = np.zeros(len(token), dtype=bool)
         leads[starts] = has | (salt[starts] > 0)
-        out = member | leads
-        part_leader = new & (salt > 0)
         cols = []
-        for mask, kind in ((out, 0), (part_leader, 1)):
-            cols.append((np.full(mask.sum(), kind, np.int32), token[mask], key[mask], level[mask], lead_key[mask], lead_level[mask]))
-        if carried and not last[5] and (member & (group < 0)).any():
-            cols.append(tuple(np.array([x], t) for x, t in zip((0, last[0], last[2], last[3], last[2], last[3]), (np.int32, np.int64, np.int64, np.int32, np.int64, np.int32))))
-            last = (*last[:5], True)
-        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*cols)], names=["kind", "token", "key", "level", "leader", "leader_level"])
-        end_group = group[-1]
-        given = bool(leads[starts[end_group]]) if end_group >= 0 else last[5]
-        last = (token[-1], salt[-1], lead_key[-1], lead_level[-1], key[-1], given)
+        for mask, kind in ((member | leads, 0), (new & (salt > 0), 1)):
+            cols.append((np.full(mask.sum(), kind, np.int32), token[mask], both[mask], level[mask], lead_key[mask], lead_level[mask]))
+        if carried and not last[4] and (member & (group < 0)).any():
+            cols.append((np.zeros(1, np.int32), token[:1], last[1][None], np.array([last[2]], np.int32), last[1][None], np.array([last[2]], np.int32)))
+            last = (*last[:4], True)
+        kind, token_, key_, level_, leader, leader_level = (np.concatenate(x) for x in zip(*cols))
+        yield pa.record_batch([pa.array(kind), pa.array(token_), _binary(key_), pa.array(level_), _binary(leader), pa.array(leader_level)], names=["kind", "token", "key", "level", "leader", "leader_level"])
+        given = bool(leads[starts[group[-1]]]) if group[-1] >= 0 else last[4]
+        last = ((token[-1], salt[-1]), lead_key[-1].copy(), lead_level[-1], both[-1].copy(), given)
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _low, _high, tokens, first in _sets(batch):
-            yield pa.record_batch([pa.array(_keys(tokens, first)), W.binaries(tokens, first)], names=["key", "tokens"])
+            yield pa.record_batch([_binary(_keys(tokens, first)), W.binaries(tokens, first)], names=["key", "tokens"])
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by hub and part: the hub's own set first (without a member), then the members' sets."""
+        at, hub = None, None
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            left, right = batch.column(2), batch.column(3)
-            for i in range(len(batch)):
-                a, b = (np.frombuffer(x[i].as_buffer(), dtype=W.U64) for x in (left, right))
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                both = np.sort(np.concatenate([a, b]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            hubs, parts, members, sets = batch.column("hub").to_pylist(), batch.column("part").to_pylist(), batch.column("member").to_pylist(), batch.column("tokens")
+            hits: list[int] = []
+            for i, member in enumerate(members):
+                mine = np.frombuffer(sets[i].as_buffer(), dtype=W.U64)
+                if member is None:
+                    # A copy, so that the batch can go.
+                    at, hub = (hubs[i], parts[i]), mine.copy()
+                elif (hubs[i], parts[i]) == at and 100 * min(len(mine), len(hub)) >= percent * max(len(mine), len(hub)):
+                    short, long = (mine, hub) if len(mine) <= len(hub) else (hub, mine)
+                    place = np.searchsorted(long, short)
+                    shared = int((long[np.minimum(place, len(long) - 1)] == short).sum()) if len(long) else 0
+                    if 100 * shared >= percent * (len(mine) + len(hub) - shared):
+                        hits.append(i)
+            yield pa.record_batch([batch.column("member").take(pa.array(hits, pa.int64())), batch.column("hub").take(pa.array(hits, pa.int64()))], names=["a", "b"])
 
     return run
 
@@ -244,17 +276,33 @@ def _least_shared(percent: int) -> F.Column:
     return F.greatest(F.least("one.level", "two.level").cast("bigint"), (overlap - F.greatest(*beyond)).cast("bigint"))
 
 
+def _may_reach(percent: int) -> str:
+    """Whether sets ``one`` and ``two`` can be similar enough, by their sizes and by the bits in which their bitmaps differ."""
+    apart = " + ".join(f"bit_count(one.bits[{i}] ^ two.bits[{i}])" for i in range(BITS // 64))
+    both = "(one.size + two.size)"
+    return f"100 * least(one.size, two.size) >= {percent} * greatest(one.size, two.size) and {100 + percent} * ({both} - ({apart})) >= {2 * percent} * {both}"
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets are similar enough, by exact set intersection."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps, "key").select("id"), "wanted")
+    """The pairs (a, b) of set keys whose sets are similar enough, by exact set intersection.
+
+    A task takes a hub's set (b) once and passes the sets of its members (a) by it; a hub of many members has several parts.
+    """
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = materialize(keys.join(reps, "key").select("id"), "wanted")
     maybe, _ = split_by_membership(docs, wanted, "id")
-    sets = maybe.mapInArrow(_emit_sets, "key bigint, tokens binary")
+    sets = maybe.mapInArrow(_emit_sets, "key binary, tokens binary")
     sets = materialize(sets.groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
     drop_tables(wanted)
-    member = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
-    both = member.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-    links = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify(settings.percent), "a bigint, b bigint"), "links")
-    drop_tables(sets)
+    hubs = materialize(pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "hubs")
+    heads = hubs.join(sets.withColumnRenamed("key", "hub"), "hub")
+    heads = heads.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("member"), "tokens")
+    members = pairs.select(F.col("a").alias("member"), F.col("b").alias("hub")).join(hubs, "hub")
+    members = members.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    members = members.join(sets.withColumnRenamed("key", "member"), "member").select("hub", "part", "member", "tokens")
+    dealt = heads.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("member"))
+    links = materialize(dealt.mapInArrow(_verify(settings.percent), "a binary, b binary"), "links")
+    drop_tables(sets, hubs)
     return links
 
 
@@ -270,10 +318,9 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "sets-scan")
     rows = scanned.where("kind = 0").select("id", "size", "key")
     reps = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")).where("id is not null")
-    posted = docs.where("id is not null").mapInArrow(_post(_sketch(scanned), settings), "token bigint, key bigint, meta smallint")
-    part = F.xxhash64("token", F.floor(F.col("meta") / 8))
-    lists = posted.repartition(part).sortWithinPartitions("token", F.floor(F.col("meta") / 8), "key")
-    listed = materialize(lists.select("token", "key", "meta").mapInArrow(_lists, _LISTED), "lists")
+    posted = docs.where("id is not null").mapInArrow(_post(_sketch(scanned), settings), "token bigint, salt smallint, key bigint, check bigint, level int")
+    lists = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key", "check")
+    listed = materialize(lists.mapInArrow(_lists, _LISTED), "lists")
 
     postings = listed.where("kind = 0")
     stars = postings.where("key <> leader").select("key", "leader", F.least("level", "leader_level").alias("need"))
@@ -288,13 +335,15 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
 
     # What lies in one component by now needs no more comparison; lists that reach several do.
     labelled = postings.select("token", "key", "level").join(parents.withColumnRenamed("node", "key"), "key", "left")
-    labelled = labelled.join(reps.select("key", "size"), "key")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = materialize(labelled.join(mixed, "token"), "mixed")
-    one, two = rest.alias("one"), rest.alias("two")
-    sizes_fit = f"100 * least(one.size, two.size) >= {settings.percent} * greatest(one.size, two.size)"
-    cross = one.join(two, F.col("one.token") == F.col("two.token")).where(f"one.key < two.key and one.component <> two.component and {sizes_fit}")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = mixed.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    facts = scanned.where("kind = 0 and size > 0").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    rest = materialize(labelled.join(mixed, "token").join(facts, "key"), "mixed")
+    # One side of a long list is dealt out, the other stands with each part.
+    one = rest.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
+    two = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
+    cross = one.join(two, F.expr(f"one.token = two.token and one.part = two.part and one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)}"))
     cross = cross.groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b")).agg(F.count("*").alias("n"), F.max(_least_shared(settings.percent)).alias("need"))
     cross = cross.where("n >= need").select("a", "b")
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")

@@ -29,7 +29,6 @@ for _c in range(PLAIN):
     _kind = unicodedata.category(chr(_c))[0]
     _CLASS[_c] = LETTER if _kind == "L" else NUMBER if _kind == "N" else OTHER
 _CLASS[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = SPACE
-_CODES = W.mix(np.arange(1, PLAIN + 1, dtype=W.U64) * W.U64(0x9E3779B97F4A7C15))
 
 
 def piece_starts(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,8 +68,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Each slot holds one piece, the last learnt of those whose hashes end alike."""
-        self.hashes = np.zeros(SLOTS, dtype=W.U64)
+        """Each slot holds one piece, the last learnt of those whose hashes end alike. Two hashes of 64 bits tell pieces apart."""
+        self.hashes = np.zeros((2, SLOTS), dtype=W.U64)
         self.begin = np.zeros(SLOTS, dtype=np.int32)
         self.count = np.zeros(SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint16)
@@ -103,18 +102,22 @@ class Encoder:
         self.ids[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.uint16, count=total)
         begin = (np.cumsum(count) - count + self.used).astype(np.int32)
         self.used += total
-        slot = (hashes & W.U64(SLOTS - 1)).astype(np.int64)
-        self.hashes[slot], self.begin[slot], self.count[slot] = hashes, begin, count
+        slot = (hashes[0] & W.U64(SLOTS - 1)).astype(np.int64)
+        self.hashes[:, slot], self.begin[slot], self.count[slot] = hashes, begin, count
         return begin, count
 
     def _find(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids are, and how many."""
-        slot = (hashes & W.U64(SLOTS - 1)).astype(np.int64)
-        missing = np.flatnonzero(self.hashes[slot] != hashes)
+        slot = (hashes[0] & W.U64(SLOTS - 1)).astype(np.int64)
+        missing = np.flatnonzero((self.hashes[:, slot] != hashes).any(axis=0))
         begin, count = self.begin[slot], self.count[slot]
         if len(missing):
-            unique, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            pick = missing[first]
+            order = np.lexsort(hashes[:, missing])
+            sorted_ = hashes[:, missing[order]]
+            new = np.concatenate([[True], (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)])
+            back = np.empty(len(missing), dtype=np.int64)
+            back[order] = np.cumsum(new) - 1
+            pick, unique = missing[order[new]], sorted_[:, new]
             cut = [text[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
             room = self.used
             new_begin, new_count = self._learn(unique, cut)
@@ -138,7 +141,8 @@ class Encoder:
         ends = np.append(starts[1:], len(chars))
         plain = ~odd[owner]
         starts, ends, owner = starts[plain], ends[plain], owner[plain]
-        hashes = W.span_hashes(chars, starts, ends, _CODES)
+        short = chars.astype(np.uint16)
+        hashes = np.stack([W.span_hashes(short, starts, ends, seed=seed) for seed in (0, 1)])
         begin, count = self._find(hashes, text, starts, ends)
         total = int(count.sum())
         shift = begin - (np.cumsum(count) - count)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -13,7 +14,6 @@ WORDS_PER_SHINGLE = 5
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -26,16 +26,15 @@ def mix(values: np.ndarray) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
-def byte_codes(fold: bool = True) -> np.ndarray:
-    """A fixed random 64-bit code per byte; with ``fold`` A-Z share the codes of a-z."""
-    codes = mix(np.arange(1, 257, dtype=U64) * U64(_MULTIPLIER))
-    if fold:
-        codes[65:91] = codes[97:123]
-    return codes
+def byte_codes() -> np.ndarray:
+    """A fixed random 64-bit code per byte."""
+    return mix(np.arange(1, 257, dtype=U64) * U64(_MULTIPLIER))
 
 
-FOLDED = byte_codes()
-EXACT = byte_codes(fold=False)
+EXACT = byte_codes()
+#: Bytes with A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 #: Byte classes: what separates words (space and 0x09 to 0x0D).
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,18 +43,6 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    out = np.empty(count, dtype=U64)
-    out[0] = 1
-    done = 1
-    with np.errstate(over="ignore"):
-        while done < count:
-            step = min(done, count - done)
-            out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
-            done += step
-    return out
-
-
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker, so later tasks find what earlier ones built.
 
@@ -64,16 +51,6 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_tunegrain_worker_store", {})  # type: ignore[arg-type]
 
 
-def _power_table(base: int, count: int) -> np.ndarray:
-    """Powers for one slice; only the usual size is kept."""
-    if count > 4 * SLICE_BYTES or count < 1 << 14:
-        return powers(base, count)
-    have = worker_store().get(("powers", base))
-    if have is None or len(have) < count:
-        have = worker_store()["powers", base] = powers(base, max(count, SLICE_BYTES + 1))
-    return have[:count]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; a null row is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -115,16 +92,33 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, equal for equal contents wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, dtype=U64)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(codes[data] * _power_table(_MULTIPLIER, len(data)), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-    return mix(raw)
+#: Spans of more bytes are hashed by a cryptographic function, one by one.
+LONG_SPAN = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span, equal for equal contents wherever they stand. ``fold`` replaces each element first.
+
+    Eight bytes at a time are mixed into the hash so far, all spans at once. No sum of powers stands behind it,
+    under which regular words of equal letters could meet.
+    """
+    plain = np.ascontiguousarray(data if fold is None else fold[data])
+    sizes = ends - starts
+    held = mix(sizes.astype(U64) + U64((1 + seed) * _MULTIPLIER % (1 << 64)))
+    size = plain.itemsize
+    step = 8 // size
+    loads = np.ndarray(len(plain) + 1, dtype="<u8", buffer=np.concatenate([plain, np.zeros(step, plain.dtype)]), strides=(size,))
+    rows, done = np.flatnonzero(sizes > 0), 0
+    while len(rows) and done * size < LONG_SPAN:
+        bits = np.minimum(sizes[rows] - done, step) * (8 * size)
+        chunk = loads[starts[rows] + done] & (~U64(0) >> (64 - bits).astype(U64))
+        held[rows] = mix(held[rows] ^ chunk)
+        done += step
+        rows = rows[sizes[rows] > done]
+    for i in rows.tolist():
+        digest = hashlib.blake2b(plain[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        held[i] = int.from_bytes(digest.digest(), "little")
+    return held
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
