@@ -64,7 +64,7 @@ def test_jsonl_with_odd_column_names(spark, tmp_path):
         ({"data": [{"a": 1}]}, [{"a": 1}]),
         ({"data": "no list", "examples": [{"a": 1}]}, [{"a": 1}]),
         ({"items": [{"a": 1}], "rows": [{"a": 2}]}, [{"a": 2}]),
-        ({"records": [7, {"a": 1}]}, [{"a": None, "value": "7"}, {"a": 1, "value": None}]),
+        ({"records": [7, {"a": 1}]}, [{"value": "7", "a": None}, {"value": None, "a": 1}]),
         ({"a": 1}, [{"a": 1}]),
     ],
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ class FileSet:
     fmt: str
     recursive: bool
     any_name: bool = False
+    #: URIs of files in the caller's order; other files follow by name.
+    order: tuple[str, ...] = ()
 
     def options(self) -> dict[str, str]:
         if not self.recursive:
@@ -31,6 +33,25 @@ class FileSet:
         """``file`` (its URI), ``path, name, length, modified``; contents are not read."""
         return list_files(spark, self.paths, **self.options())
 
+    def places(self, spark: SparkSession) -> DataFrame:
+        """``_file`` (its number), ``rank``, ``file``: where each file stands among all."""
+        found = self.listing(spark).select(file_id(F.col("file")).alias("_file"), plain_uri(F.col("file")).alias("file"))
+        if not self.order:
+            return found.select("_file", F.lit(0).alias("rank"), "file")
+        # As long as the caller's own list.
+        ranks = spark.createDataFrame([(uri, i) for i, uri in enumerate(dict.fromkeys(self.order))], "file string, rank int")
+        return found.join(ranks, "file", "left").select("_file", F.coalesce("rank", F.lit(len(self.order))).alias("rank"), "file")
+
+
+def plain_uri(path: Column) -> Column:
+    """Local files are reported with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def file_id(path: Column) -> Column:
+    """A number that stands for a file in rows; ``loading`` makes sure that no two files of a load share one."""
+    return F.xxhash64(plain_uri(path))
+
 
 def list_files(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
     found = spark.read.format("binaryFile").options(**options).load(list(paths))

@@ -1,17 +1,14 @@
 """Raw files of many formats to one DataFrame.
 
-Each reader returns rows with their place (``_file``, ``_block`` = offset of the scanned
-split, ``_pos`` = order within it) and notes about files it had to skip. A file with one
-unreadable record is skipped whole. ``load_paths`` unites the formats and numbers the rows.
+Each reader returns rows with their place (``_file`` = number of the file, ``_block`` = offset of the
+scanned split, ``_pos`` = order within it), notes about files it had to skip, and where each column was first
+seen. A file with one unreadable record is skipped whole. ``load_paths`` unites the formats and numbers the rows.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,9 +20,10 @@ from pyspark.sql.window import Window, WindowSpec
 from tunegrain.functions import jsontext
 from tunegrain.functions.text import let, named, strip, strip_computed
 from tunegrain.session import materialize
-from tunegrain.sources import files, office
-from tunegrain.sources.files import FileSet
-from tunegrain.sources.typed import HEAD_ROWS, POSITION, column_types, in_seen_order, schema_ddl, spread, to_columns
+from tunegrain.sources import blocks, csvblocks, files, jsonblocks, office, textblocks
+from tunegrain.sources.csvblocks import sniff_separator as sniff_separator
+from tunegrain.sources.files import FileSet, file_id
+from tunegrain.sources.typed import POSITION, Spot, by_spot, column_types, first_seen, key_lists, record_keys, schema_ddl, spread, to_columns
 
 NOTES = "file string, reason string"
 
@@ -40,10 +38,8 @@ NA_TOKENS = (
 
 RAGGED = "differ in length from the header; extra fields dropped"
 
-#: Bytes of a header read at first; doubled until the header record is complete.
-HEAD_BYTES = 64 * 1024
-HEADER_READERS = 64
-MOST_BROADCAST_SPLITS = 500_000
+#: Cells of a line that the parser makes room for, however few the header has.
+MOST_CELLS = 1 << 18
 ROW_ID = "row_id"
 # A remark about a row that was read all the same; becomes a note about its file.
 ROW_NOTE = "_note"
@@ -79,7 +75,7 @@ class RawTable:
         }
 
 
-Loaded = tuple[DataFrame | None, DataFrame]
+Loaded = tuple[DataFrame | None, DataFrame, dict[str, Spot]]
 
 
 def _notes(spark: SparkSession, rows: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -92,53 +88,51 @@ def _scan(spark: SparkSession, files_: FileSet, fmt: str, **options: str) -> Dat
 
 def _whole_files_only(rows: DataFrame, defects: DataFrame) -> DataFrame:
     """Rows of files without a defect; ``defects`` has one row per bad file."""
-    return rows.join(defects.select(F.col("file").alias("_file")), "_file", "left_anti")
+    return rows.join(defects.select(file_id(F.col("file")).alias("_file")), "_file", "left_anti")
 
 
 def _lines(scan: DataFrame) -> DataFrame:
     placed = scan.select(
-        F.col("_metadata.file_path").alias("_file"),
+        file_id(F.col("_metadata.file_path")).alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
         strip(F.col("value")).alias("line"),
     )
     return placed.where(F.col("line") != "")
 
 
 def read_jsonl(spark: SparkSession, files_: FileSet) -> Loaded:
-    """Two passes over the lines: one row of findings per file, then the typed rows."""
+    """Two passes over the lines: findings per file and list of keys, then the typed rows."""
     lines = _lines(_scan(spark, files_, "text"))
+    places = files_.places(spark)
     parsed = lines.withColumn("v", jsontext.parse_strict(F.col("line")))
     objects = jsontext.is_object(F.col("v"))
-    # The aggregate combines on the map side: one small row per file and task is shuffled.
-    findings = materialize(
-        parsed.groupBy(F.col("_file").alias("file")).agg(
-            F.count_if(F.col("v").isNull()).alias("bad"),
-            F.count_if(F.col("v").isNotNull() & ~objects).alias("plain"),
-            F.schema_of_variant_agg(F.when(objects, F.col("v"))).alias("shape"),
-        ),
-        "jsonl",
+    parsed = parsed.withColumn("keys", F.when(F.col("v").isNotNull(), record_keys(F.col("v"), F.col("line"))))
+    # The aggregate combines on the map side: one small row per file, list of keys and task is shuffled.
+    findings = key_lists(
+        parsed,
+        F.count_if(F.col("v").isNull()).alias("bad"),
+        F.count_if(F.col("v").isNotNull() & ~objects).alias("plain"),
+        F.schema_of_variant_agg(F.when(objects, F.col("v"))).alias("shape"),
     )
-    defects = findings.where("bad > 0").select(
-        "file", F.format_string("%d line(s) are not valid JSON", "bad").alias("reason")
-    )
-    good = findings.where("bad = 0")
-    first_file, n_plain = good.agg(F.min("file"), F.coalesce(F.sum("plain"), F.lit(0))).first()
-    if first_file is None:
-        return None, defects
+    findings = materialize(findings, "jsonl")
+    bad = findings.groupBy("_file").agg(F.sum("bad").alias("bad")).where("bad > 0")
+    defects = bad.join(places, "_file").select("file", F.format_string("%d line(s) are not valid JSON", "bad").alias("reason"))
+    good = _whole_files_only(findings, defects)
+    n_good, n_plain = good.agg(F.count("*"), F.coalesce(F.sum("plain"), F.lit(0))).first()
+    if not n_good:
+        return None, defects, {}
     types = column_types(r.shape for r in good.select("shape").distinct().toLocalIterator())
-    names: list[str] = []
-    if types:
-        first = _lines(_scan(spark, files_, "text").where(F.col("_metadata.file_path") == first_file))
-        head = first.withColumn("_pos", F.monotonically_increasing_id()).orderBy("_block", "_pos").limit(HEAD_ROWS)
-        names = in_seen_order(head.withColumn("keys", F.json_object_keys("line")), list(types))
-    rows = _whole_files_only(lines, defects).withColumn("_pos", F.monotonically_increasing_id())
+    seen = first_seen(good, places)
+    names = by_spot(types, seen)
+    rows = _whole_files_only(lines, defects)
     if names:
         rows = rows.withColumn("_typed", F.from_json(jsontext.with_quoted_numbers(F.col("line")), schema_ddl(types, names)))
     plain = None
     if n_plain:
         v = jsontext.parse_strict(F.col("line"))
         plain = F.when(~F.startswith("line", F.lit("{")), F.try_variant_get(v, "$", "string"))
-    return spread(rows, names, plain), defects
+    return spread(rows, names, plain), defects, seen
 
 
 def explode_document(rows: DataFrame, text: str) -> DataFrame:
@@ -168,100 +162,72 @@ def explode_document(rows: DataFrame, text: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, files_: FileSet) -> Loaded:
-    docs = _scan(spark, files_, "text", wholetext="true").select(
-        F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("bigint").alias("_block"), "value"
-    )
-    exploded = materialize(explode_document(docs, "value").drop("value"), "json")
-    defects = exploded.where(F.col("problem").isNotNull()).select(
-        F.col("_file").alias("file"), F.col("problem").alias("reason")
-    )
-    return to_columns(exploded.where(F.col("v").isNotNull())), defects
-
-
-def _first_record(text: str) -> str | None:
-    """The first record that isn't blank, quoted line breaks and all; None if more of the file is needed."""
-    lines: list[str] = []
-    for line in io.StringIO(text, newline=""):
-        if not lines and not line.strip():
-            continue
-        lines.append(line)
-        whole = "".join(lines)
-        # Doubled quotes count twice, so a record is complete when its quotes are even.
-        if whole.count('"') % 2 == 0 and whole.endswith("\n"):
-            return whole
-    return None
-
-
-def _header(spark: SparkSession, path: str) -> str:
-    """Header record of a file, of any length and over any number of lines; read no further than needed."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
-    head = b""
-    try:
-        while chunk := bytes(stream.readNBytes(max(HEAD_BYTES, len(head)))):
-            head += chunk
-            if (found := _first_record(head.decode("utf-8-sig", errors="ignore"))) is not None:
-                return found
-    finally:
-        stream.close()
-    text = head.decode("utf-8-sig", errors="replace").lstrip("\r\n")
-    return text if text.strip() else ""
-
-
-def sniff_separator(header: str) -> str:
-    """Delimiter of a CSV header; a comma when none is evident."""
-    try:
-        found = csv.Sniffer().sniff(header).delimiter
-    except csv.Error:
-        return ","
-    return "," if found.isalnum() or found in "_\"'\r\n" else found
+    """Documents of any length: the elements of their lists are cut out where they stand, and parsed one by one.
 
-
-def _header_columns(header: str, sep: str) -> list[str]:
-    csv.field_size_limit(max(csv.field_size_limit(), len(header) + 1))
-    cells = next(csv.reader(io.StringIO(header.rstrip("\r\n"), newline=""), delimiter=sep), [])
-    return list(office._header_names(dict(enumerate(c if c != "" else None for c in cells))).values())
+    What is parsed as one value is a single record, or what stands around the records of a file.
+    """
+    cut = jsonblocks.cut(spark, files_, ROW_KEYS)
+    places = files_.places(spark)
+    shells = blocks.around(cut).select(F.col("fid").alias("_file"), F.col("text").cast("string").alias("text"))
+    shells = shells.withColumn("v", jsontext.parse_strict(F.col("text")))
+    # Of several lists in a document the one under the first key counts; of a key that is repeated, the last.
+    marks = cut.where(F.col("kind") == blocks.MARK).groupBy(F.col("fid").alias("_file"), "tag").agg(F.max(F.struct("home", "spot")).alias("list"))
+    lists = materialize(cut.where(F.col("kind") == blocks.MARK).select(F.col("fid").alias("_file"), "home", "spot"), "json-lists")
+    chosen = materialize(marks.groupBy("_file").agg(F.min(F.struct("tag", "list")).alias("first")).select("_file", "first.list.*"), "json-chosen")
+    others = lists.join(chosen, ["_file", "home", "spot"], "left_anti")
+    elements = blocks.placed(blocks.whole_records(cut)).join(others, ["_file", "home", "spot"], "left_anti")
+    whole = shells.join(chosen, "_file", "left_anti").select("_file", F.lit(0).cast("bigint").alias("_block"), F.lit(0).cast("bigint").alias("_pos"), "text")
+    texts = elements.select(*POSITION, F.col("text").cast("string").alias("text"))
+    parsed = texts.withColumn("v", jsontext.parse_strict(F.col("text")))
+    top = jsontext.kind(F.col("v"))
+    problem = (
+        F.when(F.col("v").isNull(), F.lit("invalid JSON"))
+        .when(~top.isin("OBJECT", "ARRAY"), F.concat(F.lit("unsupported top-level JSON type "), F.lower(top)))
+    )
+    broken = parsed.where("v is null").select("_file").distinct().withColumn("problem", F.lit("invalid JSON"))
+    found = shells.select("_file", problem.alias("problem")).where("problem is not null").unionByName(broken)
+    # A file without any byte has nothing around its records.
+    found = found.unionByName(places.select("_file").join(shells.select("_file"), "_file", "left_anti").withColumn("problem", F.lit("invalid JSON")))
+    defects = materialize(found.groupBy("_file").agg(F.min("problem").alias("reason")).join(places, "_file").select("file", "reason"), "json-defects")
+    records = _whole_files_only(texts.unionByName(whole), defects).withColumn("v", jsontext.parse_strict(F.col("text")))
+    frame, seen = to_columns(records.withColumn("keys", record_keys(F.col("v"), F.col("text"))), places)
+    return frame, defects, seen
 
 
 def _read_delimited(spark: SparkSession, files_: FileSet, sep: str | None) -> Loaded:
-    """Text columns; files are grouped by header so that each distinct layout is one scan.
-
-    Only the header line of each file passes through the driver.
-    """
-    found = [(r.file, r.path) for r in files_.listing(spark).select("file", "path").toLocalIterator()]
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda names: _header(spark, names[1]), found))
-    layouts: dict[tuple[str, str], list[str]] = {}
-    empty: list[tuple[str, str]] = []
-    for (uri, path), header in zip(found, headers):
-        if header:
-            layouts.setdefault((header, sep or sniff_separator(header)), []).append(path)
-        else:
-            empty.append((uri, "no columns to parse"))
-    frames = []
-    for (header, delimiter), paths in sorted(layouts.items()):
-        names = _header_columns(header, delimiter)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_ragged"]])
-        # One layout for all files is the usual case; the scan then lists the folder itself.
-        source = files_ if len(paths) == len(found) else FileSet(paths, files_.fmt, recursive=False)
-        rows = (
-            spark.read.schema(schema)
-            .options(**source.options(), header="true", sep=delimiter, multiLine="true", quote='"', escape='"')
-            .options(maxColumns=str(len(names) + 1), maxCharsPerColumn="-1")
-            .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_ragged", nullValue="", emptyValue="")
-            .csv(list(source.paths))
-        )
-        cells = [F.when(~named(n).isin(*NA_TOKENS), named(n)).alias(n) for n in names]
-        frames.append(
-            rows.select(
-                F.col("_metadata.file_path").alias("_file"),
-                F.lit(0).cast("bigint").alias("_block"),
-                F.monotonically_increasing_id().alias("_pos"),
-                F.when(F.col("_ragged").isNotNull(), F.lit(RAGGED)).alias(ROW_NOTE),
-                *cells,
-            )
-        )
-    return (_unite(frames) if frames else None), _notes(spark, empty)
+    """Text columns; files are grouped by header so that each distinct layout is parsed as one."""
+    cut = csvblocks.cut(spark, files_, sep)
+    places = files_.places(spark)
+    heads = cut.where(F.col("kind") == blocks.MARK).select(F.col("fid").alias("_file"), "tag", F.rtrim(F.col("text").cast("string"), F.lit("\r")).alias("header"))
+    heads = materialize(heads, "headers")
+    empty = places.join(heads, "_file", "left_anti").select("file", F.lit("no columns to parse").alias("reason"))
+    first = F.min(F.struct("rank", "file")).alias("first")
+    # One row for each distinct header.
+    layouts = heads.join(places, "_file").groupBy("header", "tag").agg(first).orderBy("first").collect()
+    records = blocks.placed(blocks.whole_records(cut))
+    if len(layouts) > 1:
+        records = records.join(heads.withColumnRenamed("tag", "code"), "_file")
+    frames, seen = [], {}
+    for layout in layouts:
+        delimiter = chr(layout.tag)
+        cells_of = csvblocks.header_cells(layout.header, delimiter)
+        names = list(office._header_names(dict(enumerate(c if c != "" else None for c in cells_of))).values())
+        for at, name in enumerate(names):
+            spot = (*layout.first, 0, 0, at)
+            seen[name] = min(seen.get(name, spot), spot)
+        options = dict(sep=delimiter, quote='"', escape='"', maxColumns=str(max(MOST_CELLS, len(names) + 1)), maxCharsPerColumn="-1", mode="PERMISSIVE", columnNameOfCorruptRecord="_ragged", nullValue="", emptyValue="")
+        mine = records.where((F.col("header") == layout.header) & (F.col("code") == layout.tag)) if len(layouts) > 1 else records
+        line = F.rtrim(F.col("text").cast("string"), F.lit("\r"))
+        rows = mine.select(*POSITION, F.from_csv(line, _ddl(names), options).alias("_cells"))
+        cell = lambda n: F.col("_cells").getField(n)
+        cells = [F.when(~cell(n).isin(*NA_TOKENS), cell(n)).alias(n) for n in names]
+        note = F.when(cell("_ragged").isNotNull(), F.lit(RAGGED)).alias(ROW_NOTE)
+        frames.append(rows.select(*POSITION, note, *cells))
+    return (_unite(frames) if frames else None), empty, seen
+
+
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_ragged"])
 
 
 def read_csv(spark: SparkSession, files_: FileSet) -> Loaded:
@@ -272,26 +238,47 @@ def read_tsv(spark: SparkSession, files_: FileSet) -> Loaded:
     return _read_delimited(spark, files_, "\t")
 
 
+def _same_footers(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], DataFrame | str]]:
+    """Paths grouped so that each group's schemas merge; a group whose one file can't be read has the reason.
+
+    Spark reads and merges the footers of a group in a job of its own. Only a group that fails is
+    halved, so a few odd files among many cost a few jobs.
+    """
+    try:
+        return [(paths, spark.read.option("mergeSchema", "true").parquet(*paths))]
+    except Exception as exc:
+        if len(paths) == 1:
+            return [(paths, f"failed to parse ({str(exc).splitlines()[0]})")]
+    half = len(paths) // 2
+    return _same_footers(spark, paths[:half]) + _same_footers(spark, paths[half:])
+
+
 def read_parquet(spark: SparkSession, files_: FileSet) -> Loaded:
     place = (
-        F.col("_metadata.file_path").alias("_file"),
+        file_id(F.col("_metadata.file_path")).alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("_metadata.row_index").alias("_pos"),
     )
+    seen: dict[str, Spot] = {}
+    ordered = files_.places(spark).orderBy("rank", "file")
     try:
-        merged = _scan(spark, files_, "parquet", mergeSchema="true")
-        return merged.select(*place, "*"), _notes(spark)
-    except Exception:
-        # Some footer is unreadable or types clash: look at each file's own schema.
-        groups: dict[str, list[str]] = {}
+        frames = [_scan(spark, files_, "parquet", mergeSchema="true")]
+        firsts = [ordered.first()]
         bad = []
-        for row in files_.listing(spark).select("file", "path").toLocalIterator():
-            try:
-                groups.setdefault(spark.read.parquet(row.path).schema.json(), []).append(row.path)
-            except Exception as exc:
-                bad.append((row.file, f"failed to parse ({str(exc).splitlines()[0]})"))
-        frames = [spark.read.parquet(*paths).select(*place, "*") for paths in groups.values()]
-        return (_unite(frames) if frames else None), _notes(spark, bad)
+    except Exception:
+        # Some footer is unreadable or types clash.
+        places = ordered.collect()
+        at = {r["file"]: r for r in places}
+        groups = _same_footers(spark, [r["file"] for r in places])
+        bad = [(paths[0], found) for paths, found in groups if isinstance(found, str)]
+        frames = [found for _, found in groups if not isinstance(found, str)]
+        firsts = [at[paths[0]] for paths, found in groups if not isinstance(found, str)]
+    for frame, first in zip(frames, firsts):
+        for i, name in enumerate(frame.columns):
+            spot = (first["rank"], first["file"], 0, 0, i)
+            seen[name] = min(seen.get(name, spot), spot)
+    frames = [frame.select(*place, "*") for frame in frames]
+    return (_unite(frames) if frames else None), _notes(spark, bad), seen
 
 
 def split_paragraphs(text: Column, min_chars: int = 1) -> Column:
@@ -308,14 +295,14 @@ def split_paragraphs(text: Column, min_chars: int = 1) -> Column:
 
 
 def read_text(spark: SparkSession, files_: FileSet) -> Loaded:
-    texts = _scan(spark, files_, "text", wholetext="true")
-    chunks = texts.select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.lit(0).cast("bigint").alias("_block"),
-        F.posexplode(split_paragraphs(F.col("value"))).alias("_pos", "text"),
-        F.col("_metadata.file_name").alias("source"),
-    )
-    return chunks.withColumn("_pos", F.col("_pos").cast("bigint")), _notes(spark)
+    """The paragraphs of text files of any length."""
+    cut = textblocks.cut(spark, files_)
+    places = materialize(files_.places(spark), "text-places")
+    name = F.element_at(F.split("file", "/"), -1).alias("source")
+    chunks = blocks.placed(blocks.whole_records(cut)).withColumn("text", strip(F.make_valid_utf8(F.col("text").cast("string")))).where("text <> ''")
+    chunks = chunks.join(places.select("_file", name), "_file").select(*POSITION, "text", "source")
+    first = places.orderBy("rank", "file").first()
+    return chunks, _notes(spark), {n: (first["rank"], first["file"], 0, 0, i) for i, n in enumerate(("text", "source"))} if first else {}
 
 
 def _read_office(spark: SparkSession, files_: FileSet, named: bool) -> Loaded:
@@ -324,17 +311,21 @@ def _read_office(spark: SparkSession, files_: FileSet, named: bool) -> Loaded:
     defects = found.where(F.col("problem").isNotNull()).select(
         F.col("_file").alias("file"), F.col("problem").alias("reason")
     )
-    records = _whole_files_only(found, defects).select(
-        "_file",
+    places = files_.places(spark)
+    records = found.where(F.col("problem").isNull()).select(
+        file_id(F.col("_file")).alias("_file"),
         F.lit(0).cast("bigint").alias("_block"),
-        "_pos",
+        F.col("_pos").cast("bigint").alias("_pos"),
         F.try_parse_json("record").alias("v"),
         F.json_object_keys("record").alias("keys"),
     )
-    rows = to_columns(records)
+    rows, seen = to_columns(_whole_files_only(records, defects), places)
     if named and len(rows.columns) > len(POSITION):
-        rows = rows.withColumn("source", F.element_at(F.split("_file", "/"), -1))
-    return rows, defects
+        name = places.select("_file", F.element_at(F.split("file", "/"), -1).alias("source"))
+        rows = rows.join(name, "_file").select(*rows.columns, "source")
+        last = max(seen.values())
+        seen["source"] = (*last[:4], last[4] + 1)
+    return rows, defects, seen
 
 
 def read_documents(spark: SparkSession, files_: FileSet) -> Loaded:
@@ -382,25 +373,17 @@ def _unite(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(aligned, frames))
 
 
-def _starts(placed: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def _starts(placed: DataFrame, places: DataFrame) -> DataFrame:
     """``_file, _block, _low, _start``: the first row number of every scanned split.
 
     A running sum in two levels: the splits are cut into ranges, the ranges are summed up,
-    and each range runs on from its own start. Only range totals meet in one task. Files
-    named in ``order`` come first, in that order; it is as long as the caller's own list.
+    and each range runs on from its own start. Only range totals meet in one task.
     """
     extents = placed.groupBy("_file", "_block").agg(
         F.min("_pos").alias("_low"), (F.max("_pos") - F.min("_pos") + 1).alias("_extent")
     )
-    if order:
-        ranks = placed.sparkSession.createDataFrame(list({f: i for i, f in reversed(list(enumerate(order)))}.items()), "_uri string, _rank int")
-        # Local files are reported with one slash or three.
-        extents = extents.withColumn("_uri", F.regexp_replace("_file", "^file:/+", "file:///"))
-        extents = extents.join(ranks, "_uri", "left").withColumn("_rank", F.coalesce("_rank", F.lit(len(order)))).drop("_uri")
-    else:
-        extents = extents.withColumn("_rank", F.lit(0))
-    place = ["_rank", "_file", "_block"]
-    ranged = extents.repartitionByRange(*place).withColumn("_range", F.spark_partition_id())
+    place = ["rank", "file", "_block"]
+    ranged = extents.join(places, "_file").repartitionByRange(*place).withColumn("_range", F.spark_partition_id())
     # Stored, so that the number of a split's range is fixed from here on.
     splits = materialize(ranged, "splits")
 
@@ -415,26 +398,28 @@ def _starts(placed: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def number_rows(placed: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Replace the position columns by ``row_id``: ascending by file (in ``order``, then by name), then place in the file.
+def number_rows(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """Replace the position columns by ``row_id``: ascending by file (by rank, then by name), then place in the file.
 
-    ``placed`` must be stored, since ``_pos`` may only be read once. Rows are never sorted:
-    each adds its place in its split to the split's first number.
+    ``placed`` must be stored, since ``_pos`` may only be read once. Rows are never sorted: each adds its place in its
+    split to the split's first number. How the short table of splits is joined is left to Spark.
     """
-    starts = materialize(_starts(placed, order), "starts")
-    if starts.count() <= MOST_BROADCAST_SPLITS:
-        # At most this many short rows: small enough to send to every executor.
-        starts = F.broadcast(starts)
+    starts = materialize(_starts(placed, places), "starts")
     numbered = placed.join(starts, ["_file", "_block"]).withColumn(
         ROW_ID, F.col("_start") + F.col("_pos") - F.col("_low")
     )
     return numbered.select(ROW_ID, *[named(c) for c in placed.columns if c not in (*POSITION, ROW_NOTE)])
 
 
-def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]], order: Sequence[str] = ()) -> RawTable:
+def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, str]]) -> RawTable:
+    places = reduce(DataFrame.unionByName, [s.places(spark) for s in sets]) if sets else None
+    if places is not None:
+        places = materialize(places.distinct(), "places")
+        if places.select("_file").distinct().count() < places.count():
+            raise LoadError("two of the files have the same number; load them in two parts")
     loaded = [READERS[s.fmt](spark, s) for s in sets]
-    frames = [frame for frame, _ in loaded if frame is not None and len(frame.columns) > len(POSITION)]
-    all_notes = reduce(DataFrame.unionByName, [n for _, n in loaded], _notes(spark, notes))
+    frames = [frame for frame, _, _ in loaded if frame is not None and len(frame.columns) > len(POSITION)]
+    all_notes = reduce(DataFrame.unionByName, [n for _, n, _ in loaded], _notes(spark, notes))
     stored = materialize(_unite(frames), "raw") if frames else None
     listings = reduce(DataFrame.unionByName, [s.listing(spark) for s in sets]) if sets else None
     if stored is None or stored.isEmpty():
@@ -442,14 +427,22 @@ def _load(spark: SparkSession, sets: Sequence[FileSet], notes: list[tuple[str, s
         reasons = " ".join(f"{r.file}: {r.reason}." for r in shown)
         more = all_notes.count() - len(shown)
         raise LoadError(f"no records could be loaded. {reasons}{f' And {more} more.' if more else ''}".strip())
-    read = listings.join(all_notes.select("file"), "file", "left_anti")
+    noted = all_notes.select(files.plain_uri(F.col("file")).alias("_uri"))
+    read = listings.join(noted, files.plain_uri(F.col("file")) == F.col("_uri"), "left_anti")
     if ROW_NOTE in stored.columns:
-        remarks = stored.where(F.col(ROW_NOTE).isNotNull()).groupBy(F.col("_file").alias("file"), ROW_NOTE)
-        counted = remarks.agg(F.count("*").alias("n"))
+        remarks = stored.where(F.col(ROW_NOTE).isNotNull()).groupBy("_file", ROW_NOTE)
+        counted = remarks.agg(F.count("*").alias("n")).join(places, "_file")
         all_notes = all_notes.unionByName(
             counted.select("file", F.format_string("%d row(s) %s", "n", ROW_NOTE).alias("reason"))
         )
-    return RawTable(number_rows(stored, order), all_notes, read)
+    # Columns in the order in which they are first seen over all files.
+    seen: dict[str, Spot] = {}
+    for _, _, spots in loaded:
+        for name, spot in spots.items():
+            seen[name] = min(seen.get(name, spot), spot)
+    numbered = number_rows(stored, places)
+    columns = by_spot([c for c in numbered.columns if c != ROW_ID], seen)
+    return RawTable(numbered.select(ROW_ID, *[named(c) for c in columns]), all_notes, read)
 
 
 def load_file(spark: SparkSession, path: str) -> RawTable:
@@ -494,7 +487,8 @@ def load_paths(spark: SparkSession, paths: str | Iterable[str], fmt: str | None
         return _load(spark, [FileSet([paths], s, recursive=True) for s in suffixes], [])
     groups: dict[str, list[str]] = {}
     notes: list[tuple[str, str]] = []
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    # A file that is named twice is read once.
+    paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     for path in paths:
         suffix = _suffix(path)
         if not files.exists(spark, path):
@@ -503,6 +497,6 @@ def load_paths(spark: SparkSession, paths: str | Iterable[str], fmt: str | None
             notes.append((path, f"unsupported file type {suffix!r}"))
         else:
             groups.setdefault(suffix, []).append(path)
-    given = [p for found in groups.values() for p in found]
-    order = [_uri(files.qualified(spark, p)) for p in paths if p in given]
-    return _load(spark, [FileSet(found, s, recursive=False) for s, found in groups.items()], notes, order)
+    given = {p for found in groups.values() for p in found}
+    order = tuple(_uri(files.qualified(spark, p)) for p in paths if p in given)
+    return _load(spark, [FileSet(found, s, recursive=False, order=order) for s, found in groups.items()], notes)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunegrain.functions import jsontext
+from tunegrain.session import materialize
 
 POSITION = ("_file", "_block", "_pos")
 WRAPPED = "value"
-HEAD_ROWS = 200
+
+#: Where a column is first seen: rank and path of the file, block and place of the row, place of the key.
+Spot = tuple[int, str, int, int, int]
 
 _TYPE_WORD = re.compile(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b(?!:)|\bDECIMAL\(\d+, ?\d+\)")
 
@@ -66,12 +69,21 @@ def column_types(shapes: Iterable[str | None]) -> dict[str, T.DataType]:
     return {f.name: _settled(f.dataType, top=True) for f in merged}
 
 
-def in_seen_order(head: DataFrame, names: Sequence[str]) -> list[str]:
-    """``names`` in the order met in ``head`` (few rows of position and ``keys``), then the rest by name."""
-    spots = head.select(F.posexplode("keys").alias("at", "name"), *POSITION)
-    first = spots.groupBy("name").agg(F.min(F.struct(*POSITION, "at")).alias("first"))
-    seen = [row["name"] for row in first.orderBy("first").collect()]
-    return [n for n in seen if n in names] + sorted(n for n in names if n not in seen)
+def key_lists(rows: DataFrame, *more: F.Column) -> DataFrame:
+    """Each file's distinct lists of ``keys`` with the first place (``spot``) of each; combined on the map side."""
+    return rows.groupBy("_file", "keys").agg(F.min(F.struct("_block", "_pos")).alias("spot"), *more)
+
+
+def first_seen(lists: DataFrame, places: DataFrame) -> dict[str, Spot]:
+    """The first spot of every key of all rows. ``places``: ``_file, rank, file`` of the files, whose order counts first."""
+    placed = lists.join(places, "_file").select("rank", "file", "spot._block", "spot._pos", F.posexplode("keys").alias("at", "name"))
+    first = placed.groupBy("name").agg(F.min(F.struct("rank", "file", "_block", "_pos", "at")).alias("first"))
+    return {r["name"]: tuple(r["first"]) for r in first.collect()}  # one row for each column
+
+
+def by_spot(names: Iterable[str], seen: dict[str, Spot]) -> list[str]:
+    """``names`` in the order in which they were seen; any others after them, by name."""
+    return sorted(names, key=lambda n: (n not in seen, seen.get(n, ()), n))
 
 
 def schema_ddl(types: dict[str, T.DataType], names: Sequence[str]) -> str:
@@ -86,18 +98,22 @@ def spread(rows: DataFrame, names: Sequence[str], plain: F.Column | None) -> Dat
     return rows.select(*POSITION, *[c.alias(name) for name, c in columns.items()])
 
 
-def to_columns(records: DataFrame) -> DataFrame:
-    """Stored ``records`` (position columns, ``v``: VARIANT, ``keys``: names as written) to columns.
+def record_keys(v: F.Column, text: F.Column) -> F.Column:
+    """The keys of a record as written; one that is no object counts as an object with the one key WRAPPED."""
+    return F.when(jsontext.is_object(v), F.json_object_keys(text)).otherwise(F.array(F.lit(WRAPPED)))
+
+
+def to_columns(records: DataFrame, places: DataFrame) -> tuple[DataFrame, dict[str, Spot]]:
+    """Stored ``records`` (position columns, ``v``: VARIANT, ``keys``: names as written) to columns, and where each was first seen.
 
     Values that are not objects go to a column named ``value``.
     """
     wrapped = ~jsontext.is_object(F.col("v"))
-    shape, n_wrapped = records.agg(
-        F.schema_of_variant_agg(F.when(~wrapped, F.col("v"))), F.count_if(wrapped)
-    ).first()
-    types = column_types([shape])
-    names = in_seen_order(records.orderBy(*POSITION).limit(HEAD_ROWS), list(types)) if types else []
+    lists = key_lists(records, F.schema_of_variant_agg(F.when(~wrapped, F.col("v"))).alias("shape"), F.count_if(wrapped).alias("plain"))
+    lists = materialize(lists, "key-lists")
+    types = column_types(r["shape"] for r in lists.select("shape").distinct().toLocalIterator())
+    seen = first_seen(lists, places)
+    names = by_spot(types, seen)
     typed = records.withColumn("_typed", F.try_variant_get("v", "$", f"struct<{schema_ddl(types, names)}>")) if names else records
-    plain = F.when(wrapped, F.try_variant_get("v", "$", "string")) if n_wrapped else None
-    return spread(typed, names, plain)
-
+    plain = F.when(wrapped, F.try_variant_get("v", "$", "string")) if lists.where("plain > 0").limit(1).count() else None
+    return spread(typed, names, plain), seen
