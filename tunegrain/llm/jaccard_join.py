@@ -13,18 +13,21 @@ Only connectivity is asked for, so groups are not expanded into pairs. First eve
 compared with its smallest member only. What then still lies in different components is compared pair by pair, if
 a bound on what two sets can share admits it: every set has a bitmap of the parities of its shingles' hashes,
 and two sets differ in at least as many shingles as their bitmaps differ in bits. The bound stands in the join
-itself, so pairs beyond it are never made. No link between different components is lost.
+itself, so pairs beyond it are never made. A pair that shares many lists is made in the first of them, and again only
+where a run of shared shingles has been broken off. No link between different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tunegrain.llm import words as W
 from tunegrain.llm.shared import columns_of, connected_components, drop_tables, materialize, split_by_membership
@@ -38,6 +41,10 @@ SALTS = 64
 BITS = 1024
 #: Sets that meet a list, or a hub, in one task.
 PART = 2048
+#: Shingles before one in its set's prefix that tell whether two sets have met in an earlier list.
+BEFORE = 4
+#: Rounds in which neighbours of a list are compared before all of its pairs.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -50,7 +57,7 @@ class Settings:
 
     percent: int = 80
     post_cost: float = 1.0
-    verify_cost: float = 4.0
+    verify_cost: float = 0.01
     heavy: int = 5000
 
 
@@ -89,14 +96,14 @@ def _bitmaps(tokens: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(first)) * (BITS // 64), pa.int32()), pa.array(words))
 
 
-_SCAN = "kind int, id bigint, size bigint, key binary, bits array<bigint>, part int, counts binary"
+_SCAN = "kind int, id bigint, size bigint, key binary, part int, counts binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size, key and bitmap (kind 0); at the end this task's sketch in slices (kind 1)."""
+    """Per document its set's size and key (kind 0); at the end this task's sketch in slices (kind 1)."""
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     held: list[np.ndarray] = []
-    names = ["kind", "id", "size", "key", "bits", "part", "counts"]
+    names = ["kind", "id", "size", "key", "part", "counts"]
     for batch in batches:
         ids = batch.column(0)
         for low, high, tokens, first in _sets(batch):
@@ -105,14 +112,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
                 held = []
             n = high - low
-            columns = [pa.array(np.zeros(n, np.int32)), ids.slice(low, n).cast(pa.int64()), pa.array(np.diff(first)), _binary(_keys(tokens, first)), _bitmaps(tokens, first)]
+            columns = [pa.array(np.zeros(n, np.int32)), ids.slice(low, n).cast(pa.int64()), pa.array(np.diff(first)), _binary(_keys(tokens, first))]
             yield pa.record_batch([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if held:
         sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
     if sketch.any():
         parts = [x.tobytes() for x in np.split(sketch, SKETCH_SLICES)]
         n = len(parts)
-        columns = [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))]
+        columns = [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
         yield pa.record_batch([*columns, pa.array(np.arange(n, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
 
 
@@ -156,6 +163,19 @@ def _levels(counts: np.ndarray, sizes: np.ndarray, least: np.ndarray, first: np.
     return level
 
 
+def _prefixes(tokens: np.ndarray, first: np.ndarray, sketch: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sets, in their order: owner, token and counter of each shingle of its prefix, and each set's level."""
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    counts = sketch[tokens >> W.U64(64 - SKETCH_BITS)].astype(np.int64)
+    order = np.lexsort((tokens, counts, owner))
+    tokens, counts = tokens[order], counts[order]
+    least = -(-settings.percent * sizes // 100)
+    level = _levels(counts, sizes, least, first, settings)
+    keep = np.arange(len(tokens)) - first[owner] < (sizes - least + level)[owner]
+    return owner[keep], tokens[keep], counts[keep], level
+
+
 def _post(sketch: np.ndarray, settings: Settings):
     sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
     heavy = max(settings.heavy, 8 * float(sketch.mean(dtype=np.float64)))
@@ -165,20 +185,13 @@ def _post(sketch: np.ndarray, settings: Settings):
         for batch in batches:
             for _low, _high, tokens, first in _sets(batch):
                 keys = W.signed(_keys(tokens, first))
-                sizes = np.diff(first)
                 fresh = np.zeros(len(keys), dtype=bool)
-                for i in np.flatnonzero(sizes).tolist():
+                for i in np.flatnonzero(np.diff(first)).tolist():
                     if (k := (int(keys[i, 0]), int(keys[i, 1]))) not in seen:
                         seen.add(k)
                         fresh[i] = True
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                counts = sketch[tokens >> W.U64(64 - SKETCH_BITS)].astype(np.int64)
-                order = np.lexsort((tokens, counts, owner))
-                tokens, counts = tokens[order], counts[order]
-                least = -(-settings.percent * sizes // 100)
-                level = _levels(counts, sizes, least, first, settings)
-                keep = np.arange(len(tokens)) - first[owner] < (sizes - least + level)[owner]
-                keep &= fresh[owner]
+                owner, tokens, counts, level = _prefixes(tokens, first, sketch, settings)
+                keep = fresh[owner]
                 owner, tokens, counts = owner[keep], tokens[keep], counts[keep]
                 if not len(tokens):
                     continue
@@ -192,6 +205,32 @@ def _post(sketch: np.ndarray, settings: Settings):
     return run
 
 
+_FULL = "token bigint, key binary, size bigint, before array<bigint>, bits array<bigint>"
+
+
+def _post_fully(sketch: np.ndarray, settings: Settings):
+    """Postings with what the pairwise comparison needs: the BEFORE shingles that stand before in the prefix, and the set's bitmap."""
+    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _low, _high, tokens, first in _sets(batch):
+                key, bits, size = _binary(_keys(tokens, first)), _bitmaps(tokens, first), pa.array(np.diff(first))
+                owner, tokens, _counts, _level = _prefixes(tokens, first, sketch, settings)
+                if not len(tokens):
+                    continue
+                begin = np.searchsorted(owner, owner)
+                place = np.arange(len(owner))
+                many = np.minimum(place - begin, BEFORE)
+                ends = np.concatenate([[0], np.cumsum(many)])
+                at = np.repeat(place - many, many) + np.arange(ends[-1]) - np.repeat(ends[:-1], many)
+                before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(tokens)[at]))
+                rows = pa.array(owner)
+                yield pa.record_batch([pa.array(W.signed(tokens)), key.take(rows), size.take(rows), before, bits.take(rows)], names=["token", "key", "size", "before", "bits"])
+
+    return run
+
+
 _LISTED = "kind int, token bigint, key binary, level int, leader binary, leader_level int"
 
 
@@ -266,16 +305,6 @@ def _verify(percent: int):
     return run
 
 
-def _least_shared(percent: int) -> F.Column:
-    """Prefix shingles that sets ``one`` and ``two`` share at least if they are similar enough.
-
-    Of the set whose prefix ends first in the order, only what follows its prefix can be shared besides.
-    """
-    beyond = [F.ceil(percent * F.col(f"{x}.size") / 100) - F.col(f"{x}.level") for x in ("one", "two")]
-    overlap = F.ceil(percent * (F.col("one.size") + F.col("two.size")) / (100 + percent))
-    return F.greatest(F.least("one.level", "two.level").cast("bigint"), (overlap - F.greatest(*beyond)).cast("bigint"))
-
-
 def _may_reach(percent: int) -> str:
     """Whether sets ``one`` and ``two`` can be similar enough, by their sizes and by the bits in which their bitmaps differ."""
     apart = " + ".join(f"bit_count(one.bits[{i}] ^ two.bits[{i}])" for i in range(BITS // 64))
@@ -283,6 +312,16 @@ def _may_reach(percent: int) -> str:
     return f"100 * least(one.size, two.size) >= {percent} * greatest(one.size, two.size) and {100 + percent} * ({both} - ({apart})) >= {2 * percent} * {both}"
 
 
+def _neighbours(rest: DataFrame, members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that stand side by side in a list, and may be similar enough."""
+    shuffled = F.xxhash64("key", F.lit(turn))
+    now = rest.join(members.select("key", "component"), "key").withColumn("part", F.pmod(shuffled, F.col("parts")))
+    fields = F.struct("key", "component", "size", "bits")
+    beside = F.lag(fields).over(Window.partitionBy("token", "part").orderBy(shuffled, "key"))
+    stood = now.select(fields.alias("one"), beside.alias("two")).where(f"two is not null and one.component <> two.component and {_may_reach(percent)}")
+    return stood.select(F.least("one.key", "two.key").alias("a"), F.greatest("one.key", "two.key").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) of set keys whose sets are similar enough, by exact set intersection.
 
@@ -318,7 +357,8 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "sets-scan")
     rows = scanned.where("kind = 0").select("id", "size", "key")
     reps = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")).where("id is not null")
-    posted = docs.where("id is not null").mapInArrow(_post(_sketch(scanned), settings), "token bigint, salt smallint, key bigint, check bigint, level int")
+    sketch = _sketch(scanned)
+    posted = docs.where("id is not null").mapInArrow(_post(sketch, settings), "token bigint, salt smallint, key bigint, check bigint, level int")
     lists = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key", "check")
     listed = materialize(lists.mapInArrow(_lists, _LISTED), "lists")
 
@@ -337,22 +377,41 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     labelled = postings.select("token", "key", "level").join(parents.withColumnRenamed("node", "key"), "key", "left")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = mixed.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    facts = scanned.where("kind = 0 and size > 0").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    rest = materialize(labelled.join(mixed, "token").join(facts, "key"), "mixed")
-    # One side of a long list is dealt out, the other stands with each part.
-    one = rest.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
-    two = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
-    cross = one.join(two, F.expr(f"one.token = two.token and one.part = two.part and one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)}"))
-    cross = cross.groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b")).agg(F.count("*").alias("n"), F.max(_least_shared(settings.percent)).alias("need"))
-    cross = cross.where("n >= need").select("a", "b")
+    mixed = materialize(mixed.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "mixed-lists")
+    members = labelled.join(mixed, "token").select("key", "component").distinct()
+    members = materialize(members.join(reps.select("key", "id"), "key"), "mixed-members")
+    # Their sets post again, with all that the comparison needs; each set once.
+    again, _ = split_by_membership(docs.where("id is not null"), members.select("id"), "id")
+    again = again.join(members.select("id").distinct(), "id").mapInArrow(_post_fully(sketch, settings), _FULL)
+    rest = materialize(again.join(mixed, "token").dropDuplicates(["token", "key"]), "mixed")
+    links_found = []
+    for turn in range(ROUNDS):
+        # Neighbours in an order that changes with the rounds: as many pairs as postings, which join what is dense.
+        near = materialize(_neighbours(rest, members, turn, settings.percent).join(pairs, ["a", "b"], "left_anti"), "neighbours")
+        links_found.append(_verified(near, docs, reps, settings))
+        drop_tables(near)
+        label = members.select("key", "component")
+        contracted = links_found[-1].join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = connected_components(contracted).withColumnRenamed("component", "top")
+        before = members
+        joined = members.join(merged, F.col("component") == F.col("node"), "left")
+        members = materialize(joined.select("key", "id", F.coalesce("top", "component").alias("component")), "mixed-members")
+        drop_tables(before)
+    # What is still apart is compared in all pairs. One side of a long list is dealt out, the other stands with each part.
+    now = rest.join(members.select("key", "component"), "key")
+    one = now.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
+    two = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
+    # Sets that share one of the shingles right before in their prefixes have met in that one's list.
+    fits = f"one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)} and not arrays_overlap(one.before, two.before)"
+    cross = one.join(two, F.expr(f"one.token = two.token and one.part = two.part and {fits}")).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, docs, reps, settings)
     # Only links between components are new, so the old components are contracted to their labels.
     parents_of = F.coalesce("component", "key").alias("label")
     found = parents
     contracted = (
-        more.join(parents.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        reduce(DataFrame.unionByName, links_found, more)
+        .join(parents.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(parents.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
@@ -361,7 +420,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     labels = labels.join(upper, "label", "left").select("key", "id", F.coalesce("top", "label").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("component"))
     components = materialize(labels.join(smallest, "label").select("key", "component"), "components")
-    drop_tables(listed, pairs, links, parents, labelled, rest, cross, more)
+    drop_tables(listed, pairs, links, parents, labelled, mixed, members, rest, cross, more, *links_found)
     return rows.join(components, "key", "left").select(
         "id", "size", F.when(F.col("size") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component")
     )

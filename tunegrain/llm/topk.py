@@ -70,16 +70,17 @@ def pruned(query: np.ndarray, local: float, limit: float, unit: np.ndarray, norm
 def _scan(k: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Queries (left) against one block of candidates (right)."""
-        out_q, out_v, out_s = [], [], []
+        out_q, out_r, out_v, out_s = [], [], [], []
         if left.num_rows and right.num_rows:
             queries, vectors = _matrix(left.column("vector")), _matrix(right.column("vector"))
             query_ids, ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
+            query_rows, rows = np.asarray(left.column("row")), np.asarray(right.column("row"))
             floor = left.column("floor").to_pylist()
             norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
             unit = vectors / np.where(norms > 0, norms, 1)[:, None]
             top = float(norms.max())
             for n, query in enumerate(queries):
-                mask = ids != query_ids[n]
+                mask = rows != query_rows[n]
                 length = np.sqrt(float(query.astype(np.float64) @ query))
                 t = floor[n]
                 if t is not None and t > 0:
@@ -94,9 +95,10 @@ def _scan(k: int):
                     at, scores = at[scores >= t], scores[scores >= t]
                 best = _best(scores, ids[at], k)
                 out_q += [int(query_ids[n])] * len(best)
+                out_r += [int(query_rows[n])] * len(best)
                 out_v += ids[at][best].tolist()
                 out_s += scores[best].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "row": pa.array(out_r, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
     return run
 
@@ -107,15 +109,15 @@ def _floors(k: int):
         floors: list[int | None] = []
         if left.num_rows and right.num_rows:
             queries, seeds = _matrix(left.column("vector")), _matrix(right.column("vector"))
-            ids, seed_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
-            for low in range(0, len(ids), 256):
+            rows, seed_rows = np.asarray(left.column("row")), np.asarray(right.column("row"))
+            for low in range(0, len(rows), 256):
                 scores = _products(queries[low : low + 256], seeds)
                 for i, row in enumerate(scores):
-                    own = row[seed_ids != ids[low + i]]
+                    own = row[seed_rows != rows[low + i]]
                     floors.append(int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else None)
         else:
             floors = [None] * left.num_rows
-        return pa.table({"id": left.column("id"), "vector": left.column("vector"), "width": left.column("width"), "floor": pa.array(floors, pa.int64())})
+        return pa.table({"id": left.column("id"), "row": left.column("row"), "vector": left.column("vector"), "width": left.column("width"), "floor": pa.array(floors, pa.int64())})
 
     return run
 
@@ -124,30 +126,31 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     """Per query (id divisible by ``every``) its ``k`` best other rows: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Components are floor(scale * x). Vectors that are null or hold null or non-finite components, and rows with a null
-    id, take no part; a query compares with vectors of its own length only (the product of empty ones is 0). Rows with
-    the query's own id are no candidates. Ties go to smaller ids; rows that repeat an id may all be listed. A zero
-    query scores 0 with all. An empty table gives an empty result. Other columns are ignored.
+    id, take no part; a query compares with vectors of its own length only (the product of empty ones is 0). Rows that
+    repeat an id are rows of their own: each is a query with a list of its own, and a candidate of the others. Ties go
+    to smaller ids. A zero query scores 0 with all. An empty table gives an empty result. Other columns are ignored.
     """
     vector = F.col(vector_column).cast("array<double>")
     rows = embeddings.select(F.col(id_column).cast("bigint").alias("id"), vector.alias("vector")).where(usable(F.col("vector")) & F.col("id").isNotNull())
     rows = rows.select("id", F.transform("vector", lambda x: F.floor(x * scale).cast("bigint")).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     bucket = F.when(norm > 0, F.floor(F.log(norm) / float(np.log(RATIO)))).otherwise(-(2**31)).cast("int")
-    rows = materialize(rows.select("id", "vector", F.size("vector").alias("width"), norm.alias("norm"), bucket.alias("bucket")), "top-vectors")
-    queries = rows.where(F.col("id") % every == 0).select("id", "vector", "width")
+    rows = rows.select("id", F.monotonically_increasing_id().alias("row"), "vector", F.size("vector").alias("width"), norm.alias("norm"), bucket.alias("bucket"))
+    rows = materialize(rows, "top-vectors")
+    queries = rows.where(F.col("id") % every == 0).select("id", "row", "vector", "width")
     # The longest of each length: of each of its slices first, then overall.
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(SLICES)))
     for groups in (["width", "slice"], ["width"]):
-        longest = Window.partitionBy(*groups).orderBy(F.desc("norm"), "id")
+        longest = Window.partitionBy(*groups).orderBy(F.desc("norm"), "id", "row")
         sliced = sliced.withColumn("at", F.row_number().over(longest)).where(F.col("at") <= SEEDS)
-    seeds = materialize(sliced.select("id", "vector", "width"), "top-seeds")
+    seeds = materialize(sliced.select("row", "vector", "width"), "top-seeds")
     # Queries of a length in chunks, each with the length's seeds.
     sizes = queries.groupBy("width").agg(F.ceil(F.count("*") / queries_at_once).cast("int").alias("chunks"))
-    dealt = queries.join(sizes, "width").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = queries.join(sizes, "width").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     stood = seeds.join(sizes, "width").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     keys = ["width", "chunk"]
-    asked = dealt.select(*keys, "id", "vector").groupBy(*keys).cogroup(stood.select(*keys, "id", "vector").groupBy(*keys))
-    asked = asked.applyInArrow(_floors(k), "id bigint, vector array<bigint>, width int, floor bigint")
+    asked = dealt.select(*keys, "id", "row", "vector").groupBy(*keys).cogroup(stood.select(*keys, "row", "vector").groupBy(*keys))
+    asked = asked.applyInArrow(_floors(k), "id bigint, row bigint, vector array<bigint>, width int, floor bigint")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     asked = materialize(asked.withColumn("length", length), "top-queries")
     chunks = max(1, -(-asked.count() // queries_at_once))
@@ -155,11 +158,13 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     buckets = rows.groupBy("width", "bucket").agg(F.max("norm").alias("top"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     buckets = materialize(buckets, "top-buckets")
     reached = asked.join(buckets, "width").where(F.col("floor").isNull() | (F.col("floor") <= 0) | (F.col("length") * F.col("top") * (1 + 1e-9) >= F.col("floor")))
-    reached = reached.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    reached = reached.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["width", "bucket", "block", "chunk"]
-    reached = reached.select(*keys, "id", "vector", "floor")
-    stock = rows.join(buckets.select("width", "bucket", "blocks"), ["width", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    stock = stock.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select(*keys, "id", "vector")
-    found = reached.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInArrow(_scan(k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # A block is copied only to the chunks whose queries reach its bucket.
+    pairs = materialize(reached.select(*keys).distinct(), "top-pairs")
+    reached = reached.select(*keys, "id", "row", "vector", "floor")
+    stock = rows.join(buckets.select("width", "bucket", "blocks"), ["width", "bucket"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    stock = stock.join(pairs, ["width", "bucket", "block"]).select(*keys, "id", "row", "vector")
+    found = reached.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInArrow(_scan(k), "query_id bigint, row bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
