@@ -395,10 +395,75 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     clean = toxicity.keep_clean(docs, model)
     assert clean.columns == docs.columns
-    assert clean.count() == toxicity.score(docs, model).where("predicted = 0").count()
+    assert clean.count() == toxicity.score(docs, model).where(F.col("score") < model.cut).count()
     assert toxicity.score(nothing, model).collect() == []
 
 
+def test_toxicity_shows_in_stems(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(rng, rng.randint(20, 80)).split(" ")
+        if i % 5 == 1:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = "zzvexi" + rng.choice("abcdefghij") + rng.choice("klmnop") * rng.randint(1, 5)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 1)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels, F.col("doc_id") % 4 != 0)
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("doc_id % 4 = 0").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+
+
+def test_toxicity_sample_bounds_rows(spark, monkeypatch):
+    docs, labels = labelled(spark, 100)
+    docs = docs.union(spark.range(3000).select(F.lit(11).alias("doc_id"), F.lit("again and again").alias("text")))
+    seen = []
+    monkeypatch.setattr(toxicity.Trees, "fit", lambda self, x, y, fit=toxicity.Trees.fit: seen.append(len(y)) or fit(self, x, y))
+    toxicity.learn(docs, labels, F.lit(True), toxicity.Settings(sample=60))
+    assert max(seen) <= 60
+
+
+def test_a_filter_s_cut_meets_its_aim_or_spares_clean_rows():
+    score, y = np.array([0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]), np.array([0, 0, 0, 1, 0, 1, 1, 1])
+    assert toxicity.chosen_cut(score, y, recall=1.0, lose=0.3) == 0.4
+    assert toxicity.chosen_cut(score, y, recall=0.75, lose=0.3) == 0.5
+    assert 0.3 < toxicity.chosen_cut(np.minimum(score, 0.45), y, recall=1.0, lose=0.0) <= 0.5
+
+
+def test_toxicity_features_by_hand():
+    """Densities of words, stems, second persons near them, capitals, signs and disguises."""
+    text = "You IDIOT! you are zorpish, 1d1ot? clean words he-re you"
+    stem = words.span_hashes(np.frombuffer(b"zorpi", np.uint8), np.array([0]), np.array([5]), words.FOLDED, seed=5)
+    row = dict(zip(toxicity.FEATURES, toxicity.features(*words.utf8(pa.array([text])), toxicity._hash_words(["idiot"]), stem)[0]))
+    runs = re.findall("[A-Za-z]+", text)
+    n, size, letters = len(runs), len(text), sum(map(str.isalpha, text))
+    assert row["insults"] == pytest.approx(1 / n) and row["learnt"] == pytest.approx(1 / n) and row["hits"] == pytest.approx(math.log(3))
+    assert row["near_you"] == pytest.approx(2 / n) and row["you"] == pytest.approx(3 / n)
+    assert row["capitals"] == pytest.approx(6 / letters) and row["shouted"] == pytest.approx(1 / n)
+    assert row["exclaimed"] == pytest.approx(2 / size) and row["punctuation"] == pytest.approx(sum(not c.isalnum() and c != " " for c in text) / size)
+    assert row["disguised"] == pytest.approx(1 / n) and row["signs_in_words"] == pytest.approx(1 / n) and row["length"] == pytest.approx(math.log(1 + n))
+
+
+def test_trees_against_a_loop():
+    """Scores of boosted trees, recomputed tree by tree and row by row."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    trees = toxicity.Trees(toxicity.Settings(trees=8)).fit(x, y)
+    raw = trees.raw(x)
+    for i in range(0, 300, 37):
+        total = trees.start
+        for feature, cut, leaf in trees.trees:
+            node = 0
+            for level in range(trees.settings.depth):
+                at = 2**level - 1 + node
+                node = node * 2 + int(x[i, feature[at]] > cut[at])
+            total += leaf[node]
+        assert raw[i] == pytest.approx(total)
+    assert ((raw > 0) == (y > 0)).mean() > 0.85
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")
     got = toxicity.score(documents, toxicity.learn(documents, none, F.lit(True))).collect()
@@ -442,6 +507,32 @@ def vectors(rng, n):
     return out + [None, [], [0.0] * 8, [math.nan] * 8, [math.inf] + [1.0] * 7, [None] + [1.0] * 7, [1.0] * 4, [1.0] * 4]
 
 
+def test_rows_that_repeat_an_id_are_vectors_of_their_own(spark):
+    rows = [(5, "A", [1.0, 0.0]), (5, "B", [1.0, 0.0]), (5, "C", [0.0, 1.0]), (7, "A", [1.0, 0.001]), (9, "B", [1.0, 0.002]), (11, "C", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>")
+    got = sorted((r.id, r.n_links, r.component) for r in embedding_dups.near_duplicates(df).collect())
+    assert got == [(5, 0, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 1, 5), (11, 0, 11)]
+
+
+def test_embeddings_of_extreme_numbers_and_many_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=4099)
+    rows = [(1, (base * 1e200).tolist()), (2, (base * 1e-200).tolist()), (3, (base + 0.1 * rng.normal(size=4099)).tolist()), (4, rng.normal(size=4099).tolist())]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    assert sorted((r.id, r.n_links, r.component) for r in embedding_dups.near_duplicates(df).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_top_k_of_rows_that_repeat_an_id(spark):
+    rows = [(10, [1.0, 2.0]), (10, [3.0, 1.0]), (11, [1.0, 1.0]), (12, [0.0, 5.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), every=10).collect())
+    s = lambda a, b: int(np.dot(np.floor(256 * np.array(a)), np.floor(256 * np.array(b))))
+    want = []
+    for n, (i, v) in enumerate(rows[:2]):
+        ranked = sorted((-s(v, w), j) for m, (j, w) in enumerate(rows) if m != n)
+        want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(ranked)]
+    assert got == sorted(want)
+
+
 def test_embedding_near_duplicates(spark):
     x = vectors(np.random.default_rng(1), 240)
     rows = [(i, v, None if i % 50 == 49 else i % 2) for i, v in enumerate(x)]

@@ -4,6 +4,9 @@ The features are rates: words of a fixed and of a learnt lexicon, lexicon words
 capitals, punctuation, and words that match the lexicon only after disguises (digits and signs for letters, signs
 between letters) are undone. The learnt lexicon and the trees come from a sample of labelled rows, at most
 ``sample`` of them, by the order of a hash of their ids; texts are scored all and whole.
+
+The learnt lexicon holds words and stems, the first bytes of longer words: in languages that build words from
+parts, abuse shows in a stem whose endings vary. A filter's cut is chosen on out-of-fold scores.
 """
 
 from __future__ import annotations
@@ -62,6 +65,21 @@ _EXCLAIM = np.zeros(256, dtype=bool)
 _EXCLAIM[[0x21, 0x3F]] = True
 
 
+#: Bytes of stems.
+STEMS = (4, 5, 6, 7)
+
+
+def _with_stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of all words, then of their first bytes for each length of stems; a word that isn't longer repeats its own."""
+    out = [W.span_hashes(data, starts, ends, W.FOLDED)]
+    for size in STEMS:
+        longer = ends - starts > size
+        stems = out[0].copy()
+        stems[longer] = W.span_hashes(data, starts[longer], starts[longer] + size, W.FOLDED, seed=size)
+        out.append(stems)
+    return out
+
+
 def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), dtype=bool)
@@ -74,10 +92,13 @@ def features(data: np.ndarray, offsets: np.ndarray, fixed: np.ndarray, learnt: n
     """One row of FEATURES per text."""
     rows = len(offsets) - 1
     _, starts, ends, first = _letter_runs(data, offsets)
-    hashes = W.span_hashes(data, starts, ends, W.FOLDED)
+    hashes, *stems = _with_stems(data, starts, ends)
     words = np.maximum(np.diff(first), 1).astype(np.float64)
     size = np.maximum(np.diff(offsets), 1).astype(np.float64)
     rude, known = _within(fixed, hashes), _within(learnt, hashes)
+    whole = W.sums_by_row(rude | known, first)
+    for part in stems:
+        known |= _within(learnt, part)
     either = rude | known
     you = _within(_YOU, hashes)
     owner = np.repeat(np.arange(rows), np.diff(first))
@@ -100,7 +121,7 @@ def features(data: np.ndarray, offsets: np.ndarray, fixed: np.ndarray, learnt: n
     s, e = W.runs(plain != 0x20, borders)
     undone = W.span_hashes(plain, s, e, W.FOLDED)
     hidden = _within(fixed, undone) | _within(learnt, undone)
-    hidden = np.maximum(W.sums_by_row(hidden, np.searchsorted(s, borders)) - hits, 0)
+    hidden = np.maximum(W.sums_by_row(hidden, np.searchsorted(s, borders)) - whole, 0)
     sign = _SIGN[data]
     between = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
@@ -120,10 +141,16 @@ _YOU = _hash_words(SECOND_PERSON)
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: most labelled rows to learn from. ``lexicon``: most learnt words. The rest shapes the trees."""
+    """``sample``: most labelled rows to learn from. ``lexicon``: most learnt words and stems.
+
+    ``recall``: share of toxic rows that a filter should catch, as long as it loses at most ``lose`` of the others.
+    The rest shapes the trees.
+    """
 
     sample: int = 20_000
     lexicon: int = 300
+    recall: float = 0.95
+    lose: float = 0.01
     trees: int = 60
     depth: int = 3
     rate: float = 0.2
@@ -211,26 +238,39 @@ class Model:
     trees: Trees | None
     at: np.ndarray
     to: np.ndarray
+    #: From this score on a filter takes a text for toxic.
+    cut: float = 0.5
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        # Calibration has steps; a trace of the raw score keeps the order within a step.
+        return np.clip(0.999 * np.interp(raw, self.at, self.to) + 0.001 / (1 + np.exp(-raw)), 0.0, 1.0)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         if self.trees is None:
             return np.full(rows, float(self.to[0]))
-        raw = self.trees.raw(features(data, offsets, self.fixed, self.learnt))
-        # Calibration has steps; a trace of the raw score keeps the order within a step.
-        return np.clip(0.999 * np.interp(raw, self.at, self.to) + 0.001 / (1 + np.exp(-raw)), 0.0, 1.0)
+        return self.calibrated(self.trees.raw(features(data, offsets, self.fixed, self.learnt)))
+
+
+def chosen_cut(score: np.ndarray, y: np.ndarray, recall: float, lose: float) -> float:
+    """The highest score up to 0.5 from which on ``recall`` of the toxic rows are caught, or the lowest that loses at most ``lose`` of the others."""
+    toxic, clean = np.sort(score[y > 0]), np.sort(score[y == 0])
+    wanted = toxic[int(np.floor((1 - recall) * len(toxic)))]
+    # The first score above which no more than the share stands.
+    allowed = np.nextafter(clean[min(len(clean) - 1, int(np.ceil((1 - lose) * len(clean))) - 1)], 2)
+    return float(min(0.5, max(wanted, allowed)))
 
 
 def _word_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per distinct word of a batch: in how many toxic and how many other texts it stands."""
+    """Per distinct word and stem of a slice: in how many toxic and how many other texts it stands."""
     for batch in batches:
         data, offsets = W.utf8(batch.column(0))
         toxic = np.asarray(batch.column(1)).astype(bool)
         for low, high in W.slices(offsets):
             part = offsets[low : high + 1]
             own, starts, ends, first = _letter_runs(data[part[0] : part[-1]], part - part[0])
-            hashes = W.span_hashes(own, starts, ends, W.FOLDED)
-            owner = np.repeat(np.arange(high - low), np.diff(first))
+            hashes = np.concatenate(_with_stems(own, starts, ends))
+            owner = np.tile(np.repeat(np.arange(high - low), np.diff(first)), 1 + len(STEMS))
             order = np.lexsort((owner, hashes))
             hashes, owner = hashes[order], owner[order]
             if not len(hashes):
@@ -262,9 +302,14 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, settings: Set
     """
     rows = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
+    # Of labels at most ``sample`` ids; of texts at most as many rows, also if ids repeat.
     rows = materialize(rows.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).cast("int").alias("fold")), "toxic-labels")
     maybe, _ = split_by_membership(documents.select("doc_id", F.col("text").cast("string").alias("text")), rows.select("doc_id"), "doc_id")
-    texts = materialize(maybe.join(rows, "doc_id").select("text", "toxic", "fold"), "toxic-sample")
+    texts = materialize(maybe.join(rows, "doc_id").select("doc_id", "text", "toxic", "fold", F.monotonically_increasing_id().alias("place")), "toxic-sample")
+    if texts.count() > settings.sample:
+        taken = materialize(texts.select("doc_id", "place").orderBy(F.xxhash64("doc_id", "place"), "place").limit(settings.sample).select("place"), "toxic-taken")
+        texts = materialize(texts.join(taken, "place", "left_semi"), "toxic-sample")
+    texts = texts.select("text", "toxic", "fold")
     counts = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     fixed = _hash_words(INSULTS)
@@ -273,8 +318,9 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, settings: Set
         return Model(fixed, empty, None, np.zeros(1), np.array([float(bad > 0)]))
     votes = texts.mapInArrow(_word_votes, "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (bad - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (good - F.col("c") + 0.5))
-    votes = votes.withColumn("z", odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
-    top = votes.where("t >= 3 and z >= 3").orderBy(F.desc("z"), "word").limit(settings.lexicon).select("word")
+    # What the odds are at least, two deviations below their estimate: a common word with weak odds doesn't crowd out a telling one.
+    votes = votes.withColumn("sure", odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+    top = votes.where("t >= 3 and sure >= 2").orderBy(F.desc("sure"), "word").limit(settings.lexicon).select("word")
     learnt = np.unique(np.array([r.word for r in top.collect()], dtype=np.int64).view(W.U64))
     sample = texts.mapInArrow(_feature_rows(fixed, learnt), "toxic int, fold int, x binary").orderBy("x", "toxic", "fold").collect()
     x = np.array([np.frombuffer(r.x) for r in sample])
@@ -286,11 +332,17 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, settings: Set
         seen = fold != k
         apart[~seen] = Trees(settings).fit(x[seen], y[seen]).raw(x[~seen]) if seen.any() else 0.0
     at, to = isotonic(apart, y)
-    return Model(fixed, learnt, Trees(settings).fit(x, y), at, to)
+    model = Model(fixed, learnt, Trees(settings).fit(x, y), at, to)
+    model.cut = chosen_cut(model.calibrated(apart), y, settings.recall, settings.lose)
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``score`` and ``predicted`` of every row, whole texts. A null or empty text scores as one without words."""
+    """``doc_id``, ``score`` and ``predicted`` (1 from 0.5 on) of every row, whole texts.
+
+    A null or empty text scores as one without words. Rows that repeat an id, or have none, are scored each by itself.
+    Very long texts are scored whole. An empty table gives an empty result. Other columns are ignored.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,13 +357,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows, all columns, that aren't predicted toxic."""
+    """The rows, all columns, that score below the model's cut.
+
+    Null and empty texts, null and repeated ids and very long texts are treated as by ``score``. An empty table stays empty.
+    """
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.utf8(batch.column(at).cast(pa.string()))
-            kept = [model.score(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) < 0.5 for low, high in W.slices(offsets)]
+            kept = [model.score(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) < model.cut for low, high in W.slices(offsets)]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
     return documents.select(*columns_of(documents)).mapInArrow(run, documents.schema)
