@@ -38,13 +38,14 @@ SKETCH_SLICES = 64
 #: Parts of a posting list that is known to be long.
 SALTS = 64
 #: Bits of a set's parity bitmap.
-BITS = 1024
+BITS = 512
 #: Sets that meet a list, or a hub, in one task.
 PART = 2048
-#: Shingles before one in its set's prefix that tell whether two sets have met in an earlier list.
-BEFORE = 4
-#: Rounds in which neighbours of a list are compared before all of its pairs.
-ROUNDS = 2
+#: Lists of a set before one, in the order of their shingles, that tell whether two sets have met earlier.
+BEFORE = 3
+#: Rounds in which neighbours of lists with at least so many sets are compared before all pairs.
+ROUNDS = 1
+MANY = 16
 
 
 @dataclass(frozen=True)
@@ -205,30 +206,10 @@ def _post(sketch: np.ndarray, settings: Settings):
     return run
 
 
-_FULL = "token bigint, key binary, size bigint, before array<bigint>, bits array<bigint>"
-
-
-def _post_fully(sketch: np.ndarray, settings: Settings):
-    """Postings with what the pairwise comparison needs: the BEFORE shingles that stand before in the prefix, and the set's bitmap."""
-    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _low, _high, tokens, first in _sets(batch):
-                key, bits, size = _binary(_keys(tokens, first)), _bitmaps(tokens, first), pa.array(np.diff(first))
-                owner, tokens, _counts, _level = _prefixes(tokens, first, sketch, settings)
-                if not len(tokens):
-                    continue
-                begin = np.searchsorted(owner, owner)
-                place = np.arange(len(owner))
-                many = np.minimum(place - begin, BEFORE)
-                ends = np.concatenate([[0], np.cumsum(many)])
-                at = np.repeat(place - many, many) + np.arange(ends[-1]) - np.repeat(ends[:-1], many)
-                before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(tokens)[at]))
-                rows = pa.array(owner)
-                yield pa.record_batch([pa.array(W.signed(tokens)), key.take(rows), size.take(rows), before, bits.take(rows)], names=["token", "key", "size", "before", "bits"])
-
-    return run
+def _emit_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _low, _high, tokens, first in _sets(batch):
+            yield pa.record_batch([_binary(_keys(tokens, first)), pa.array(np.diff(first)), _bitmaps(tokens, first)], names=["key", "size", "bits"])
 
 
 _LISTED = "kind int, token bigint, key binary, level int, leader binary, leader_level int"
@@ -377,17 +358,21 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     labelled = postings.select("token", "key", "level").join(parents.withColumnRenamed("node", "key"), "key", "left")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = materialize(mixed.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "mixed-lists")
-    members = labelled.join(mixed, "token").select("key", "component").distinct()
-    members = materialize(members.join(reps.select("key", "id"), "key"), "mixed-members")
-    # Their sets post again, with all that the comparison needs; each set once.
+    mixed = materialize(mixed.select("token", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "mixed-lists")
+    light = labelled.join(mixed, "token").select("token", "n", "parts", "key", "component")
+    members = materialize(light.select("key", "component").distinct().join(reps.select("key", "id"), "key"), "mixed-members")
     again, _ = split_by_membership(docs.where("id is not null"), members.select("id"), "id")
-    again = again.join(members.select("id").distinct(), "id").mapInArrow(_post_fully(sketch, settings), _FULL)
-    rest = materialize(again.join(mixed, "token").dropDuplicates(["token", "key"]), "mixed")
+    bitmaps = again.mapInArrow(_emit_bitmaps, "key binary, size bigint, bits array<bigint>").join(members.select("key"), "key", "left_semi")
+    bitmaps = bitmaps.dropDuplicates(["key"])
+    # In any order of shingles that holds for all sets, a pair that shares several lists meets first in one of them.
+    lists_of = Window.partitionBy("key").orderBy("token")
+    before = F.array_compact(F.array(*[F.lag("token", i + 1).over(lists_of) for i in range(BEFORE)]))
+    rest = light.select("key", "token", "n", "parts", before.alias("before")).join(bitmaps, "key")
+    rest = materialize(rest, "mixed")
     links_found = []
     for turn in range(ROUNDS):
         # Neighbours in an order that changes with the rounds: as many pairs as postings, which join what is dense.
-        near = materialize(_neighbours(rest, members, turn, settings.percent).join(pairs, ["a", "b"], "left_anti"), "neighbours")
+        near = materialize(_neighbours(rest.where(F.col("n") >= MANY), members, turn, settings.percent).join(pairs, ["a", "b"], "left_anti"), "neighbours")
         links_found.append(_verified(near, docs, reps, settings))
         drop_tables(near)
         label = members.select("key", "component")
@@ -401,7 +386,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     now = rest.join(members.select("key", "component"), "key")
     one = now.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
     two = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
-    # Sets that share one of the shingles right before in their prefixes have met in that one's list.
+    # Sets that share one of the lists right before have met there.
     fits = f"one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)} and not arrays_overlap(one.before, two.before)"
     cross = one.join(two, F.expr(f"one.token = two.token and one.part = two.part and {fits}")).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
