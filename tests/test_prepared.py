@@ -113,3 +113,20 @@ def test_shuffle_off_keeps_input_order(spark, tmp_path):
     ds = prepare.prepare(raw, FieldMapping("completion", text_field="t"), str(tmp_path), name="o", eval_ratio=0.1, shuffle=False)
     assert {r.text for r in ds.examples(spark, "eval").collect()} == {f"some text number {i}" for i in range(4)}
     assert ds.examples(spark, "train").first().text == "some text number 4"
+
+
+def test_reading_with_a_limit_opens_few_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "examples")
+    rows = spark.range(100).selectExpr("id", "concat('text ', id) as text").repartitionByRange(10, "id").sortWithinPartitions("id")
+    rows.select("text").write.json(path)
+    opened = []
+    reader = type(spark.read)
+    monkeypatch.setattr(reader, "json", lambda self, at, real=reader.json: opened.append(at) or real(self, at))
+    got = [r.text for r in prepared.read_examples(spark, path, 25).collect()]
+    assert got == [f"text {i}" for i in range(25)]
+    assert len(opened) <= 4
+    opened.clear()
+    assert prepared.preview_text(spark, path, 3).count("===== Example") == 3
+    assert len(opened) == 1
+    assert prepared.read_examples(spark, path, 1000).count() == 100
+    assert prepared.read_examples(spark, path, 0).count() == 0

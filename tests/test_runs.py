@@ -1,4 +1,6 @@
 import json
+import time
+from pathlib import Path
 import random
 from datetime import datetime
 
@@ -61,6 +63,27 @@ def test_clearing_one_job_in_the_store(spark, tmp_path):
         telemetry.clear_history(spark, path, job, buckets=3)
     assert {r.job_id for r in telemetry.read_events(spark, path).collect()} == {"j3"}
     assert telemetry.read_events(spark, path).count() == 10
+    stored = lambda: sum(1 for _ in Path(path).rglob("part-*"))
+    before = stored()
+    telemetry.compact(spark, path)
+    assert stored() < before and not Path(f"{path}-cleared").exists()
+    assert telemetry.read_events(spark, path).count() == spark.read.parquet(path).count() == 10
+    telemetry.compact(spark, path)
+
+
+def test_clearing_writes_one_row_and_spares_what_comes_later(spark, tmp_path):
+    path = str(tmp_path / "ev")
+    ev = event_rows(spark, [(i, f"j{i % 2}", "log", {}) for i in range(10)]).select(*EVENT.names)
+    telemetry.append_events(ev, path)
+    before = {p: p.stat().st_mtime_ns for p in Path(path).rglob("part-*")}
+    telemetry.clear_history(spark, path, "j1")
+    assert {p: p.stat().st_mtime_ns for p in Path(path).rglob("part-*")} == before
+    assert spark.read.parquet(f"{path}-cleared").count() == 1
+    time.sleep(1.1)
+    telemetry.append_events(ev.where("event_id = 3"), path)
+    assert sorted(r.event_id for r in telemetry.read_events(spark, path).collect()) == [0, 2, 3, 4, 6, 8]
+    telemetry.compact(spark, path)
+    assert sorted(r.event_id for r in telemetry.read_events(spark, path).collect()) == [0, 2, 3, 4, 6, 8]
 
 
 def test_python_hooks_fall_back_on_errors(spark):

@@ -185,3 +185,26 @@ def test_top_list_is_the_same_with_and_without_slices(spark):
     plain = {(r.k, r.id) for r in first_per_key(df, ["k"], order, 30, slices=1).collect()}
     sliced = {(r.k, r.id) for r in first_per_key(df, ["k"], order, 30, slices=4).collect()}
     assert plain == sliced and len([1 for k, _ in plain if k == 0]) == 30
+
+
+@pytest.mark.parametrize("few", [2, 10_000])
+def test_lowest_of_repeated_and_skewed_ids(spark, few, monkeypatch):
+    """The search ends in a small range, in a range of one id, or at the greatest id of a range that can't be cut."""
+    monkeypatch.setattr(split, "FEW_IDS", few)
+    ids = [f"k{i:04d}" for i in range(90)] + ["hot"] * 200 + ["zz"] * 3 + ["a", "b"]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id string")
+    for ratio in (0.003, 0.3, 0.68, 0.99):
+        want = int(len(ids) * ratio)
+        assert split._nth_lowest_of_any(df, "row_id", ratio) == (sorted(ids)[want - 1] if want else None)
+
+
+def test_selection_of_text_ids_sorts_no_large_range(spark, monkeypatch):
+    """Only ranges of at most FEW_IDS ids are sorted."""
+    monkeypatch.setattr(split, "FEW_IDS", 50)
+    offsets = []
+    cls = type(spark.range(1))
+    monkeypatch.setattr(cls, "offset", lambda self, n, real=cls.offset: offsets.append(n) or real(self, n))
+    df = spark.range(5000).selectExpr("concat('id', cast(id * 7919 % 5000 as string)) as row_id")
+    want = sorted(r.row_id for r in df.collect())
+    assert split._nth_lowest_of_any(df, "row_id", 0.37) == want[int(5000 * 0.37) - 1]
+    assert all(n < 50 for n in offsets)

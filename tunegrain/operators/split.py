@@ -26,6 +26,10 @@ def split_key(row_id: Column, seed: int = DEFAULT_SEED) -> Column:
     """Hex key that puts rows into a seeded pseudo-random order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
+#: So many ids are sorted by one task; more are cut into so many ranges. A number that is given isn't merged by adaptive execution.
+FEW_IDS = 10_000
+PIVOT_RANGES = 64
+
 
 def holdout_size(n: Column, eval_ratio: float) -> Column:
     """``floor(n * ratio)`` in double arithmetic, leaving at least one row to train on."""
@@ -87,15 +91,34 @@ def _nth_lowest(rows: DataFrame, row_id: str, eval_ratio: float) -> int | None:
 
 
 def _nth_lowest_of_any(rows: DataFrame, row_id: str, eval_ratio: float) -> object:
-    """The same for ids of any orderable type: count per range partition, then look into one range."""
-    ids = rows.select(F.col(row_id).alias("id")).where("id is not null").repartitionByRange("id")
-    ids = materialize(ids.withColumn("range", F.spark_partition_id()), "ids")
-    sizes = sorted(ids.groupBy("range").count().collect())
-    want = holdout_count(sum(n for _, n in sizes), eval_ratio)
-    for index, size in sizes if want else []:
-        if want <= size:
-            return ids.where(F.col("range") == index).orderBy("id").offset(want - 1).first().id
-        want -= size
+    """The same for ids of any orderable type: rounds of ranges, until the range with the cut is small.
+
+    A round cuts the ids at pivots that Spark samples, counts the ranges and goes on inside the one with the cut, so
+    all but the first shuffle a small part. A range of one repeated id ends the search as well.
+    """
+    inside = rows.select(F.col(row_id).alias("id")).where("id is not null")
+    size = inside.count()
+    want = holdout_count(size, eval_ratio)
+    while want:
+        if size <= FEW_IDS:
+            return inside.orderBy("id").offset(want - 1).first().id
+        ranged = materialize(inside.repartitionByRange(PIVOT_RANGES, "id").withColumn("range", F.spark_partition_id()), "ids")
+        for r in sorted(ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()):
+            if want <= r.n:
+                break
+            want -= r.n
+        if r.low == r.high:
+            return r.low
+        inside = ranged.where(F.col("range") == r.range).select("id")
+        if r.n == size:
+            # One range after all: what is below its greatest id is set apart by that id itself.
+            below = inside.where(F.col("id") < F.lit(r.high))
+            n_below = below.count()
+            if want > n_below:
+                return r.high
+            inside, size = below, n_below
+        else:
+            size = r.n
     return None
 
 

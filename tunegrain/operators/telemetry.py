@@ -70,7 +70,28 @@ def append_events(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The events of a store, without those that were cleared.
+
+    A marker takes away what was written before it, by the clock of the storage; what a job writes
+    after being cleared stays (where that clock counts seconds only, from the next second on).
+    """
+    events = spark.read.parquet(path)
+    if not files.exists(spark, _markers(path)):
+        return events
+    markers = _cleared(spark, path).groupBy("job_id").agg(F.max("upto").alias("upto"))
+    placed = events.select("*", F.col("_metadata.file_modification_time").alias("_written")).join(markers, "job_id", "left")
+    return placed.where(F.col("upto").isNull() | (F.col("_written") > F.col("upto"))).select(*events.columns)
+
+
+def _cleared(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MARKER).parquet(_markers(path)).select("*", F.col("_metadata.file_modification_time").alias("upto"))
+
+
+_MARKER = "job_id string, job_bucket int"
+
+
+def _markers(path: str) -> str:
+    return f"{path.rstrip('/')}-cleared"
 
 
 def history(events: DataFrame, job_id: str | None = None, kinds: Iterable[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -155,15 +176,28 @@ def rounded_epoch(epoch: Column) -> Column:
 
 
 def clear_history(spark: SparkSession, path: str, job_id: str, buckets: int = BUCKETS) -> None:
-    """Remove one job's events from the store; only its bucket is rewritten."""
-    bucket = spark.range(1).select(_bucket(F.lit(job_id), buckets).alias("b")).first().b
-    stored = read_events(spark, path).where(F.col("job_bucket") == bucket)
-    rest = materialize(clear_job(stored, job_id), "events")
-    if rest.isEmpty():
-        files.remove_folder(spark, f"{path}/job_bucket={bucket}")
-    else:
-        overwrite = rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        overwrite.partitionBy("job_bucket").parquet(path)
+    """Clear one job's history: one short row beside the store, which reading applies. No event is rewritten.
+
+    ``compact`` removes what is marked, bucket by bucket, when there is time for it.
+    """
+    marker = spark.range(1).select(F.lit(job_id).alias("job_id"), _bucket(F.lit(job_id), buckets).alias("job_bucket"))
+    marker.coalesce(1).write.mode("append").parquet(_markers(path))
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite the buckets that hold cleared jobs, each by itself, then forget the markers. Nothing may write meanwhile."""
+    if not files.exists(spark, _markers(path)):
+        return
+    for (b,) in sorted(_cleared(spark, path).select("job_bucket").distinct().collect()):  # as many as there are buckets
+        if not files.exists(spark, f"{path}/job_bucket={b}"):
+            continue
+        rest = materialize(read_events(spark, path).where(F.col("job_bucket") == b), "events")
+        if rest.isEmpty():
+            files.remove_folder(spark, f"{path}/job_bucket={b}")
+        else:
+            overwrite = rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            overwrite.partitionBy("job_bucket").parquet(path)
+    files.remove_folder(spark, _markers(path))
 
 
 def clear_job(events: DataFrame, job_id: str) -> DataFrame:

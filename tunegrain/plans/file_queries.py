@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,70 @@ def jsonl_reader(spark: SparkSession, folder: str) -> DataFrame:
     return load_paths(spark, path, fmt=".jsonl").df.select("doc_id", "text", "lang")
 
 
+def _as_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of one task as the lines of one JSON document: a list, or an object that holds it between other members."""
+    wrapped = TaskContext.get().partitionId() % 2
+    begin, end = ('{"made": {"data": [1]}, "rows": [', '], "n": 2}') if wrapped else ("[", "]")
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            yield pa.record_batch([pa.array([begin + text])], names=["value"])
+            begin = ","
+    if begin != ",":
+        yield pa.record_batch([pa.array([begin])], names=["value"])
+    yield pa.record_batch([pa.array([end])], names=["value"])
+
+
+def json_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in a few long JSON documents, cut into records by many tasks."""
+    path = fresh_path(spark, "json")
+    record = F.to_json(F.struct("doc_id", "text", "lang", F.array(F.struct(F.lit("a, b").alias("k"))).alias("more")))
+    rows = table(spark, folder, "documents").select(record.alias("value")).coalesce(4)
+    rows.mapInArrow(_as_documents, "value string").write.text(path)
+    return load_paths(spark, path, fmt=".json").df.select("doc_id", "text", "lang")
+
+
+def tsv_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """Tab-separated parts whose names hold line breaks, tabs and quotes, in quoted cells and as stray quotes."""
+    path = fresh_path(spark, "tsv")
+    name = F.concat("p_name", F.lit("\n\n"), "p_brand", F.lit('\t5" "wide"'))
+    parts = table(spark, folder, "part").select("p_partkey", name.alias("p_name"), "p_type", F.concat(F.col("p_size").cast("string"), F.lit('"')).alias("p_size"))
+    parts.write.options(header="true", sep="\t", escape='"', escapeQuotes="false", lineSep="\n").csv(path)
+    return load_paths(spark, path, fmt=".tsv").df.select("p_partkey", "p_name", "p_type", "p_size")
+
+
+def text_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a blank line after each, as long text files; back come their paragraphs."""
+    path = fresh_path(spark, "texts")
+    table(spark, folder, "documents").select(F.concat("text", F.lit("\n")).alias("value")).coalesce(3).write.text(path)
+    return load_paths(spark, path, fmt=".txt").df.groupBy("text").agg(F.count("*").alias("n"))
+
+
+def head_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of a loaded folder, as a preview shows them, with the number of all."""
+    path = fresh_path(spark, "head")
+    rows = table(spark, folder, "documents").select("doc_id", "lang").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    rows.write.json(path)
+    raw = load_paths(spark, path, fmt=".jsonl")
+    shown = raw.preview(7)
+    first = spark.createDataFrame([(r["doc_id"], r["lang"]) for r in shown["sample"]], "doc_id bigint, lang string")
+    return first.withColumn("n_records", F.lit(shown["n_records"]).cast("bigint"))
+
+
+def dataset_opened(spark: SparkSession, folder: str) -> DataFrame:
+    """A prepared dataset opened again by its id: its facts, and its first training examples by a limit."""
+    root = fresh_path(spark, "datasets")
+    made = _prepared_chat(spark, folder, root)
+    found = prepared.get_dataset(spark, root, made.info.dataset_id)
+    examples = found.examples(spark, limit=10)
+    facts = {"n_train": found.info.n_train, "n_eval": found.info.n_eval, "previewed": _previewed(spark, found.directory)}
+    return examples.agg(F.count("*").alias("n_read"), *[F.lit(v).cast("bigint").alias(k) for k, v in facts.items()])
+
+
+def _previewed(spark: SparkSession, directory: str) -> int:
+    """How many examples the preview file of a dataset shows."""
+    return spark.read.text(f"{directory}/{prepared.PREVIEW_FILE}").where("value like '===== Example %'").count()
+
+
 def csv_reader(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as semicolon-separated files with a header; every value is text."""
     path = fresh_path(spark, "csv")
@@ -152,7 +218,7 @@ def xlsx_rows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        jsonl_reader, csv_reader, mixed_folder, docx_paragraphs, xlsx_rows, guessed_mapping, training_texts, dataset_catalog,
+        jsonl_reader, json_reader, csv_reader, tsv_reader, text_reader, head_of_files, dataset_opened, mixed_folder, docx_paragraphs, xlsx_rows, guessed_mapping, training_texts, dataset_catalog,
     )
 }
 
@@ -174,6 +240,19 @@ _DOC_COUNTS = TEXT_ORACLES["split_membership"]
 
 ORACLES = {
     "jsonl_reader": "SELECT doc_id, text, lang FROM documents",
+    "json_reader": "SELECT doc_id, text, lang FROM documents",
+    "tsv_reader": """
+        SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || chr(10) || chr(10) || p_brand || chr(9) || '5" "wide"' AS p_name, p_type,
+               p_size || '"' AS p_size FROM part""",
+    "text_reader": f"""
+        SELECT text, count(*) AS n FROM (SELECT {strip_sql("unnest(string_split(text, chr(10) || chr(10)))")} AS text FROM documents)
+        WHERE text <> '' GROUP BY text""",
+    "head_of_files": """
+        SELECT doc_id, lang, (SELECT count(*) FROM documents) AS n_records FROM documents ORDER BY doc_id LIMIT 7""",
+    "dataset_opened": f"""
+        SELECT least(10, count(*) FILTER (split = 'train')) AS n_read, count(*) FILTER (split = 'train') AS n_train,
+               count(*) FILTER (split = 'eval') AS n_eval, least(5, count(*) FILTER (split = 'train')) AS previewed
+        FROM ({_CHAT_SPLIT})""",
     "csv_reader": """
         SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part""",
     "mixed_folder": """

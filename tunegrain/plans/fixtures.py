@@ -43,8 +43,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return as_events(table(spark, folder, "events"))
 
 
-def as_events(rows: DataFrame) -> DataFrame:
-    """User as run; views log, clicks and purchases carry metrics, sign-ups set a status."""
+def as_events(rows: DataFrame, *more: str) -> DataFrame:
+    """User as run; views log, clicks and purchases carry metrics, sign-ups set a status. ``more``: columns that stay."""
     number = F.get_json_object("props", "$.k").cast("bigint")
     value, source = F.col("value"), F.col("event_type")
     kind = (
@@ -63,7 +63,7 @@ def as_events(rows: DataFrame) -> DataFrame:
         .when(source == "signup", status)
         .otherwise(telemetry.error_data(F.col("props")))
     )
-    return rows.select(*telemetry.event(F.col("event_id"), F.col("user_id"), kind, data, F.col("ts")))
+    return rows.select(*telemetry.event(F.col("event_id"), F.col("user_id"), kind, data, F.col("ts")), *more)
 
 
 EVENTS_SQL = """

@@ -37,15 +37,35 @@ def stream_last_n(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_job_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every run stands; some status events name a checkpoint."""
     home = fresh_path(spark, "snapshots")
     state = runs.snapshot_state(f"{home}/state", compact_every=3)
-    runs.keep_snapshots(_arriving_events(spark, folder), state, f"{home}/checkpoint", once=True).awaitTermination()
+    arriving = _arriving(spark, folder, "events")
+    step = F.get_json_object("props", "$.k").cast("bigint")
+    saved = F.to_json(F.struct(F.get_json_object("data", "$.status").alias("status"), F.concat(F.lit("step-"), step.cast("string")).alias("checkpoint")))
+    seen = as_events(arriving, "props")
+    seen = seen.withColumn("data", F.when((F.col("kind") == "status") & (step % 40 == 0), saved).otherwise(F.col("data"))).drop("props")
+    runs.keep_snapshots(seen, state, f"{home}/checkpoint", once=True).awaitTermination()
     return runs.snapshots(state.read(spark)).select(
         "job_id", "current_step", "current_epoch", "status",
-        F.get_json_object("metrics", "$.loss").cast("double").alias("loss"), "resumable",
+        F.get_json_object("metrics", "$.loss").cast("double").alias("loss"), "last_checkpoint", "resumable",
     )
 
 
+def live_subscription(spark: SparkSession, folder: str) -> DataFrame:
+    """What a subscriber of one run's metrics gets from a moment on, that run being the first by name."""
+    home = fresh_path(spark, "live")
+    rows = table(spark, folder, "events")
+    moment, job = rows.agg(F.timestamp_seconds(F.median(F.unix_timestamp(F.col("ts").cast("timestamp")))), F.min(F.col("user_id").cast("string"))).first()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/got/batch={batch_id}")
+
+    stream = _arriving_events(spark, folder)
+    runs.subscribe(stream, handle, f"{home}/checkpoint", job, ["metric"], once=True, since=moment).awaitTermination()
+    return spark.read.schema(EVENT).parquet(f"{home}/got").select("job_id", "event_id", "kind")
+
+
 def stream_subscription(spark: SparkSession, folder: str) -> DataFrame:
     """Two subscribers of one stream: one stores the log events, the other the metric events."""
     home = fresh_path(spark, "fan")
@@ -80,7 +100,7 @@ def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (stream_last_n, stream_job_snapshot, stream_subscription, stream_prepare, stream_distinct)
+    f.__name__: f for f in (stream_last_n, stream_job_snapshot, stream_subscription, live_subscription, stream_prepare, stream_distinct)
 }
 
 _BEFORE = "ORDER BY ts, event_id"
@@ -92,9 +112,14 @@ ORACLES = {
         m AS (SELECT job_id, last(k {_BEFORE}) AS step, last(coalesce(CASE event_type WHEN 'click' THEN value / 64 END, 0) {_BEFORE}) AS epoch,
                      last(value {_BEFORE}) AS loss FROM e WHERE kind = 'metric' GROUP BY 1),
         s AS (SELECT job_id, last(CASE WHEN k % 2 = 0 THEN 'running' ELSE 'completed' END {_BEFORE}) AS status
-              FROM e WHERE kind = 'status' GROUP BY 1)
-        SELECT job_id, step AS current_step, {py_round_sql('epoch', 3)} AS current_epoch, status, loss, false AS resumable
-        FROM (SELECT DISTINCT job_id FROM e) LEFT JOIN m USING (job_id) LEFT JOIN s USING (job_id)""",
+              FROM e WHERE kind = 'status' GROUP BY 1),
+        c AS (SELECT job_id, last('step-' || k {_BEFORE}) AS last_checkpoint FROM e WHERE kind = 'status' AND k % 40 = 0 GROUP BY 1)
+        SELECT job_id, step AS current_step, {py_round_sql('epoch', 3)} AS current_epoch, status, loss, last_checkpoint,
+               last_checkpoint IS NOT NULL AS resumable
+        FROM (SELECT DISTINCT job_id FROM e) LEFT JOIN m USING (job_id) LEFT JOIN s USING (job_id) LEFT JOIN c USING (job_id)""",
+    "live_subscription": f"""
+        SELECT job_id, event_id, kind FROM ({EVENTS_SQL}) WHERE kind = 'metric' AND job_id = (SELECT min(CAST(user_id AS VARCHAR)) FROM events)
+               AND ts >= (SELECT to_timestamp(median(epoch(date_trunc('second', ts)))) AT TIME ZONE 'UTC' FROM events)""",
     "stream_subscription": f"SELECT job_id, event_id, kind FROM ({EVENTS_SQL}) WHERE kind IN ('log', 'metric')",
     "stream_prepare": TEXT_ORACLES["token_estimate"],
     "stream_distinct": f"""

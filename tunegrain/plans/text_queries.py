@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegrain.functions.text import named_id, slugify
+from tunegrain.functions.text import named_id, slugify, token_counter
 from tunegrain.operators import shape, split, synth, validate
 from tunegrain.plans import prepare
 from tunegrain.plans.fixtures import (
@@ -144,6 +144,27 @@ def synth_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", synth.synth_prompt(F.col("text"), 3).alias("prompt"))
 
 
+def _words(text: str) -> int:
+    return text.count(" ") + 1
+
+
+def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts by a tokenizer that the caller hands in."""
+    counted = validate.measure(normalized_documents(spark, folder), tokenizer=token_counter(_words))
+    return counted.select("row_id", "tokens")
+
+
+def _size_or_failure(system: str, prompt: str) -> str:
+    if len(prompt) % 7 == 0:
+        raise ValueError("a model that fails now and then")
+    return str(len(prompt))
+
+
+def hooked_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies by a completion hook that the caller hands in; where it fails there is none."""
+    return synth.with_replies(table(spark, folder, "documents"), synth.completion(_size_or_failure)).select("doc_id", "reply")
+
+
 def _stub_reply(system, prompt):
     """A stand-in for a model: a JSON answer about the prompt, wrapped in six different ways."""
     size = F.length(prompt)
@@ -187,7 +208,7 @@ QUERIES = {
         normalize_completion, token_estimate, validation_flags, token_stats, validation_issues, report_summary,
         report_markdown, duplicate_rows, dedupe_keep_first, split_membership, split_in_order, split_in_order_text_ids, split_counts,
         truncate_text, length_buckets, steps_plan, pack_sequences, slug_ids, paragraph_split, synth_prompts,
-        synth_pairs, prepare_dataset,
+        synth_pairs, counted_tokens, hooked_replies, prepare_dataset,
     )
 }
 
@@ -341,6 +362,12 @@ ORACLES = {
               FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS parts FROM documents))
         WHERE length(chunk) >= 1""",
     "synth_prompts": f"SELECT doc_id, {_PROMPT} AS prompt FROM documents",
+    "counted_tokens": f"""
+        SELECT row_id, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INTEGER) AS tokens FROM ({DOCUMENTS_SQL})
+        UNION ALL SELECT doc_id, NULL FROM documents WHERE coalesce({strip_sql('text')}, '') = ''""",
+    "hooked_replies": f"""
+        SELECT doc_id, CASE WHEN length(prompt) % 7 > 0 THEN CAST(length(prompt) AS VARCHAR) END AS reply
+        FROM (SELECT doc_id, {_PROMPT} AS prompt FROM documents)""",
     "synth_pairs": f"""
         SELECT doc_id, 0 AS pair, 'How long? ' || length(prompt) AS instruction, translate(substr(prompt, 80, 60), '[]{{}}', '') AS output
         FROM (SELECT doc_id, {_PROMPT} AS prompt FROM documents) WHERE length(prompt) % 6 <= 2""",

@@ -101,6 +101,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder another name, in place of what had it; nothing happens when there is no such folder."""
+    fs, old = _hadoop(spark, source)
+    _, new = _hadoop(spark, target)
+    fs.delete(new, True)
+    if fs.exists(old):
+        fs.mkdirs(new.getParent())
+        fs.rename(old, new)
+
+
 def write_small_text(spark: SparkSession, path: str, text: str) -> None:
     """One small metadata file (a few kilobytes), replacing an older one."""
     fs, p = _hadoop(spark, path)

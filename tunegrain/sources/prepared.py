@@ -1,13 +1,13 @@
 """Prepared datasets on storage.
 
-Layout of one dataset folder: ``examples/split=train/`` and ``examples/split=eval/``
-(JSON-lines part files, in order), and the small single files ``dataset_info.json``, ``validation.json`` and ``preview.txt``.
+Layout of one dataset folder: ``train/`` and ``eval/`` (JSON-lines part files, in order), and the small single files ``dataset_info.json``, ``validation.json`` and ``preview.txt``.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from tunegrain.session import fit_shuffles
 from tunegrain.sources import files
 
 TRAIN, EVAL = "train", "eval"
-EXAMPLES = "examples"
+#: Where both splits are written first; each folder then gets its name.
+WRITING = "_writing"
 INFO_FILE, VALIDATION_FILE, PREVIEW_FILE = "dataset_info.json", "validation.json", "preview.txt"
 PREVIEW_EXAMPLES = 5
 
@@ -48,7 +49,7 @@ def record_columns(df: DataFrame) -> list[Column]:
 
 
 def split_folder(directory: str, split: str) -> str:
-    return f"{directory}/{EXAMPLES}/split={split}"
+    return f"{directory}/{split}"
 
 
 def write_examples(df: DataFrame, path: str) -> None:
@@ -59,11 +60,16 @@ def write_examples(df: DataFrame, path: str) -> None:
 def write_splits(df: DataFrame, directory: str) -> None:
     """All rows by ``split``, in the order of ``split_key``, from one scan and one shuffle.
 
-    Held-out rows have the lowest keys, so only one task writes to both folders.
+    Held-out rows have the lowest keys, so only one task writes to both folders. The folders get their names when both
+    are complete.
     """
+    spark = df.sparkSession
     ranged = fit_shuffles(df).repartitionByRange("split_key").sortWithinPartitions("split", "split_key")
     records = ranged.select(*record_columns(df), "split")
-    records.write.mode("overwrite").partitionBy("split").json(f"{directory}/{EXAMPLES}")
+    records.write.mode("overwrite").partitionBy("split").json(f"{directory}/{WRITING}")
+    for split in (TRAIN, EVAL):
+        files.replace_folder(spark, f"{directory}/{WRITING}/split={split}", split_folder(directory, split))
+    files.remove_folder(spark, f"{directory}/{WRITING}")
 
 
 def read_split(spark: SparkSession, directory: str, split: str, limit: int | None = None) -> DataFrame:
@@ -74,17 +80,34 @@ def read_split(spark: SparkSession, directory: str, split: str, limit: int | Non
     return read_examples(spark, path, limit)
 
 
-def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Stored examples; ``messages`` wins over ``text`` when a record has both."""
-    rows = spark.read.schema(EXAMPLE).json(path)
-    if limit is not None:
-        # Stored order is that of the part files and the lines in them.
-        place = {"_file": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start")}
-        placed = rows.withColumns(place).withColumn("_pos", F.monotonically_increasing_id())
-        rows = placed.orderBy("_file", "_block", "_pos").limit(limit).drop("_file", "_block", "_pos")
+def _examples(rows: DataFrame) -> DataFrame:
+    """``messages`` wins over ``text`` when a record has both."""
     return rows.withColumn("text", F.when(F.col("messages").isNull(), F.col("text")))
 
 
+def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Stored examples, in stored order: that of the part files and the lines in them.
+
+    With a ``limit`` the part files are opened one by one until there are enough lines; later ones are left alone.
+    """
+    if limit is None:
+        return _examples(spark.read.schema(EXAMPLE).json(path))
+    parts = [f"{path}/{name}" for name in files.children(spark, path) if name.startswith("part-")] if files.is_directory(spark, path) else [path]
+    found, left = [], limit
+    for part in parts:
+        if left <= 0:
+            break
+        rows = spark.read.schema(EXAMPLE).json(part)
+        n = rows.count()
+        if n > left:
+            # Only the last of the files is cut off.
+            placed = rows.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_pos", F.monotonically_increasing_id())
+            rows = placed.orderBy("_block", "_pos").limit(left).drop("_block", "_pos")
+        found.append(rows)
+        left -= n
+    return _examples(reduce(DataFrame.unionByName, found)) if found else spark.createDataFrame([], EXAMPLE)
+
+
 def training_text(rows: DataFrame, template: chat.ChatTemplate) -> DataFrame:
     """The ``text`` column a trainer reads: rendered conversations, or the text itself."""
     return rows.select(
@@ -106,14 +129,11 @@ def training_frames(
 def preview_text(spark: SparkSession, path: str, n: int = PREVIEW_EXAMPLES) -> str:
     """The first ``n`` stored examples in readable form.
 
-    Part files are in order, so only the first ones are opened and only their first lines read.
+    Part files are in order, so only the first ones are opened, one by one; the last of them is read whole.
     """
-    blocks: list[str] = []
-    for name in files.children(spark, path):
-        if name.startswith("part-") and len(blocks) < n:
-            head = read_examples(spark, f"{path}/{name}", n - len(blocks))
-            shown = head.select(chat.render_preview(F.col("messages"), F.col("text")).alias("block"))
-            blocks += [row.block for row in shown.collect()]
+    head = read_examples(spark, path, n)
+    shown = head.select(chat.render_preview(F.col("messages"), F.col("text")).alias("block"))
+    blocks = [row.block for row in shown.collect()]  # n rows
     return "\n\n".join(f"===== Example {i} =====\n{block}" for i, block in enumerate(blocks, 1))
 
 
