@@ -645,6 +645,18 @@ def test_license_scan(spark, nothing):
     assert license_scan.scan(nothing).collect() == []
 
 
+def test_whole_licences_and_neighbouring_spellings(spark):
+    bsd = license_scan._bsd(3, "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\n\n", True).replace("without specific", "without\nspecific")
+    rows = [
+        (1, bsd), (2, bsd.replace("3. ", "- ").replace("2. ", "- ").replace("1. ", "- ").upper()), (3, "   " + license_scan.ZLIB.replace(". ", ".\n")),
+        (4, license_scan.UNLICENSE + "\n"), (5, bsd + " and more"), (6, license_scan._bsd(2, "", True)),
+        (7, "licence licence licence per cent per cent version 2 0 version 2 0"), (8, "license license license percent percent v2 v2"),
+    ]
+    got = {r.id: (r.digest, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i][1] for i in range(1, 9)] == ["BSD-3-Clause", "BSD-3-Clause", "Zlib", "Unlicense", None, "BSD-2-Clause", None, None]
+    assert got[7][0] == got[8][0]
+
+
 def test_components_and_numbers(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, k) for k in range(600, 700)]

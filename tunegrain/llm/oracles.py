@@ -59,10 +59,10 @@ JACCARD = f"""
 def _canonical(text: str) -> str:
     low = f"translate({text}, '{UPPER}', '{LOWER}')"
     plain = f"regexp_replace({low}, {_text(license_scan.COPYRIGHT_LINE)}, chr(10), 'g')"
-    out = f"' ' || trim(regexp_replace({plain}, {_text(license_scan.NO_WORD)}, ' ', 'g')) || ' '"
+    out = f"' ' || replace(trim(regexp_replace({plain}, {_text(license_scan.NO_WORD)}, ' ', 'g')), ' ', '  ') || ' '"
     for other, one in license_scan.SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 _KNOWN = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in license_scan.KNOWN)
@@ -74,7 +74,7 @@ LICENSES = f"""
     found AS (
         SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
         FROM lines JOIN known ON md5({_canonical("line")}) = known.digest
-        WHERE regexp_matches(translate(line, '{UPPER}', '{LOWER}'), 'licen|released|permission') GROUP BY doc_id)
+        WHERE regexp_matches(translate(line, '{UPPER}', '{LOWER}'), 'licen|released|permission|redistribution') GROUP BY doc_id)
     SELECT d.doc_id, d.digest, known.license, coalesce(found.line_licenses, '') AS line_licenses
     FROM (SELECT doc_id, md5({_canonical("text")}) AS digest FROM docs) d
     LEFT JOIN known ON known.digest = d.digest LEFT JOIN found ON found.doc_id = d.doc_id"""
