@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tunegrain.llm import words as W
-from tunegrain.llm.shared import columns_of, connected_components, drop_tables, materialize, split_by_membership
+from tunegrain.llm.shared import columns_of, connected_components, drop_tables, materialize, release_shuffles, split_by_membership
 
 #: The sketch has 2 ** SKETCH_BITS counters at every input size.
 SKETCH_BITS = 20
@@ -58,7 +58,7 @@ class Settings:
 
     percent: int = 80
     post_cost: float = 1.0
-    verify_cost: float = 0.01
+    verify_cost: float = 0.001
     heavy: int = 5000
 
 
@@ -342,6 +342,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     posted = docs.where("id is not null").mapInArrow(_post(sketch, settings), "token bigint, salt smallint, key bigint, check bigint, level int")
     lists = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "key", "check")
     listed = materialize(lists.mapInArrow(_lists, _LISTED), "lists")
+    release_shuffles(docs.sparkSession)
 
     postings = listed.where("kind = 0")
     stars = postings.where("key <> leader").select("key", "leader", F.least("level", "leader_level").alias("need"))
@@ -369,6 +370,8 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     before = F.array_compact(F.array(*[F.lag("token", i + 1).over(lists_of) for i in range(BEFORE)]))
     rest = light.select("key", "token", "n", "parts", before.alias("before")).join(bitmaps, "key")
     rest = materialize(rest, "mixed")
+    drop_tables(listed, labelled)
+    release_shuffles(docs.sparkSession)
     links_found = []
     for turn in range(ROUNDS):
         # Neighbours in an order that changes with the rounds: as many pairs as postings, which join what is dense.
@@ -382,14 +385,19 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
         joined = members.join(merged, F.col("component") == F.col("node"), "left")
         members = materialize(joined.select("key", "id", F.coalesce("top", "component").alias("component")), "mixed-members")
         drop_tables(before)
-    # What is still apart is compared in all pairs. One side of a long list is dealt out, the other stands with each part.
-    now = rest.join(members.select("key", "component"), "key")
-    one = now.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
-    two = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
-    # Sets that share one of the lists right before have met there.
-    fits = f"one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)} and not arrays_overlap(one.before, two.before)"
-    cross = one.join(two, F.expr(f"one.token = two.token and one.part = two.part and {fits}")).select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct()
+    # What is still apart is compared in all pairs. Sets that share one of the lists right before have met there.
+    now = rest.join(members.select("key", "component"), "key").select("token", "parts", "key", "component", "size", "before", "bits")
+    fits = f"one.token = two.token and one.key < two.key and one.component <> two.component and {_may_reach(settings.percent)} and not arrays_overlap(one.before, two.before)"
+    ends = (F.col("one.key").alias("a"), F.col("two.key").alias("b"))
+    short = now.where("parts = 1").drop("parts")
+    cross = short.alias("one").join(short.alias("two"), F.expr(fits)).select(*ends)
+    # One side of a long list is dealt out, the other stands with each part.
+    long = now.where("parts > 1")
+    one = long.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("one")
+    two = long.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("two")
+    cross = cross.unionByName(one.join(two, F.expr(f"one.part = two.part and {fits}")).select(*ends)).distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
+    release_shuffles(docs.sparkSession)
     more = _verified(cross, docs, reps, settings)
     # Only links between components are new, so the old components are contracted to their labels.
     parents_of = F.coalesce("component", "key").alias("label")
@@ -405,7 +413,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     labels = labels.join(upper, "label", "left").select("key", "id", F.coalesce("top", "label").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("id").alias("component"))
     components = materialize(labels.join(smallest, "label").select("key", "component"), "components")
-    drop_tables(listed, pairs, links, parents, labelled, mixed, members, rest, cross, more, *links_found)
+    drop_tables(pairs, links, parents, mixed, members, rest, cross, more, *links_found)
     return rows.join(components, "key", "left").select(
         "id", "size", F.when(F.col("size") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunegrain import session
@@ -38,6 +38,14 @@ def drop_tables(*stored: DataFrame) -> None:
         files.remove_folder(df.sparkSession, df.stored_at)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over.
+
+    It does so when the driver has collected their plans, which on a large heap can take long; results are tables by then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
     """Columns ``node``, ``component`` (smallest node reachable) from undirected ``a``, ``b`` links.
 
