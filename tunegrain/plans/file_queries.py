@@ -21,7 +21,7 @@ from tunegrain.plans import prepare
 from tunegrain.plans.fixtures import CHAT_MAPPING, CHAT_SQL, TEXT_MAPPING, conversations, strip_sql, table
 from tunegrain.plans.text_queries import ORACLES as TEXT_ORACLES
 from tunegrain.schema import guess_mapping
-from tunegrain.session import fresh_path
+from tunegrain.session import files_for, fresh_path
 from tunegrain.sources import load_paths, office, prepared
 
 CHATML = chat.ChatTemplate.named("chatml", suffix="<|im_end|>\n")
@@ -50,7 +50,8 @@ def json_reader(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in a few long JSON documents, cut into records by many tasks."""
     path = fresh_path(spark, "json")
     record = F.to_json(F.struct("doc_id", "text", "lang", F.array(F.struct(F.lit("a, b").alias("k"))).alias("more")))
-    rows = table(spark, folder, "documents").select(record.alias("value")).coalesce(4)
+    docs = table(spark, folder, "documents")
+    rows = docs.select(record.alias("value")).coalesce(files_for(docs, 4))
     rows.mapInArrow(_as_documents, "value string").write.text(path)
     return load_paths(spark, path, fmt=".json").df.select("doc_id", "text", "lang")
 
@@ -67,7 +68,8 @@ def tsv_reader(spark: SparkSession, folder: str) -> DataFrame:
 def text_reader(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a blank line after each, as long text files; back come their paragraphs."""
     path = fresh_path(spark, "texts")
-    table(spark, folder, "documents").select(F.concat("text", F.lit("\n")).alias("value")).coalesce(3).write.text(path)
+    docs = table(spark, folder, "documents")
+    docs.select(F.concat("text", F.lit("\n")).alias("value")).coalesce(files_for(docs, 3)).write.text(path)
     return load_paths(spark, path, fmt=".txt").df.groupBy("text").agg(F.count("*").alias("n"))
 
 
