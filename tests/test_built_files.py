@@ -34,3 +34,13 @@ def test_readers_files_grow_in_number(spark, built, name, label):
     assert files(label) >= 10
     assert len(rows) == (40 if name == "text_reader" else 600)
     assert name != "text_reader" or {r.n for r in rows} == {15}
+
+
+@pytest.mark.parametrize("name", ["stream_distinct"])
+def test_arriving_files_grow_in_number(spark, built, name):
+    folder, files = built
+    rows = stream_queries.QUERIES[name](spark, folder).collect()
+    assert files("arriving") >= 10
+    assert len(rows) == (600 if name == "stream_prepare" else 40)
+    batches = list(Path(folder, "measured" if name == "stream_prepare" else "distinct", "checkpoint", "commits").glob("[0-9]*"))
+    assert len(batches) in (stream_queries.SLICES, stream_queries.SLICES + 1)

@@ -11,9 +11,10 @@ from tunegrain.plans.run_queries import RECENT
 from tunegrain.plans.fixtures import EVENTS_SQL, py_round_sql
 from tunegrain.plans.text_queries import ORACLES as TEXT_ORACLES
 from tunegrain.schema import EVENT
-from tunegrain.session import fresh_path
+from tunegrain.session import files_for, fresh_path
 from tunegrain.streaming import prepare, runs
 
+#: Micro-batches in which a table arrives.
 SLICES = 4
 
 
@@ -21,8 +22,10 @@ def _arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a file stream that arrives in several micro-batches."""
     source = fresh_path(spark, "arriving")
     rows = table(spark, folder, name)
-    rows.repartition(SLICES).write.parquet(source)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(source)
+    # Many files of bounded size make up a batch of a large table.
+    at_once = -(-files_for(rows, SLICES) // SLICES)
+    rows.repartition(SLICES * at_once).write.parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(at_once)).parquet(source)
 
 
 def _arriving_events(spark: SparkSession, folder: str) -> DataFrame:
