@@ -36,7 +36,7 @@ def test_readers_files_grow_in_number(spark, built, name, label):
     assert name != "text_reader" or {r.n for r in rows} == {15}
 
 
-@pytest.mark.parametrize("name", ["stream_distinct"])
+@pytest.mark.parametrize("name", ["stream_prepare", "stream_distinct"])
 def test_arriving_files_grow_in_number(spark, built, name):
     folder, files = built
     rows = stream_queries.QUERIES[name](spark, folder).collect()
