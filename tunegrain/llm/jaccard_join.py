@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 from tunegrain.llm import words as W
 from tunegrain.llm.shared import columns_of, connected_components, drop_tables, materialize, release_shuffles, split_by_membership
+from tunegrain.session import bound_batches
 
 #: The sketch has 2 ** SKETCH_BITS counters at every input size.
 SKETCH_BITS = 20
@@ -334,7 +335,7 @@ def join(documents: DataFrame, settings: Settings = Settings(), id_column: str =
     shingle of all their words. Very long texts are read whole. An empty table gives an empty result. Other
     columns are ignored.
     """
-    docs = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    docs = bound_batches(documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")))
     scanned = materialize(docs.mapInArrow(_scan, _SCAN), "sets-scan")
     rows = scanned.where("kind = 0").select("id", "size", "key")
     reps = rows.where("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")).where("id is not null")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunegrain.llm.shared import materialize, numbered
+from tunegrain.session import bound_batches
 from tunegrain.llm.tokens import encoded
 
 SIZE = 1024
@@ -265,7 +266,7 @@ def pack(documents: DataFrame, size: int = SIZE, tokenizer: str = "byte_bpe_50k.
     kind = documents.schema["doc_id"].dataType.simpleString()
     paths = public_tokenizers.path(tokenizer), public_tokenizers.path(ranks)
     schema = f"doc_id {kind}, doc_tokens bigint, full {_PIECES}, rest {_PIECES}, halves {_PIECES}"
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_tokenize(*paths, size), schema)
+    rows = bound_batches(documents.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_tokenize(*paths, size), schema)
     rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("left", F.col("doc_tokens") % size)
     rows = materialize(rows, "tokenized")
     counts = rows.where("left > 0").groupBy("left").agg(F.count("*").alias("n"))

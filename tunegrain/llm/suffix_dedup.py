@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.llm import words as W
 from tunegrain.llm.shared import columns_of, drop_tables, materialize, split_by_membership
+from tunegrain.session import bound_batches
 
 LENGTH = 100
 GRAM = 24
@@ -444,7 +445,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT,
     Other columns are ignored.
     """
     docs = documents.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", key_of(F.col("text")))
+    docs = bound_batches(docs.withColumn("key", key_of(F.col("text"))))
     facts = materialize(docs.mapInArrow(_facts, _FACTS), "text-facts")
     firsts = facts.where(F.col("n_bytes") >= length).groupBy("key").agg(F.min("id").alias("first"))
 
